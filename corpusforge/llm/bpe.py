@@ -30,7 +30,7 @@ from . import runtime
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of the memo of finished pieces, its longest piece, and the text taken at once (code points).
-MEMO_ENTRIES, MEMO_LENGTH, SEGMENT = 250_000, 64, 1 << 17
+MEMO_ENTRIES, MEMO_LENGTH, SEGMENT = 120_000, 64, 1 << 17
 
 
 def byte_names() -> dict[int, str]:
@@ -106,7 +106,7 @@ class ByteBpe:
         self.window = 2 * (self.lookahead + max(map(len, self.bytes_of))) + 256
         self.pattern = regex.compile(PIECES)
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pieces = Memo(lambda x: self.pack(self.transduce(x.encode())))
+        self.pieces = Memo(lambda x: self.pack(self.transduce(x.encode())), MEMO_ENTRIES // 3)
         self.spaced = Memo(lambda x: self.of_pieces(" " + x))
         self.uneven = re.compile(r"\s\s|\s$|^\s")
 
@@ -255,10 +255,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     return runtime.per_batch(df.select(*keep, F.col(ids).alias("_ids")), schema, work, [*keep, "_ids"])
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, each row's packed ids and the text they decode to, in one pass and one worker."""
+    keep = list(keep)
+    _checked(df, keep, "ids")
+    schema = f"{_checked(df, keep, 'decoded')}ids binary, decoded string"
+
+    def work(batch: pa.RecordBatch) -> dict:
+        bpe = loaded(path)
+        ids = [bpe.encode(t or "") for t in batch.column("_text").to_pylist()]
+        return {c: batch.column(c) for c in keep} | {"ids": ids, "decoded": ["".join(bpe.decode(x)) for x in ids]}
+
+    return runtime.per_batch(df.select(*keep, F.col(text).alias("_text")), schema, work, [*keep, "_text"])
+
+
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document's ids and of the text they decode to."""
-    both = decode(encode(df, path), path)
-    return both.select(
+    return round_trip(df, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -151,3 +151,9 @@ def test_fill_is_as_close_as_brute_force():
         used = packing.fill(counts_, capacity)
         assert sum(n * c for n, c in used.items()) == max(sums)
         assert all(c <= counts_[n] for n, c in used.items())
+
+
+def test_encode_then_decode_equals_the_round_trip(spark):
+    df = rows_of(spark, [None, "", "a b  c\n", "é😀"])
+    apart = bpe.decode(bpe.encode(df, BPE), BPE).select("doc_id", "ids", "decoded").collect()
+    assert sorted(apart) == sorted(bpe.round_trip(df, BPE).collect())
