@@ -30,7 +30,9 @@ from . import runtime
 from .bpe import Memo, _checked
 
 #: Compiled states and known token pairs that are kept, and the code points of a chunk.
-STATES, PAIRS, CHUNK = 120_000, 400_000, 1 << 18
+STATES, PAIRS, CHUNK = 200_000, 400_000, 1 << 18
+#: Words whose counts are kept.
+WORDS = 400_000
 #: The token of a character outside the vocabulary, and of a start: any token may follow.
 OTHER = -1
 
@@ -72,7 +74,7 @@ class CountTransducer:
             self.ends[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
-        self.words = Memo(lambda x: self.count(" " + x))
+        self.words = Memo(lambda x: self.count(" " + x), WORDS)
 
     def reset(self) -> None:
         self.states: dict[tuple, State] = {}
