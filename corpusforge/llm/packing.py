@@ -15,6 +15,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .bpe import Memo
+from .bpe import PIECES, ByteBpe
 
 CAPACITY, END_ID, GROUP, SLACK = 2048, 1, 4096, 4
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -128,30 +129,26 @@ class Packer:
 
 
 class Encoder:
-    """Ids by the tokenizers library; words' ids are kept in a bounded memo, as words between spaces repeat."""
+    """Ids of a byte-level BPE file of the tokenizers library, by tiktoken's engine over the same vocabulary.
 
-    def __init__(self, path: str):
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The ids are those of the tokenizers library (tests hold them equal); the engine takes a third of its time.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Memo(lambda w: self.whole(" " + w))
-        self.uneven = re.compile(r"\s\s|\s$|^\s")
+    def __init__(self, path: str):
+        import tiktoken
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        model = ByteBpe(path)
+        special = set(model.special.values())
+        ranks = {x: i for i, x in enumerate(model.bytes_of) if i not in special}
+        self.engine = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=model.special)
+        self.special = list(model.special)
 
     def encode(self, text: str) -> bytes:
-        """A space between other characters always starts a new piece of a byte-level text: words are independent there."""
-        if self.uneven.search(text) or any(x in text for x in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+        if any(x in text for x in self.special):
+            ids = self.engine.encode(text, allowed_special="all", disallowed_special=())
+        else:
+            ids = self.engine.encode_ordinary(text)
+        return array("I", ids).tobytes()
 
 
 _loaded: dict[str, Encoder] = {}
