@@ -26,7 +26,7 @@ FIT_ROWS, HIDDEN, STEPS, LANES, BYTES = 3000, 8, 300, 128, 64
 #: Bytes of a segment, and segments that step together.
 SEGMENT, TOGETHER = 256, 4096
 #: Scores below this are rejected by the filter: no language stands out.
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
 
