@@ -190,6 +190,7 @@ def deduce(pages: DataFrame) -> DataFrame:
     sums = tally.groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("place").alias("place"), F.sum("text").alias("text"), F.sum("link").alias("link")
     )
+    sums = runtime.checkpoint(sums)  # read twice below; the pages are parsed once
     # A rare token is no part of a template; this also bounds what a host has to a multiple of a page's tokens.
     all_pages = sums.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("vector").alias("whole"))
     frequent = sums.join(all_pages, "host").where(F.col("pages") >= FREQUENT * F.col("all_pages"))
