@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -68,23 +69,35 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def guarded(c: Column, marks: str, f: Callable[[Column], Column]) -> Column:
+    """f where the text has one of the marks (parted by spaces) that its pattern needs; most texts have none."""
+    hit = lambda x: reduce(lambda p, q: p | q, [F.contains(x, F.lit(m)) for m in marks.split()])
+    return once(c, lambda x: F.when(hit(x), f(x)).otherwise(x))
+
+
 def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     """One cleaning step."""
     r = F.regexp_replace
     if name == "newline":
         return r(c, r"\r\n?", "\n")
     if name == "markup":
-        return r(r(c, HTML_TAG, " "), ENTITY, " ")
+        return guarded(guarded(c, "<", lambda x: r(x, HTML_TAG, " ")), "&", lambda x: r(x, ENTITY, " "))
     if name == "links":
-        return r(r(r(c, URL, " "), EMAIL, " "), MENTION, " ")
+        links = guarded(c, "/ www.", lambda x: r(x, URL, " "))
+        return guarded(links, "@", lambda x: r(r(x, EMAIL, " "), MENTION, " "))
     if name == "topic":
-        return r(c, TOPIC, "$1")
+        return guarded(c, "#", lambda x: r(x, TOPIC, "$1"))
     if name == "bracket":
-        return r(c, BRACKET, " ")
+        return guarded(c, "[", lambda x: r(x, BRACKET, " "))
     if name == "emoji":
         return r(c, EMOJI, " ")
     if name == "metadata":
-        return r(c, META, " ") if profile.metadata else c
+        return guarded(c, "人均 推荐菜 图片 通过", lambda x: r(x, META, " ")) if profile.metadata else c
     if name == "control":
         return r(c, CONTROL, "")
     if name == "nfc":
@@ -126,16 +139,18 @@ def dedup_key(c: Column) -> Column:
 
 def clip(c: Column, most: int = 500) -> Column:
     """Cut at the last sentence mark, tried in a fixed order, that leaves at least 0.6 of the length."""
-    head = F.left(c, F.lit(most))
-    back = F.reverse(head)
-    out = None
-    for mark in "。！？，； ":
-        found = F.instr(back, mark)
-        at = F.lit(most) - found  # zero-based place of the last mark
-        ok = (found > 0) & (at >= 0.6 * most)
-        cut = F.left(head, (at + 1).cast("int"))
-        out = F.when(ok, cut) if out is None else out.when(ok, cut)
-    return F.when(F.length(c) <= most, c).otherwise(out.otherwise(head))
+
+    def cut(head: Column) -> Column:
+        out = None
+        for mark in "。！？，； ":
+            found = F.instr(F.reverse(head), mark)
+            at = F.lit(most) - found  # zero-based place of the last mark
+            ok = (found > 0) & (at >= 0.6 * most)
+            part = F.left(head, (at + 1).cast("int"))
+            out = F.when(ok, part) if out is None else out.when(ok, part)
+        return out.otherwise(head)
+
+    return once(c, lambda x: F.when(F.length(x) <= most, x).otherwise(once(F.left(x, F.lit(most)), cut)))
 
 
 def stable_id(*parts: Column) -> Column:

@@ -22,7 +22,8 @@ def head_of_groups(df: DataFrame, keys: list[str], order: list[Column], n: int)
 
 
 def cleaned(df: DataFrame, text: str = "text", profile: T.Profile = T.SITE_REVIEW, without: tuple[str, ...] = ()) -> DataFrame:
-    return df.withColumn("text_clean", T.clean(F.col(text), profile, without))
+    """The rows with text_clean. It is exploded from an array of one, which keeps later filters from repeating its work."""
+    return df.drop("text_clean").select("*", F.explode(F.array(T.clean(F.col(text), profile, without))).alias("text_clean"))
 
 
 def step_counts(df: DataFrame, text: str = "text", profile: T.Profile = T.SITE_REVIEW, steps: tuple[str, ...] = ("newline", "markup", "links", "topic", "bracket", "emoji", "control", "half", "space", "strip")) -> DataFrame:
@@ -36,7 +37,8 @@ def step_counts(df: DataFrame, text: str = "text", profile: T.Profile = T.SITE_R
 def valid_unique(df: DataFrame, scope: str, order: str, profile: T.Profile = T.SITE_REVIEW, without: tuple[str, ...] = ()) -> DataFrame:
     """Clean, drop invalid rows, clip, keep the first of equal texts and then of equal keys within the scope."""
     rows = cleaned(df, profile=profile, without=without).where(T.invalid_reason(F.col("text_clean"), profile).isNull())
-    rows = rows.withColumn("text_clean", T.clip(F.col("text_clean"), profile.clip)).withColumn("dedup_key", T.dedup_key(F.col("text_clean")))
+    rows = rows.withColumn("text_clean", T.clip(F.col("text_clean"), profile.clip))
+    rows = rows.withColumn("dedup_key", T.dedup_key(F.col("text_clean")))
     return keep_first(keep_first(rows, [scope, "text_clean"], [order]), [scope, "dedup_key"], [order])
 
 
