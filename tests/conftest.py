@@ -27,4 +27,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return "/root/testdata/sf0.001"
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
