@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from corpusforge.llm import bigru, boosting, entries, grammar, langid, masked_lm, quality, runtime, secrets, simhash, spotsigs
@@ -290,6 +291,38 @@ def test_masked_lm_training_lowers_the_loss_and_counts_are_whole(spark):
     assert masked_lm.score(df.limit(0), masked_lm.train(df.limit(0))).count() == 0
 
 
+def test_masked_lm_learns_from_all_documents_alike_however_split(spark):
+    texts = ["a b c d e " * 400, "e d c b a " * 300, "a", None, "", "zz yy " * 3000]
+    df = frame(spark, texts).coalesce(1)
+    model = masked_lm.network([(w, 9) for w in (b"a", b"b", b"c", b"d", b"e")], [9] * masked_lm.OTHERS, [1] * masked_lm.OTHERS)
+    docs = [masked_lm.words_of(t) for t in texts]
+    for words in docs:
+        context, target = model.windows(words, 1)
+        ids = model.encode(words)
+        assert not words or (context.tolist() == model.contexts(ids).tolist() and target.tolist() == model.of[ids].tolist())
+        assert len(model.windows(words)[1]) >= bool(words)
+    before = sum(model.log_probability(w) for w in docs if w)
+    for parts in (df, df.repartition(3, "doc_id")):
+        learnt = masked_lm.over_all(parts, model)
+        assert sum(learnt.log_probability(w) for w in docs if w) > before
+        again = masked_lm.over_all(parts, model)
+        assert all(np.array_equal(learnt.p[k], again.p[k]) for k in learnt.p)
+    assert masked_lm.over_all(df.limit(0), model) is model
+
+
+def test_masked_lm_changes_are_averaged_by_steps(spark):
+    model = masked_lm.network([(b"a", 9), (b"b", 5)], [9] * masked_lm.OTHERS, [1] * masked_lm.OTHERS)
+    parts = [["a b " * 9000], ["b " * 3000, "a"]]
+    found = []
+    for texts in parts:
+        (batch,) = masked_lm.changes([pa.RecordBatch.from_pydict({"text": texts})], model)
+        found.append(dict(zip(batch.column("slot").to_pylist(), batch.column("total").to_pylist(), strict=True)))
+    want = sum(f.get(0, 0) for f in found) / masked_lm.UNIT / sum(f[-1] for f in found)
+    split = spark.sparkContext.parallelize([(t,) for texts in parts for t in texts], 2).toDF("text string")
+    assert [len(x) for x in split.rdd.glom().collect()] == [1, 2]
+    assert abs(masked_lm.over_all(split, model).p["a"].ravel()[0] - model.p["a"].ravel()[0] - want) < 1e-6
+
+
 def test_masked_lm_contexts_hide_the_token():
     model = masked_lm.network([(b"a", 3), (b"b", 2)], [0] * masked_lm.OTHERS, [0] * masked_lm.OTHERS)
     assert model.contexts(np.array([1, 2, 1])).tolist() == [[0, 0, 2, 1], [0, 1, 1, 0], [1, 2, 0, 0]]
