@@ -4,8 +4,10 @@ Every partition packs its own documents, in groups of `GROUP` documents: no shuf
 partition that is worked out again gives the same pieces. A document of 2048 ids or more gives full windows as they
 come; its rest waits. A window is opened with the longest waiting length; the reachable sums of the others are one
 big integer, shifted once for each power-of-two share of a length's count; the reachable sum closest to the
-capacity is traced back to counts of lengths. A window less full than `SLACK` stays open for the next group. What is
-left at a partition's end is cut to power-of-two sequences, which need no padding.
+capacity is traced back to counts of lengths. A window less full than `SLACK` stays open for the next group. At a
+partition's end a length that no others complete is set aside while the others go on; then each window of those set
+aside takes the best sum and a part of one more piece. Only what is left of one window is laid end to end and cut to
+power-of-two sequences, which need no padding.
 
 Defined results: a null or empty text has one id (the end id), so one piece; repeated rows are packed as separate
 documents, also under equal doc_ids; ties take the earliest document; an empty table gives an empty table;
@@ -68,6 +70,7 @@ class Packer:
         self.capacity, self.next = capacity, first_sequence
         self.waiting: dict[int, deque] = defaultdict(deque)
         self.out: list[tuple] = []
+        self.by_sums = 0  # ids in windows made of whole pieces by subset sums
 
     def place(self, pieces: list[tuple]) -> None:
         at = 0
@@ -93,37 +96,62 @@ class Packer:
             del self.waiting[length]
         return piece
 
+    def longest(self) -> tuple[int, dict[int, int], int]:
+        """The longest waiting length, the counts of others that fill its window best, and the window's ids."""
+        longest = max(self.waiting)
+        counts = {n: len(q) for n, q in self.waiting.items()}
+        counts[longest] -= 1
+        used = fill({n: c for n, c in counts.items() if c}, self.capacity - longest)
+        return longest, used, longest + sum(n * c for n, c in used.items())
+
+    def taken(self, longest: int, used: dict[int, int]) -> list[tuple]:
+        return [self.take(longest)] + [self.take(n) for n, c in used.items() for _ in range(c)]
+
     def pack(self, last: bool = False) -> None:
-        """Windows from what waits; one that is not nearly full stays for later pieces, unless they are the last."""
+        """Windows from what waits; one that is not nearly full stays for later pieces, unless they are the last.
+
+        At the last call a longest length that no others complete is set aside, and the rest go on without it.
+        """
+        aside = {}
         while self.waiting:
-            longest = max(self.waiting)
-            counts = {n: len(q) for n, q in self.waiting.items()}
-            counts[longest] -= 1
-            used = fill({n: c for n, c in counts.items() if c}, self.capacity - longest)
-            total = longest + sum(n * c for n, c in used.items())
-            if total < self.capacity - (0 if last else SLACK) and (last or sum(len(q) for q in self.waiting.values()) < GROUP):
+            longest, used, total = self.longest()
+            if last and total < self.capacity:
+                aside[longest] = self.waiting.pop(longest)
+                continue
+            if total < self.capacity - SLACK and sum(len(q) for q in self.waiting.values()) < GROUP:
                 break
-            pieces = [self.take(longest)]
-            for n, c in used.items():
-                pieces += [self.take(n) for _ in range(c)]
-            self.place(pieces)
+            self.by_sums += total
+            self.place(self.taken(longest, used))
+        self.waiting.update(aside)
         if last:
             self.finish()
 
     def finish(self) -> None:
-        """The rest, laid end to end and cut: full windows, then a sequence for each power of two in what is left."""
-        rest = [self.take(n) for n in sorted(self.waiting, reverse=True) for _ in range(len(self.waiting[n]))]
-        left = sum(len(x[2]) // 4 for x in rest)
+        """The rest: the best sum for each window and a part of one more piece; at the end, powers of two.
+
+        No piece left by a best sum fits the gap as a whole, so the shortest is cut and its other part waits on.
+        """
+        left = sum(n * len(q) for n, q in self.waiting.items())
+        while left >= self.capacity:
+            longest, used, total = self.longest()
+            pieces = self.taken(longest, used)
+            if gap := self.capacity - total:
+                doc_id, start, ids, n = self.take(min(self.waiting))
+                pieces.append((doc_id, start, ids[: 4 * gap], n))
+                self.waiting[len(ids) // 4 - gap].append((doc_id, start + gap, ids[4 * gap :], n))
+            self.place(pieces)
+            left -= self.capacity
+        rest = deque(self.take(n) for n in sorted(self.waiting, reverse=True) for _ in range(len(self.waiting[n])))
         while left:
-            size = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
+            size = 1 << (left.bit_length() - 1)
             left -= size
             pieces = []
             while size:
-                doc_id, start, ids, total = rest.pop(0)
+                doc_id, start, ids, total = rest.popleft()
                 n = min(size, len(ids) // 4)
                 pieces.append((doc_id, start, ids[: 4 * n], total))
                 if n < len(ids) // 4:
-                    rest.insert(0, (doc_id, start + n, ids[4 * n :], total))
+                    rest.appendleft((doc_id, start + n, ids[4 * n :], total))
                 size -= n
             self.place(pieces)
 

@@ -140,6 +140,28 @@ def test_packing_of_edge_rows(spark):
     assert packing.pack(df.limit(0), BPE).count() == 0
 
 
+def test_packing_is_by_sums_in_a_small_partition_too():
+    def whole(lengths):
+        packer = packing.Packer(0)
+        for k, n in enumerate(lengths):
+            packer.add(k, bytes(4 * n))
+        packer.pack(last=True)
+        by_sequence = defaultdict(int)
+        for _, start, n, _, total, sequence, offset in packer.out:
+            assert offset == by_sequence[sequence] and start + n <= total
+            by_sequence[sequence] += n
+        assert sum(by_sequence.values()) == sum(lengths)
+        assert all(n == 2048 or n & (n - 1) == 0 for n in by_sequence.values())
+        assert sum(n < 2048 for n in by_sequence.values()) <= 11
+        return sum(p[2] for p in packer.out if p[2] == p[4]) / sum(lengths)
+
+    r = random.Random(6)
+    # A length without a partner stops no other; of mixed lengths nearly all stay whole.
+    assert whole([2040] + [1000, 1048] * 20) > 0.94
+    assert whole([r.randint(1, 1500) for _ in range(400)]) > 0.97
+    assert whole([1500] * 9) > 0.3 and whole([5]) < 1 and whole([2048]) == 1
+
+
 def test_fill_is_as_close_as_brute_force():
     r = random.Random(4)
     for _ in range(200):
