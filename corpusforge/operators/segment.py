@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,15 @@ def normal(tokens: Column) -> Column:
 
 
 def boundaries(tokens: Column) -> Column:
-    """End offsets of all tokens but the last, in the space of the tokens' own characters."""
-    ends = F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(t))).alias("out")), lambda s: s["out"])
-    return F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))
+    """End offsets of all tokens but the last, in the space of the tokens' own characters.
+
+    A running sum, linear in the tokens: a fold over arrays would copy its array for each of them.
+    """
+
+    def ends(lengths: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else list(accumulate(x[:-1])) for x in lengths.to_pylist()], pa.list_(pa.int32()))
+
+    return F.arrow_udf(ends, "array<int>")(F.transform(tokens, F.length))
 
 
 def cut(text: Column, ends: Column) -> Column:
@@ -81,9 +89,10 @@ def boundary_scores(df: DataFrame, ref: str, hyp: str) -> DataFrame:
 
 
 def consensus(df: DataFrame, methods: list[str], votes: int) -> Column:
-    """Boundaries that at least `votes` methods share."""
-    every = F.flatten(F.array(*[boundaries(normal(F.col(m))) for m in methods]))
-    return F.array_sort(F.filter(F.array_distinct(every), lambda x: F.size(F.filter(every, lambda y: y == x)) >= votes))
+    """Boundaries that at least `votes` methods share (A27): a sorted place that stands `votes` times in a row."""
+    every = F.array_sort(F.flatten(F.array(*[boundaries(normal(F.col(m))) for m in methods])))
+    # The one-element array binds the sorted places, so that they are worked out once.
+    return F.flatten(F.transform(F.array(every), lambda e: F.array_distinct(F.filter(e, lambda x, i: F.get(e, i + votes - 1) == x))))
 
 
 def max_match(text: str, vocabulary: set[str], longest: int = 4) -> list[str]:

@@ -313,15 +313,15 @@ def pmi_vocab(spark, sf):
 
 # Segmentation metrics over regular tokenizers as methods
 
-_PARAS = "left(text, 300)"  # a method's input: each document's opening, as titles are
+_PARAS = "left(text, 300)"  # the SQL's input; seg_*_whole below read every text to its end
 _M1, _M2, _M3 = r"[\p{L}]+|[\p{N}]+", r"[\p{L}\p{N}]+", r"[\p{L}]{1,4}|[\p{N}]+"
 _BND = "list_transform(range(1, len({0})), lambda i: list_sum(list_transform({0}[1:i], lambda s: length(s)))::BIGINT)"
 _SEG = "seg AS (SELECT doc_id, regexp_extract_all(x, '{0}') AS m1, regexp_extract_all(x, '{1}') AS m2, regexp_extract_all(x, '{2}') AS m3 FROM (SELECT doc_id, left(text, 300) AS x FROM documents))".format(_M1, _M2, _M3)
 _BOUND = f"{_SEG}, b AS (SELECT doc_id, {_BND.format('m1')} AS b1, {_BND.format('m2')} AS b2, {_BND.format('m3')} AS b3 FROM seg)"
 
 
-def _methods(spark, sf):
-    x = F.left("text", F.lit(300))
+def _methods(spark, sf, whole=False):
+    x = F.col("text") if whole else F.left("text", F.lit(300))
     return table(spark, sf, "documents").select("doc_id", x.alias("x"), *[F.regexp_extract_all(x, F.lit(p), F.lit(0)).alias(m) for m, p in (("m1", _M1), ("m2", _M2), ("m3", _M3))])
 
 
@@ -330,20 +330,20 @@ def _prf_sql(tp, fp, fn):
 
 
 @query(f"WITH {_BOUND}, s AS (SELECT sum(len(list_intersect(b1, b3))) AS tp, sum(len(list_filter(b3, lambda q: NOT list_contains(b1, q)))) AS fp, sum(len(list_filter(b1, lambda q: NOT list_contains(b3, q)))) AS fn FROM b) SELECT {_prf_sql('tp', 'fp', 'fn')} FROM s")
-def seg_boundary_f1(spark, sf):
-    return Z.boundary_scores(_methods(spark, sf), "m1", "m3")
+def seg_boundary_f1(spark, sf, whole=False):
+    return Z.boundary_scores(_methods(spark, sf, whole), "m1", "m3")
 
 
 @query(f"WITH {_SEG}, r AS (SELECT doc_id, unnest(m1) AS t FROM seg), h AS (SELECT doc_id, unnest(m3) AS t FROM seg), rc AS (SELECT doc_id, t, count(*) AS r FROM r GROUP BY ALL), hc AS (SELECT doc_id, t, count(*) AS h FROM h GROUP BY ALL), "
        f"s AS (SELECT sum(least(coalesce(r, 0), coalesce(h, 0))) AS tp, sum(coalesce(h, 0)) - sum(least(coalesce(r, 0), coalesce(h, 0))) AS fp, sum(coalesce(r, 0)) - sum(least(coalesce(r, 0), coalesce(h, 0))) AS fn FROM rc FULL JOIN hc USING (doc_id, t)) SELECT {_prf_sql('tp', 'fp', 'fn')} FROM s")
-def seg_segment_f1(spark, sf):
-    m = Z.multiset_match(_methods(spark, sf), "doc_id", "m1", "m3").agg(F.sum("tp").alias("tp"), (F.sum("n_hyp") - F.sum("tp")).alias("fp"), (F.sum("n_ref") - F.sum("tp")).alias("fn"))
+def seg_segment_f1(spark, sf, whole=False):
+    m = Z.multiset_match(_methods(spark, sf, whole), "doc_id", "m1", "m3").agg(F.sum("tp").alias("tp"), (F.sum("n_hyp") - F.sum("tp")).alias("fp"), (F.sum("n_ref") - F.sum("tp")).alias("fn"))
     return m.select("tp", "fp", "fn", *Z.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 @query("WITH " + _BOUND + ", l AS (SELECT doc_id, 1 AS m, b1 AS b FROM b UNION ALL SELECT doc_id, 2, b2 FROM b UNION ALL SELECT doc_id, 3, b3 FROM b) SELECT p.m::BIGINT AS a, q.m::BIGINT AS b, sum(len(list_intersect(p.b, q.b)))::BIGINT AS both, sum(len(p.b))::BIGINT AS na, sum(len(q.b))::BIGINT AS nb, round(2 * sum(len(list_intersect(p.b, q.b))) / greatest(sum(len(p.b)) + sum(len(q.b)), 1)::DOUBLE, 4) AS f1 FROM l p JOIN l q ON p.doc_id = q.doc_id AND p.m < q.m GROUP BY ALL")
-def seg_pairwise(spark, sf):
-    rows = _methods(spark, sf)
+def seg_pairwise(spark, sf, whole=False):
+    rows = _methods(spark, sf, whole)
     bounds = [Z.boundaries(Z.normal(F.col(m))) for m in ("m1", "m2", "m3")]
     pairs = [(i, j) for i in range(3) for j in range(i + 1, 3)]
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(i + 1).cast("long").alias("a"), F.lit(j + 1).cast("long").alias("b"), F.size(F.array_intersect(bounds[i], bounds[j])).alias("both"), F.size(bounds[i]).alias("na"), F.size(bounds[j]).alias("nb")) for i, j in pairs])).alias("x")).select("x.*")
@@ -352,22 +352,55 @@ def seg_pairwise(spark, sf):
 
 
 @query(f"WITH {_SEG}, t AS (SELECT unnest(m3) AS t FROM seg), n AS (SELECT count(*) AS tokens, round(avg(length(t)), 4) AS mean_len, round(avg((length(t) = 1)::INT), 4) AS single_share, count(DISTINCT t) AS vocab FROM t) SELECT tokens::BIGINT AS tokens, mean_len, single_share, vocab::BIGINT AS vocab FROM n")
-def seg_describe(spark, sf):
-    t = _methods(spark, sf).select(F.explode(Z.normal(F.col("m3"))).alias("t"))
+def seg_describe(spark, sf, whole=False):
+    t = _methods(spark, sf, whole).select(F.explode(Z.normal(F.col("m3"))).alias("t"))
     return t.agg(F.count("*").alias("tokens"), F.round(F.avg(F.length("t")), 4).alias("mean_len"), F.round(F.avg((F.length("t") == 1).cast("int")), 4).alias("single_share"), F.countDistinct("t").alias("vocab"))
 
 
 @query(f"WITH {_BOUND}, e AS (SELECT doc_id, unnest(list_concat(b1, b2, b3)) AS p FROM b), v AS (SELECT doc_id, p FROM e GROUP BY ALL HAVING count(*) >= 3) SELECT d.doc_id, count(v.p)::BIGINT AS n, coalesce(sum(v.p), 0)::BIGINT AS place_sum FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id")
-def seg_consensus(spark, sf):
-    c = Z.consensus(_methods(spark, sf), ["m1", "m2", "m3"], 3)
-    return _methods(spark, sf).select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("place_sum"))
+def seg_consensus(spark, sf, whole=False):
+    c = Z.consensus(_methods(spark, sf, whole), ["m1", "m2", "m3"], 3)
+    return _methods(spark, sf, whole).select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("place_sum"))
 
 
 @query(f"WITH {_BOUND} SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(b1, b2, b3))) = 0 THEN 1 ELSE len(list_intersect(list_intersect(b1, b2), b3)) / len(list_distinct(list_concat(b1, b2, b3)))::DOUBLE END, 4) AS rate FROM b")
-def seg_agree_rate(spark, sf):
+def seg_agree_rate(spark, sf, whole=False):
     b = [Z.boundaries(Z.normal(F.col(m))) for m in ("m1", "m2", "m3")]
     either, both = F.size(F.array_union(F.array_union(b[0], b[1]), b[2])), F.size(F.array_intersect(F.array_intersect(b[0], b[1]), b[2]))
-    return _methods(spark, sf).select("doc_id", F.round(F.when(either == 0, 1.0).otherwise(both / either), 4).alias("rate"))
+    return _methods(spark, sf, whole).select("doc_id", F.round(F.when(either == 0, 1.0).otherwise(both / either), 4).alias("rate"))
+
+
+# The six over whole texts. They have no SQL; the tests hold them against brute force.
+
+
+@query()
+def seg_boundary_f1_whole(spark, sf):
+    return seg_boundary_f1(spark, sf, whole=True)
+
+
+@query()
+def seg_segment_f1_whole(spark, sf):
+    return seg_segment_f1(spark, sf, whole=True)
+
+
+@query()
+def seg_pairwise_whole(spark, sf):
+    return seg_pairwise(spark, sf, whole=True)
+
+
+@query()
+def seg_describe_whole(spark, sf):
+    return seg_describe(spark, sf, whole=True)
+
+
+@query()
+def seg_consensus_whole(spark, sf):
+    return seg_consensus(spark, sf, whole=True)
+
+
+@query()
+def seg_agree_rate_whole(spark, sf):
+    return seg_agree_rate(spark, sf, whole=True)
 
 
 def _vocabulary(spark, sf, most: int = 3000) -> dict[str, int]:

@@ -1,9 +1,12 @@
 """Goldens and edge rows of the reference's operators."""
 
+import itertools
 import json
 import math
 import random
 import statistics
+import unicodedata
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from corpusforge.operators import ml as M
 from corpusforge.operators import segment as Z
 from corpusforge.operators import semi as J
 from corpusforge.operators import series as D
+from corpusforge.plans import catalogue
 from corpusforge.sources import tables as R
 from corpusforge.streaming import events as E
 
@@ -113,6 +117,43 @@ def test_segmentation_goldens(spark):
     assert column(spark, ["visit http://a.b/c 酒庄 A1-b 3.5!"], Z.blocks)[0] == ["visit", "http://a.b/c", "酒庄", "A1-b", "3.5", "!"]
 
 
+def regular_tokens(text):
+    """By hand: runs of letters and of digits; of both together; letters in fours and runs of digits."""
+    kind = lambda c: unicodedata.category(c)[0] if unicodedata.category(c)[0] in "LN" else ""
+    runs = [(k, "".join(g)) for k, g in itertools.groupby(text, kind) if k]
+    both = ["".join(g) for k, g in itertools.groupby(text, lambda c: bool(kind(c))) if k]
+    return [t for _, t in runs], both, [p for k, t in runs for p in ([t[i : i + 4] for i in range(0, len(t), 4)] if k == "L" else [t])]
+
+
+def test_segmentation_queries_read_whole_texts(spark, tmp_path):
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefg12 .é酒") for _ in range(n)) for n in (0, 1, 40, 299, 301, 5000)] + ["x" * 300 + " tail99", "word " * 20_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    tokens = [regular_tokens(t) for t in texts]
+    ends = [[set(itertools.accumulate(map(len, m[:-1]))) for m in three] for three in tokens]
+    both = lambda i, j: sum(len(e[i] & e[j]) for e in ends)
+    size = lambda i: sum(len(e[i]) for e in ends)
+    s = run("seg_boundary_f1_whole")[0]
+    assert (s.tp, s.fp, s.fn) == (both(0, 2), size(2) - both(0, 2), size(0) - both(0, 2))
+    same = sum((Counter(m[0]) & Counter(m[2])).total() for m in tokens)
+    s = run("seg_segment_f1_whole")[0]
+    assert (s.tp, s.fp, s.fn) == (same, sum(len(m[2]) for m in tokens) - same, sum(len(m[0]) for m in tokens) - same)
+    assert {(x.a, x.b, x.both, x.na, x.nb) for x in run("seg_pairwise_whole")} == {(i + 1, j + 1, both(i, j), size(i), size(j)) for i in range(3) for j in range(i + 1, 3)}
+    third = [t for m in tokens for t in m[2]]
+    s = run("seg_describe_whole")[0]
+    assert (s.tokens, s.vocab, s.mean_len) == (len(third), len(set(third)), round(sum(map(len, third)) / len(third), 4))
+    shared = [e[0] & e[1] & e[2] for e in ends]
+    assert {x.doc_id: (x.n, x.place_sum) for x in run("seg_consensus_whole")} == {k: (len(e), sum(e)) for k, e in enumerate(shared)}
+    rate = lambda k: round(len(shared[k]) / len(set().union(*ends[k])), 4) if set().union(*ends[k]) else 1.0
+    assert {x.doc_id: x.rate for x in run("seg_agree_rate_whole")} == {k: rate(k) for k in range(len(texts))}
+
+
+def test_consensus_of_two_votes(spark):
+    df = spark.createDataFrame([(["ab", "c", "d"], ["a", "bc", "d"], ["a", "b", "c", "d"])], "a array<string>, b array<string>, c array<string>")
+    assert [df.select(Z.consensus(df, ["a", "b", "c"], v)).first()[0] for v in (1, 2, 3)] == [[1, 2, 3], [1, 2, 3], [3]]
+
+
 def test_decoders_restore_the_text(spark):
     words = {"ab": 5, "a": 2, "b": 2, "cd": 3, "c": 1, "d": 1}
     for method in ("max_match", "viterbi"):
