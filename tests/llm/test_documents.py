@@ -323,6 +323,15 @@ def test_masked_lm_changes_are_averaged_by_steps(spark):
     assert abs(masked_lm.over_all(split, model).p["a"].ravel()[0] - model.p["a"].ravel()[0] - want) < 1e-6
 
 
+def test_masked_lm_steps_cover_every_window():
+    model = masked_lm.network([(b"a", 9), (b"b", 5)], [9] * masked_lm.OTHERS, [1] * masked_lm.OTHERS)
+    for texts in (["a b " * (4 * masked_lm.BATCH)], ["a b b"] * 3000, ["a"] * 5, ["", None, "b a " * 4000]):
+        (batch,) = masked_lm.changes([pa.RecordBatch.from_pydict({"text": texts})], model)
+        words = sum(len(masked_lm.words_of(t)) for t in texts)
+        found = dict(zip(batch.column("slot").to_pylist(), batch.column("total").to_pylist(), strict=True))
+        assert found[-1] == -(-words // masked_lm.BATCH)
+
+
 def test_masked_lm_contexts_hide_the_token():
     model = masked_lm.network([(b"a", 3), (b"b", 2)], [0] * masked_lm.OTHERS, [0] * masked_lm.OTHERS)
     assert model.contexts(np.array([1, 2, 1])).tolist() == [[0, 0, 2, 1], [0, 1, 1, 0], [1, 2, 0, 0]]
