@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, html_template, langid, masked_lm, packing, quality, secrets, simhash, spotsigs
+from . import bpe, counts, html_template, langid, masked_lm, packing, quality, runtime, secrets, simhash, spotsigs
 
 
 def _tokenizer(name: str) -> str:
@@ -55,7 +55,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.train(docs))
+    words = runtime.checkpoint(masked_lm.word_counts(docs))
+    return masked_lm.score(docs, masked_lm.train_on(docs, words), words)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,6 +332,29 @@ def test_masked_lm_steps_cover_every_window():
         assert found[-1] == -(-words // masked_lm.BATCH)
 
 
+def test_masked_lm_scores_every_word_by_its_own_count(spark):
+    # One shared id for xxab and yyab; the vocabulary is cut to three words.
+    texts = ["the of and " * 300, "the xxab of " * 90, "yyab", "xxab", "the of qqab", "xxab yyab unseen", None, ""]
+    df = frame(spark, texts)
+    counts = Counter(w for t in texts for w in masked_lm.words_of(t))
+    model = masked_lm.train(df, vocabulary=3, steps=20)
+    of = {w: int(model.of[model.encode([w])[0]]) for w in counts}
+    mass = Counter()
+    for w, n in counts.items():
+        mass[of[w]] += n
+    empty = {1 + len(model.ids) + k for k in range(masked_lm.OTHERS)} - {int(model.encode([w])[0]) for w in counts}
+    for k in empty:  # a shared id without a word weighs one
+        mass[int(model.of[k])] += 1
+    got = {r.doc_id: r for r in masked_lm.score(df, model, masked_lm.word_counts(df)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        words = masked_lm.words_of(t)
+        z = model.forward(model.contexts(model.encode(words)))[2] if words else []
+        want = sum(float(row[of[w]]) + np.log(counts[w] / mass[of[w]]) for row, w in zip(z, words, strict=True))
+        assert got[k].n_tokens == len(words) and abs(got[k].log_probability - want) < 1e-3 * max(1, len(words) / 100)
+    assert abs(got[3].log_probability - got[2].log_probability - np.log(counts[b"xxab"] / counts[b"yyab"])) < 1e-6
+
+
 def test_masked_lm_contexts_hide_the_token():
     model = masked_lm.network([(b"a", 3), (b"b", 2)], [0] * masked_lm.OTHERS, [0] * masked_lm.OTHERS)
     assert model.contexts(np.array([1, 2, 1])).tolist() == [[0, 0, 2, 1], [0, 1, 1, 0], [1, 2, 0, 0]]
