@@ -32,6 +32,31 @@ def test_encode_and_decode_equal_the_library(texts):
         assert "".join(own.decode(packed, block=7)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_without_a_space_equal_the_library():
+    library, own = Tokenizer.from_file(BPE), bpe.loaded(BPE)
+    for t in ("a" * 2_000_000, "\u65e5\u672c\u8a9e" * 250_000, "\n" * 2_000_000, "one line of words " * 110_000):
+        ids = library.encode(t, add_special_tokens=False).ids
+        n, of_ids, of_text = own.digest(t)
+        assert n == len(ids) and of_text == hashlib.sha256(t.encode()).hexdigest()
+        assert of_ids == hashlib.sha256(b"".join(map(own.packed.__getitem__, ids))).hexdigest()
+
+
+def test_pairs_of_tokens_fit_as_the_merges_say():
+    own, r = bpe.loaded(BPE), random.Random(12)
+    for _ in range(20_000):
+        a, b = (r.randrange(r.choice([300, 3000, 50_256])) for _ in range(2))
+        merged = own.merge([own.first[x] for x in own.bytes_of[a] + own.bytes_of[b]])
+        assert own.fits(a, b) == (merged == [a, b])
+
+
+def test_every_piece_is_transduced_and_few_states_give_the_same(texts, monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 400)
+    small, own = bpe.ByteBpe(BPE), bpe.loaded(BPE)
+    for t in texts[:80]:
+        for piece in map(str.encode, own.pattern.findall(t)):
+            assert small.transduce(piece) == own.merge([own.first[x] for x in piece])
+
+
 def test_lookahead_is_sufficient_and_pending_text_bounded():
     own = bpe.loaded(BPE)
     assert 0 < own.lookahead < 1000
