@@ -29,13 +29,20 @@ class BiGru:
             self.p["c"] = np.zeros((self.classes, 1))
         self.p = {k: np.ascontiguousarray(v, np.float32) for k, v in self.p.items()}
 
-    def direction(self, d: str, x: np.ndarray, cache: list | None = None) -> np.ndarray:
-        """States (steps, hidden, lanes) of one direction over bytes x (steps, lanes); d: f or b."""
+    def direction(self, d: str, x: np.ndarray, cache: list | None = None, start: np.ndarray | None = None, active: np.ndarray | None = None) -> np.ndarray:
+        """States (steps, hidden, lanes) of one direction over bytes x (steps, lanes); d: f or b.
+
+        start: the lanes' states before (zero by default). active: lanes, the first so many, that have a byte at each
+        step; the states of the others stay as they are.
+        """
         w, u, h, (steps, lanes) = self.p[f"w{d}"], self.p[f"u{d}"], self.hidden, x.shape
         out = np.empty((steps, h, lanes), np.float32)
-        s = np.zeros((h, lanes), np.float32)
+        s = np.zeros((h, lanes), np.float32) if start is None else start
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            a, g = w.take(x[t], axis=1), u @ s
+            n_active = lanes if active is None else active[t]
+            whole = n_active == lanes
+            before = s if whole else np.ascontiguousarray(s[:, :n_active])
+            a, g = w.take(x[t] if whole else x[t, :n_active], axis=1), u @ before
             rz = a[: 2 * h]
             rz += g[: 2 * h]
             np.multiply(rz, 0.5, out=rz)
@@ -47,14 +54,23 @@ class BiGru:
             np.tanh(n, out=n)
             if cache is not None:
                 cache.append((t, s, rz, n, g[2 * h :]))
-            s = n + rz[h:] * (s - n)
+            after = n + rz[h:] * (before - n)
+            if whole:
+                s = after
+            else:
+                s = s.copy() if t in (0, steps - 1) else s
+                s[:, :n_active] = after
             out[t] = s
         return out
 
     def positions(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (steps, classes, lanes) of the classes at every position."""
-        z = self.p["v"][:, : self.hidden] @ self.direction("f", x)
-        z += self.p["v"][:, self.hidden :] @ self.direction("b", x)
+        return self.labelled(self.direction("f", x), self.direction("b", x))
+
+    def labelled(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes from the states of both directions."""
+        z = self.p["v"][:, : self.hidden] @ forward
+        z += self.p["v"][:, self.hidden :] @ backward
         z += self.p["c"]
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)

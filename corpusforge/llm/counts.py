@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .bpe import Memo, _checked
+from .bpe import Memo
 
 #: Compiled states and known token pairs that are kept, and the code points of a chunk.
 STATES, PAIRS, CHUNK = 200_000, 400_000, 1 << 18
@@ -201,13 +201,13 @@ def loaded(path: str) -> CountTransducer:
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the tokens of each row's whole text."""
     keep = list(keep)
-    schema = f"{_checked(df, keep, out)}`{out}` bigint"
+    schema = runtime.kept_and(df, keep, f"`{out}` bigint")
 
     def work(batch: pa.RecordBatch) -> dict:
         transducer = loaded(path)
         return {c: batch.column(c) for c in keep} | {out: [transducer.tokens(t or "") for t in batch.column("_text").to_pylist()]}
 
-    return runtime.per_batch(df.select(*keep, F.col(text).alias("_text")), schema, work, [*keep, "_text"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias("_text")), schema, work, [*keep, "_text"])
 
 
 def limits(df: DataFrame, path: str, most: int = 4096) -> DataFrame:

@@ -16,6 +16,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict, deque
@@ -30,6 +31,8 @@ from . import runtime
 from .bpe import PIECES, ByteBpe
 
 CAPACITY, END_ID, GROUP, SLACK = 2048, 1, 4096, 4
+#: White space, or other characters, in one run, beyond which a text is encoded by this package's own encoder.
+LONG_RUN = 20_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -159,19 +162,23 @@ class Packer:
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library, by tiktoken's engine over the same vocabulary.
 
-    The ids are those of the tokenizers library (tests hold them equal); the engine takes a third of its time.
+    The ids are those of the tokenizers library (tests hold them equal); the engine takes a third of its time. Its pattern
+    matcher recurses on long runs of white space, so texts with a long run go to this package's own encoder.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
-        model = ByteBpe(path)
+        model = self.own = ByteBpe(path)
         special = set(model.special.values())
         ranks = {x: i for i, x in enumerate(model.bytes_of) if i not in special}
         self.engine = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=model.special)
         self.special = list(model.special)
+        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
     def encode(self, text: str) -> bytes:
+        if len(text) > LONG_RUN and self.long_run.search(text):
+            return self.own.encode(text)
         if any(x in text for x in self.special):
             ids = self.engine.encode(text, allowed_special="all", disallowed_special=())
         else:

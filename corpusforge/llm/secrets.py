@@ -123,13 +123,13 @@ def scan(df: DataFrame, formats: Formats | None, keep: tuple[str, ...] = ("doc_i
     """The kept columns and the spans of every text, by start, then kind as listed in KINDS."""
     keep = list(keep)
     shared = df.sparkSession.sparkContext.broadcast(formats)
-    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep) + f"found {SPANS}"
+    schema = runtime.kept_and(df, keep, f"found {SPANS}")
 
     def work(batch: pa.RecordBatch) -> dict:
         found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t, shared.value)] for t in batch.column("_text").to_pylist()]
         return {c: batch.column(c) for c in keep} | {"found": found}
 
-    return runtime.per_batch(df.select(*keep, F.col("text").alias("_text")), schema, work, [*keep, "_text"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), F.col("text").alias("_text")), schema, work, [*keep, "_text"])
 
 
 def joined(spans) -> F.Column:
@@ -168,7 +168,6 @@ def mask(df: DataFrame, formats: Formats | None) -> DataFrame:
     """The rows with secrets masked in text and n_chars counted anew; other columns stay."""
     shared = df.sparkSession.sparkContext.broadcast(formats)
     columns = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = [masked(t, shared.value) for t in batch.column("text").to_pylist()]
@@ -177,6 +176,4 @@ def mask(df: DataFrame, formats: Formats | None) -> DataFrame:
             out["n_chars"] = [n if t is None else len(t) for t, n in zip(texts, batch.column("n_chars").to_pylist(), strict=True)]
         return out
 
-    return runtime.per_batch(df, schema, work, columns)
-
-
+    return runtime.per_batch(df, df.schema, work, columns)

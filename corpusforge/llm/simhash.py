@@ -180,24 +180,54 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def labels(prints: DataFrame) -> DataFrame:
+    """fp, label (the component's smallest fingerprint), n (rows): of every different fingerprint of prints (fp)."""
+    nodes = runtime.checkpoint(prints.groupBy("fp").agg(F.count("*").alias("n")))
+    found = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "label")
+    return nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     prints = runtime.checkpoint(fingerprints(df, text))
-    nodes = runtime.checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(nodes.select("fp")))
-    joined = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    # Only fingerprints that stand for several documents or are linked need the lookup, but one join serves all.
-    of = joined.join(smallest, "label").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = runtime.checkpoint(labels(prints))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = labelled.join(first, "fp").select("fp", "label", "first")
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_label = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    of = runtime.join_split(named.select("fp", "label"), smallest, "label", of_label).select("fp", "component_id")
+    return runtime.join_split(prints, of, "fp", labelled.select("fp", "n")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all its columns.
+    """One row of each component, with all its columns: the one with the smallest doc_id, then the smallest row hash.
 
-    Rows that repeat a doc_id count as copies; rows without one cannot be told apart by it and stay.
+    Rows are told apart by doc_id and a hash of all their columns, so different texts under one doc_id are different
+    rows; rows without a doc_id come last in a component. Of rows that are equal in every column one is left.
     """
-    named = df.where(F.col("doc_id").isNotNull())
-    first = near_duplicates(named, text).select(F.col("component_id").alias("_first")).distinct()
-    kept = named.join(first, named["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(df.where(F.col("doc_id").isNull()))
+    hashed = [runtime.quoted(f.name) for f in df.schema if "map" not in f.dataType.simpleString()]
+    row = F.xxhash64(*hashed)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        found = np.array([simhash(t) for t in batch.column(text).to_pylist()], np.uint64)
+        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fp": found.view(np.int64)}
+
+    keyed = df.select("doc_id", text, row.alias("row"))
+    prints = runtime.checkpoint(runtime.per_batch(keyed, "doc_id bigint, row bigint, fp bigint", work, ["doc_id", text, "row"]))
+    labelled = runtime.checkpoint(labels(prints))
+    # The best row of each fingerprint, then of each component: a minimum, summed up before each shuffle.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    best = prints.groupBy("fp").agg(F.min(place).alias("best"))
+    first = labelled.join(best, "fp").groupBy("label").agg(F.min("best").alias("best"))
+    first = runtime.checkpoint(first.select(F.col("best.doc_id").alias("_first"), F.col("best.row").alias("_row")))
+    kept = df.withColumn("_row", row)
+    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["_first"]) & (kept["_row"] == first["_row"]), "left_semi")
+    # Only rows that are equal in every column are left to be told apart: their places are few, or one of many rows.
+    times = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = runtime.checkpoint(times.join(first, times["doc_id"].eqNullSafe(first["_first"]) & (times["row"] == first["_row"]), "left_semi").select(F.col("doc_id").alias("_first"), F.col("row").alias("_repeated")))
+    if repeated.isEmpty():
+        return kept.drop("_row")
+    same = kept["doc_id"].eqNullSafe(repeated["_first"]) & (kept["_row"] == repeated["_repeated"])
+    once = kept.join(repeated, same, "left_anti").select(*map(runtime.quoted, df.columns))
+    copies = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_row").agg(F.any_value(F.struct(*map(runtime.quoted, df.columns))).alias("_kept"))
+    return once.unionByName(copies.select("_kept.*"))

@@ -1,7 +1,9 @@
 """Main text of pages: by hand on the table's own markup, and on odd pages."""
 
 import html
+import random
 import re
+import time
 
 from corpusforge.llm import entries, html_template
 
@@ -35,6 +37,59 @@ def test_slots_without_an_article_element(spark):
     assert got[3] == "Long text number 3 of the page & more, with space\nsecond word word word"
 
 
+def random_host(r, host, pages):
+    """Pages whose elements and names are random tokens of the host: (url, page, text)."""
+    name = lambda: "x" + "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6))
+    top, menu, item, wrap, body, head, para, side, note, foot = (f"{name()}-{name()}" for _ in range(10))
+    cls = {t: f' class="{name()} {name()}"' for t in (top, menu, wrap, body, side, note, foot)}
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    adverts = [some(6) for _ in range(2)]
+    box = some(5)
+    for k in range(pages):
+        title, paragraphs = some(5), [some(r.randint(10, 60)) for _ in range(r.randint(1, 6))]
+        inner = f"<{head}>{title}</{head}>" + "".join(f"<{para}>{p}</{para}>" for p in paragraphs[:1]) + f"<{para}>{box}</{para}>" + "".join(f"<{para}>{p}</{para}>" for p in paragraphs[1:])
+        if k % 4 == 0:  # a part of one page, with a name that a word list would take for boilerplate
+            inner += '<section id="related-work"><p class="form-of-rule">rule of the form</p></section>'
+            paragraphs.append("rule of the form")
+        yield f"http://{host}/{k}", (
+            f"<html><body><{top}{cls[top]}>{host} {adverts[k % 2]}</{top}><{menu}{cls[menu]}>" + "".join(f"<{item}>{w}</{item}>" for w in ("home", "news", "mail")) + f"</{menu}>"
+            f"<{wrap}{cls[wrap]}><{body}{cls[body]}>{inner}</{body}><{side}{cls[side]}>{some(3)}</{side}></{wrap}>"
+            f"<{note}{cls[note]}>we use small files</{note}><{foot}{cls[foot]}>about {host}</{foot}></body></html>"
+        ), "\n".join([title, *paragraphs])
+
+
+def test_classes_decide_on_pages_with_random_elements_and_names(spark):
+    r = random.Random(21)
+    made = [row for k in range(4) for row in random_host(r, f"host{k}.example", 20)]
+    made += made[:1] * 30  # copies of one page change nothing
+    df = spark.createDataFrame([(k, u, p) for k, (u, p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_template.main_text(df).collect()}
+    assert got == {k: t for k, (_, _, t) in enumerate(made)}
+    # Without the classes nothing is left that could decide.
+    assert all(html_template.article(p) != t for _, p, t in made)
+
+
+def test_near_copies_on_a_host_keep_their_common_paragraphs(spark):
+    common = "".join(f"<p>paragraph {k} that all of the near copies share</p>" for k in range(5))
+    rows = [(k, f"http://n.example/{k}", f"<body><div class=a>menu</div><div class=b>{common}<p>own {k}</p></div></body>") for k in range(12)]
+    got = html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("paragraph 4 that all" in x.text and f"own {x.page_id}" in x.text for x in got)
+
+
+def test_hostile_pages_take_linear_time():
+    for page_ in ('<p a="' * 100_000, "<div>" * 50_000 + "x", "<b>" * 20_000 + "<p>x" * 20_000, '<p a="> ' * 50_001, "<" * 200_000, "<li>x" * 50_000, "<i>" * 20_000 + "</u>" * 20_000):
+        began = time.process_time()
+        html_template.article(page_)
+        html_template.page_tokens(page_)
+        assert time.process_time() - began < 10
+
+
+def test_unclosed_quotes_and_depth_lose_no_text():
+    assert html_template.article('<article><p a="x>one</p><p>two</p></article>') == "one\ntwo"
+    assert html_template.article("<div>" * 3000 + "<article><p>deep</p></article>") == "deep"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "x", "only text"), (4, "http://h/", "<p>a<p>b < c &lt;d&gt;"), (5, "http://h/", "<article><p>one</p></article>"), (5, "http://h/", "<article><p>one</p></article>"), (6, "http://h/2", "<div" * 300 + "<p>deep"), (7, "http://q/", "<!-- <p>x</p> --><b>bold</b> text <style>p{}</style>")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, text string")
@@ -49,4 +104,5 @@ def test_odd_pages(spark):
 def test_templates_nest_and_broadcast_bound_gives_the_same(spark, sf, monkeypatch):
     want = {r.page_id: r.text for r in entries.op6_main_text(spark, sf).collect()}
     monkeypatch.setattr(html_template, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(html_template, "COPIES", -1)
     assert {r.page_id: r.text for r in entries.op6_main_text(spark, sf).collect()} == want
