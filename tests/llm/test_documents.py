@@ -181,15 +181,43 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_language_edge_rows(spark):
-    df = frame(spark, [*EDGE, "1234 5678 !!", "the text of the matter " * 9])
+    df = frame(spark, [*EDGE, "1234 5678 !!", "the text of the matter " * 9, "½ ² ①"])
     languages, net = langid.learn([("the cat of the house and that is it", "en"), ("der hund und die katze im haus", "de")], steps=20)
     got = {r.doc_id: r for r in langid.predict(df, languages, net).collect()}
-    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (0, 1, 2, 7, 9)) and got[10].lang_pred in languages
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (0, 1, 2, 7, 9, 11)) and got[10].lang_pred in languages
     empty = df.limit(0)
     assert langid.train(empty) == ([], None) and langid.predict(empty, [], None).count() == 0
     assert langid.keep(df, languages, net).columns == df.columns
 
 
+def one_pass(network, text):
+    """Mean probabilities of one plain pass over a whole text."""
+    return network.positions(np.frombuffer(text, np.uint8).astype(np.int64)[:, None]).mean(axis=0)[:, 0]
+
+
+def test_language_states_are_carried_over_segments(spark):
+    docs = sorted(documents(spark, "/root/testdata/sf0.001").values(), key=lambda r: r.doc_id)
+    languages, net = langid.learn([(r.text, r.lang) for r in docs[:60]], steps=60)
+    texts = [r.text.encode() for r in docs[60:140]] + ["日本語の文".encode() * 900, b"x" * 5000, b"a"]
+    want = np.stack([one_pass(net, t) for t in texts])
+    for segment in (64, 333, 512):
+        assert np.abs(langid.pooled(net, texts, segment) - want).max() < 2e-3
+
+
+def test_language_filter_drops_text_in_no_language_and_keeps_clean_text(spark):
+    docs = [r for r in documents(spark, "/root/testdata/sf0.01").values() if len(r.text) > 300]
+    sample = [(r.text[:2000], r.lang) for r in docs[: len(docs) // 2]]
+    languages, net = langid.learn(sample)
+    limit = langid.threshold(sample, languages, net)
+    rng = np.random.default_rng(8)
+    clean = [r.text for r in docs[len(docs) // 2 :]]
+    noise = [langid.no_language(rng, t[:1500]) for t in clean[:200]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*clean, *noise])], "doc_id long, text string")
+    kept = {r.doc_id for r in langid.keep(df, languages, net, limit).collect()}
+    left, gone = sum(k < len(clean) for k in kept) / len(clean), 1 - sum(k >= len(clean) for k in kept) / len(noise)
+    assert left > 0.99 and gone > 0.8, (left, gone)
+
+
 # op8
 
 
@@ -263,6 +291,36 @@ def test_simhash_edge_rows(spark):
     assert kept.columns == df.columns and len([r for r in kept.collect() if r.doc_id in (5, 6)]) == 1
 
 
+def test_keep_first_tells_rows_apart_by_all_their_columns(spark):
+    one, two = "one text of its own with words enough " * 3, "quite another text about other things here " * 3
+    rows = [(3, one, "a"), (5, one, "b"), (5, two, "c"), (None, two + "!", "d"), (None, "alone", "e"), (None, "alone", "e"), (7, None, "f"), (8, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `odd name.x` string")
+    for parts in (1, 5):
+        got = sorted(((r[0], r[2]) for r in simhash.keep_first(df.repartition(parts)).collect()), key=str)
+        near = simhash_by_hand(two) ^ simhash_by_hand(two + "!")
+        want = [(3, "a"), (5, "c"), (7, "f"), (None, "e")] + ([(None, "d")] if near.bit_count() > 3 else [])
+        assert got == sorted(want, key=str)
+    assert simhash.keep_first(df).columns == df.columns
+
+
+def test_split_joins_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(k % 3 if k < 300 else k, k) for k in range(400)], "key long, x long")
+    lookup = spark.createDataFrame([(k, k * 10) for k in range(400)], "key long, y long")
+    counts = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    assert sorted(runtime.join_split(rows, lookup, "key", counts).collect()) == sorted(rows.join(lookup, "key").collect())
+
+
+def test_least_finds_the_edge_of_hashes(spark):
+    df = spark.range(5000).selectExpr("xxhash64(id) as h")
+    values = sorted(r.h for r in df.collect())
+    for rows in (1, 7, 400, 5000, 9000):
+        edge = runtime.least(df, df["h"], rows, bits=4)
+        below = sum(v <= edge for v in values)
+        assert min(rows, 5000) <= below <= max(2 * rows, 1)
+    assert runtime.least(df.limit(0), df["h"], 5) is None
+
+
 # op9
 
 

@@ -165,6 +165,12 @@ def test_packing_of_edge_rows(spark):
     assert packing.pack(df.limit(0), BPE).count() == 0
 
 
+def test_packing_encodes_long_runs_as_the_library():
+    library, own = Tokenizer.from_file(BPE), packing.Encoder(BPE)
+    for t in (" " * 1_000_000, "a" * 300_000, "words and " + "\n" * 50_000 + " more"):
+        assert list(memoryview(own.encode(t)).cast("I")) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_is_by_sums_in_a_small_partition_too():
     def whole(lengths):
         packer = packing.Packer(0)
