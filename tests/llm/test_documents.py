@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 
 from corpusforge.llm import bigru, boosting, entries, grammar, langid, masked_lm, quality, runtime, secrets, simhash, spotsigs
@@ -324,98 +323,124 @@ def test_least_finds_the_edge_of_hashes(spark):
 # op9
 
 
-def test_masked_lm_prefers_text_like_the_corpus(spark, sf):
-    rows = entries.op9_masked_lm(spark, sf).collect()
-    docs = documents(spark, sf)
-    assert {r.doc_id for r in rows} == docs.keys()
-    assert all(r.n_tokens == len(masked_lm.words_of(docs[r.doc_id].text)) and r.log_probability <= 0 for r in rows)
-    df = spark.read.parquet(f"{sf}/documents.parquet")
-    model = masked_lm.train(df)
+def probability_by_hand(model, before, own, behind):
+    """One plain pass of the network: the class from the hidden layer, then the id among those of its class."""
+    p, of = model.p, model.of
+    x = np.concatenate([p["f"][of[before]], p["g"][of[behind]]])
+    z = np.exp(np.tanh(x @ p["a"] + p["b"]) @ p["v"] + p["c"])
+    inside = np.exp(x @ p["u"] + p["d"])
+    return z[of[own]] / z.sum() * inside[own] / inside[of == of[own]].sum()
+
+
+def test_masked_lm_equals_a_plain_pass_and_sums_to_one():
+    model = masked_lm.network([(b"w%d" % k, 90 - k) for k in range(70)], [3] * masked_lm.OTHERS)
+    r = np.random.default_rng(4)
+    for l, i, h in r.integers(0, 1 + 70 + masked_lm.OTHERS, (50, 3)):
+        got = model.log_probabilities(np.array([l]), np.array([i]), np.array([h]))[0]
+        assert abs(got - np.log(probability_by_hand(model, l, i, h))) < 1e-9
+    every = np.arange(len(model.of))
+    assert abs(np.exp(model.log_probabilities(np.full(len(every), 3), every, np.full(len(every), 9))).sum() - 1) < 1e-9
+
+
+def windows_of(model, texts):
+    found = masked_lm.Windows(len(model.of))
+    for before, own, behind, _ in masked_lm.gathered(texts, model)[1]:
+        found.add(model, before, own, behind)
+    return found
+
+
+def test_masked_lm_gradients_and_loss():
+    model = masked_lm.network([(b"a", 9), (b"b", 5), (b"c", 2)], [2] * masked_lm.OTHERS)
+    texts = ["a b c a b zz", "c c b yy a", None, ""]
+    n = windows_of(model, texts)
+    loss, grads = model.gradients(n)
+    assert n.total == 11 and abs(loss + sum(model.log_probability(masked_lm.words_of(t)) for t in texts if t) / 11) < 1e-9
+    r = np.random.default_rng(1)
+    for k, p in model.p.items():
+        for _ in range(4):
+            at = tuple(int(r.integers(x)) for x in p.shape)
+            if k in "ud":
+                at = (*at[:-1], int(r.integers(1, 4)))
+            old = p[at]
+            p[at] = old + 1e-5
+            up = model.gradients(n)[0]
+            p[at] = old - 1e-5
+            down = model.gradients(n)[0]
+            p[at] = old
+            assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-6
+
+
+def test_masked_lm_windows_are_counted_whole_however_split(spark):
+    texts = ["a b c d e " * 400, "e d c b a " * 300, "a", None, "", "zz yy " * 3000]
+    df = frame(spark, texts)
+    model = masked_lm.network([(w, 9) for w in (b"a", b"b", b"c", b"d", b"e")], [9] * masked_lm.OTHERS)
+    want = windows_of(model, texts).flat()
+    for parts in (1, 3):
+        assert (masked_lm.count_windows(df.repartition(parts), model).flat() == want).all()
+    assert want[: masked_lm.CLASSES**3].sum() == sum(len(masked_lm.words_of(t)) for t in texts)
+    trained = [masked_lm.train(df.repartition(parts), steps=10) for parts in (1, 4)]
+    assert all(np.array_equal(trained[0].p[k], trained[1].p[k]) for k in trained[0].p)
+    assert masked_lm.count_windows(df.limit(0), model).total == 0
+
+
+def test_masked_lm_beats_the_shares_of_words_on_held_out_documents(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = masked_lm.train(df.where("doc_id % 5 <> 0"))
+    counts = Counter()
+    for k, r in docs.items():
+        if k % 5:
+            counts.update(model.encode(masked_lm.words_of(r.text)).tolist())
+    held = [masked_lm.words_of(r.text) for k, r in docs.items() if k % 5 == 0]
+    n, total = sum(map(len, held)), sum(counts.values()) + len(model.of)
+    own = sum(model.log_probability(w) for w in held if w) / n
+    shares = sum(np.log((counts[i] + 1) / total) for w in held for i in model.encode(w).tolist()) / n
+    assert own > shares + 0.3, (own, shares)
     r = random.Random(8)
-    long = [masked_lm.words_of(d.text) for d in docs.values() if len(d.text) > 1500][:20]
-    shuffled = [r.sample(w, len(w)) for w in long]
-    assert sum(map(model.log_probability, long)) > sum(map(model.log_probability, shuffled))
+    assert own > sum(model.log_probability(r.sample(w, len(w))) for w in held if w) / n + 0.1
 
 
-def test_masked_lm_training_lowers_the_loss_and_counts_are_whole(spark):
+def test_masked_lm_counts_and_the_most_frequent(spark):
     df = frame(spark, ["a b c d e " * 50, "b c a " * 30, None, ""])
-    counts = {bytes(r.word): r.n for r in masked_lm.word_counts(df).collect()}
+    counted = masked_lm.word_counts(df)
+    counts = {bytes(r.word): r.n for r in counted.collect()}
     assert counts == {b"a": 80, b"b": 80, b"c": 80, b"d": 50, b"e": 50}
-    model = masked_lm.network([(w, n) for w, n in counts.items()], [0] * masked_lm.OTHERS, [0] * masked_lm.OTHERS)
-    losses = model.fit([masked_lm.words_of("a b c d e " * 50)], steps=60)
-    assert np.mean(losses[-5:]) < 0.5 * np.mean(losses[:5])
-    got = {r.doc_id: r for r in masked_lm.score(df, model).collect()}
-    assert got[2].n_tokens == 0 and got[2].log_probability == 0 and got[2].mean_log_probability is None
+    # Equal counts are taken together or not at all.
+    assert masked_lm.most_frequent(counted, 4) == masked_lm.most_frequent(counted, 3) == [(b"a", 80), (b"b", 80), (b"c", 80)]
+    assert masked_lm.most_frequent(counted, 2) == [] and len(masked_lm.most_frequent(counted, 5)) == 5
     assert masked_lm.score(df.limit(0), masked_lm.train(df.limit(0))).count() == 0
 
 
-def test_masked_lm_learns_from_all_documents_alike_however_split(spark):
-    texts = ["a b c d e " * 400, "e d c b a " * 300, "a", None, "", "zz yy " * 3000]
-    df = frame(spark, texts).coalesce(1)
-    model = masked_lm.network([(w, 9) for w in (b"a", b"b", b"c", b"d", b"e")], [9] * masked_lm.OTHERS, [1] * masked_lm.OTHERS)
-    docs = [masked_lm.words_of(t) for t in texts]
-    for words in docs:
-        context, target = model.windows(words, 1)
-        ids = model.encode(words)
-        assert not words or (context.tolist() == model.contexts(ids).tolist() and target.tolist() == model.of[ids].tolist())
-        assert len(model.windows(words)[1]) >= bool(words)
-    before = sum(model.log_probability(w) for w in docs if w)
-    for parts in (df, df.repartition(3, "doc_id")):
-        learnt = masked_lm.over_all(parts, model)
-        assert sum(learnt.log_probability(w) for w in docs if w) > before
-        again = masked_lm.over_all(parts, model)
-        assert all(np.array_equal(learnt.p[k], again.p[k]) for k in learnt.p)
-    assert masked_lm.over_all(df.limit(0), model) is model
-
-
-def test_masked_lm_changes_are_averaged_by_steps(spark):
-    model = masked_lm.network([(b"a", 9), (b"b", 5)], [9] * masked_lm.OTHERS, [1] * masked_lm.OTHERS)
-    parts = [["a b " * 9000], ["b " * 3000, "a"]]
-    found = []
-    for texts in parts:
-        (batch,) = masked_lm.changes([pa.RecordBatch.from_pydict({"text": texts})], model)
-        found.append(dict(zip(batch.column("slot").to_pylist(), batch.column("total").to_pylist(), strict=True)))
-    want = sum(f.get(0, 0) for f in found) / masked_lm.UNIT / sum(f[-1] for f in found)
-    split = spark.sparkContext.parallelize([(t,) for texts in parts for t in texts], 2).toDF("text string")
-    assert [len(x) for x in split.rdd.glom().collect()] == [1, 2]
-    assert abs(masked_lm.over_all(split, model).p["a"].ravel()[0] - model.p["a"].ravel()[0] - want) < 1e-6
-
-
-def test_masked_lm_steps_cover_every_window():
-    model = masked_lm.network([(b"a", 9), (b"b", 5)], [9] * masked_lm.OTHERS, [1] * masked_lm.OTHERS)
-    for texts in (["a b " * (4 * masked_lm.BATCH)], ["a b b"] * 3000, ["a"] * 5, ["", None, "b a " * 4000]):
-        (batch,) = masked_lm.changes([pa.RecordBatch.from_pydict({"text": texts})], model)
-        words = sum(len(masked_lm.words_of(t)) for t in texts)
-        found = dict(zip(batch.column("slot").to_pylist(), batch.column("total").to_pylist(), strict=True))
-        assert found[-1] == -(-words // masked_lm.BATCH)
-
-
-def test_masked_lm_scores_every_word_by_its_own_count(spark):
+def test_masked_lm_scores_every_word_by_its_count_in_other_documents(spark):
     # One shared id for xxab and yyab; the vocabulary is cut to three words.
-    texts = ["the of and " * 300, "the xxab of " * 90, "yyab", "xxab", "the of qqab", "xxab yyab unseen", None, ""]
+    texts = ["the of and " * 300, "the xxab of " * 90, "yyab", "xxab", "the of qqab", "xxab yyab unseen", None, "", "xxab yyab unseen"]
     df = frame(spark, texts)
     counts = Counter(w for t in texts for w in masked_lm.words_of(t))
     model = masked_lm.train(df, vocabulary=3, steps=20)
-    of = {w: int(model.of[model.encode([w])[0]]) for w in counts}
-    mass = Counter()
+    shared = Counter()
     for w, n in counts.items():
-        mass[of[w]] += n
-    empty = {1 + len(model.ids) + k for k in range(masked_lm.OTHERS)} - {int(model.encode([w])[0]) for w in counts}
-    for k in empty:  # a shared id without a word weighs one
-        mass[int(model.of[k])] += 1
+        if w not in model.vocabulary:
+            shared[masked_lm.other(w)] += n
     got = {r.doc_id: r for r in masked_lm.score(df, model, masked_lm.word_counts(df)).collect()}
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and got[6].n_tokens == 0 and got[6].log_probability == 0 and got[6].mean_log_probability is None
     for k, t in enumerate(texts):
         words = masked_lm.words_of(t)
-        z = model.forward(model.contexts(model.encode(words)))[2] if words else []
-        want = sum(float(row[of[w]]) + np.log(counts[w] / mass[of[w]]) for row, w in zip(z, words, strict=True))
-        assert got[k].n_tokens == len(words) and abs(got[k].log_probability - want) < 1e-3 * max(1, len(words) / 100)
-    assert abs(got[3].log_probability - got[2].log_probability - np.log(counts[b"xxab"] / counts[b"yyab"])) < 1e-6
-
-
-def test_masked_lm_contexts_hide_the_token():
-    model = masked_lm.network([(b"a", 3), (b"b", 2)], [0] * masked_lm.OTHERS, [0] * masked_lm.OTHERS)
-    assert model.contexts(np.array([1, 2, 1])).tolist() == [[0, 0, 2, 1], [0, 1, 1, 0], [1, 2, 0, 0]]
+        own, ids = Counter(words), [0, *model.encode(words).tolist(), 0]
+        want, unseen = 0.0, 0
+        for j, w in enumerate(words):
+            want += np.log(probability_by_hand(model, ids[j], ids[j + 1], ids[j + 2]))
+            if w not in model.vocabulary:
+                want += np.log(max(counts[w] - own[w], masked_lm.UNSEEN) / shared[masked_lm.other(w)])
+                unseen += counts[w] == own[w]
+        assert got[k].n_tokens == len(words) and abs(got[k].log_probability - want) < 1e-6 * max(1, len(words))
+        assert not words or abs(got[k].unseen_share - unseen / len(words)) < 1e-12
+    assert got[5].unseen_share == 0 and got[4].unseen_share == 1 / 3
+
+
+def test_masked_lm_of_the_table(spark, sf):
+    docs, rows = documents(spark, sf), entries.op9_masked_lm(spark, sf).collect()
+    assert {r.doc_id for r in rows} == docs.keys()
+    assert all(r.n_tokens == len(masked_lm.words_of(docs[r.doc_id].text)) and r.log_probability <= 0 for r in rows)
 
 
 # op10
