@@ -1,16 +1,56 @@
 """Grammar inference: a prefix tree of labelled strings, merged into a probabilistic automaton.
 
 States are merged in red-blue order when the Hoeffding bound cannot tell their frequencies apart, here and below
-(the ALERGIA test). Symbols are character classes; within a class, characters have the frequencies of the sample.
+(the ALERGIA test). An `Alphabet` maps characters to the symbols of the tree: fine enough to tell formats apart, and
+coarse enough that many strings share a path, without which no state could be told from another. Within a symbol,
+characters have the frequencies of the sample.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
-CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "-_", ".=")
-CLASS_OF = {c: k for k, chars in enumerate(CLASSES) for c in chars}
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+class Alphabet:
+    """Symbols by place and character: what (nearly) all strings begin with stays literal, then letters and digits are one.
+
+    Other marks are symbols of their own. sizes: the number of characters that a symbol stands for.
+    """
+
+    def __init__(self, samples: list[str], letters: str, common: float = 0.95):
+        self.letters, self.prefix = frozenset(letters), ""
+        within = samples
+        while True:
+            at = len(self.prefix)
+            first = Counter(s[at] for s in within if len(s) > at + 1).most_common(1)
+            if not first or first[0][1] < common * len(samples) or len(samples) < 4:
+                break
+            self.prefix += first[0][0]
+            within = [s for s in within if s.startswith(self.prefix)]
+
+    def __call__(self, at: int, c: str) -> str:
+        if at < len(self.prefix) and c == self.prefix[at]:
+            return c + "!"
+        return "x" if c in self.letters else c
+
+    def size(self, symbol: str) -> int:
+        return len(self.letters) if symbol == "x" else 1
+
+
+class Classes:
+    """Symbols by kind of character, wherever it stands: for ordinary strings."""
+
+    kinds = {**dict.fromkeys(DIGITS, "d"), **dict.fromkeys(LOWER, "l"), **dict.fromkeys(UPPER, "u")}
+
+    def __call__(self, at: int, c: str) -> str:
+        return self.kinds.get(c, c)
+
+    def size(self, symbol: str) -> int:
+        return {"d": 10, "l": 26, "u": 26}.get(symbol, 1)
 
 
 class Node:
@@ -21,28 +61,31 @@ class Node:
 
 
 class Automaton:
-    """A probabilistic automaton over character classes, with a floor for what the sample never showed."""
-
-    def __init__(self, samples: list[str], alpha: float = 0.05, floor: float = 1e-3):
-        self.alpha, self.floor = alpha, floor
-        self.chars = Counter("".join(samples))
-        self.class_total = Counter()
-        for c, n in self.chars.items():
-            self.class_total[CLASS_OF.get(c, len(CLASSES))] += n
+    """A probabilistic automaton over symbols, with a floor for what the sample never showed."""
+
+    def __init__(self, samples: list[str], symbol: Callable[[int, str], str], alpha: float = 0.05, floor: float = 1e-3):
+        self.symbol, self.alpha, self.floor = symbol, alpha, floor
+        chars = Counter((symbol(k, c), c) for s in samples for k, c in enumerate(s))
+        total = Counter()
+        for (k, _), n in chars.items():
+            total[k] += n
+        #: Log-probability of a character within its symbol, and of one that the sample never showed.
+        self.within = {(k, c): math.log((n + 1) / (total[k] + max(symbol.size(k), 1))) for (k, c), n in chars.items()}
+        self.never = {k: -math.log(n + max(symbol.size(k), 1)) for k, n in total.items()}
         states = self.infer(self.prefix_tree(samples))
         number = {id(q): k for k, q in enumerate(states)}
-        #: By state: log-probabilities of the classes seen, of any other, of the end; and the next states.
+        #: By state: log-probabilities of the symbols seen, of any other, of the end; the next states; the likeliest one.
         self.tables = [self.table(q) for q in states]
         self.moves = [{k: number[id(q)] for k, q in state.next.items()} for state in states]
+        self.likeliest = [moves[max(q.through, key=lambda k: (q.through[k], k))] if q.through else at for at, (q, moves) in enumerate(zip(states, self.moves, strict=True))]
 
-    @staticmethod
-    def prefix_tree(samples: list[str]) -> Node:
+    def prefix_tree(self, samples: list[str]) -> Node:
         root = Node()
         for s in samples:
             q = root
             q.seen += 1
-            for c in s:
-                k = CLASS_OF.get(c, len(CLASSES))
+            for at, c in enumerate(s):
+                k = self.symbol(at, c)
                 q.through[k] += 1
                 q = q.next.setdefault(k, Node())
                 q.seen += 1
@@ -86,34 +129,37 @@ class Automaton:
                     a.next[k] = q
 
     def infer(self, root: Node) -> list[Node]:
-        red = [root]
-        while True:
-            known = {id(q) for q in red}
-            blue = next(((p, k) for p in red for k in sorted(p.next) if id(p.next[k]) not in known), None)
+        red, known, at = [root], {id(root)}, 0
+        while at < len(red):
+            parent = red[at]
+            blue = next((k for k in sorted(parent.next) if id(parent.next[k]) not in known), None)
             if blue is None:
-                return red
-            parent, k = blue
-            q = parent.next[k]
+                at += 1
+                continue
+            q = parent.next[blue]
             for r in red:
                 if self.compatible(r, q):
-                    parent.next[k] = r
+                    parent.next[blue] = r
                     self.fold(r, q)
+                    at = min(at, red.index(r))
                     break
             else:
                 red.append(q)
+                known.add(id(q))
+        return red
 
-    def table(self, q: Node) -> tuple[dict[int, float], float, float]:
-        total = q.seen + (len(CLASSES) + 2) * self.floor
+    def table(self, q: Node) -> tuple[dict[str, float], float, float]:
+        total = q.seen + 2 * self.floor
         return {k: math.log((n + self.floor) / total) for k, n in q.through.items()}, math.log(self.floor / total), math.log((q.ends + self.floor) / total)
 
     def log_likelihood(self, s: str) -> float:
-        """Log-probability of a string and its end; where no transition exists, the walk stays in its state."""
+        """Log-probability of a string and its end; where no transition exists, the walk goes on in the likeliest one."""
         q, total = 0, 0.0
-        for c in s:
-            k = CLASS_OF.get(c, len(CLASSES))
+        for at, c in enumerate(s):
+            k = self.symbol(at, c)
             known, rare, _ = self.tables[q]
             total += known.get(k, rare)
-            n, m = self.chars.get(c, 0), self.class_total.get(k, 0)
-            total += math.log((n + 1) / (m + len(CLASSES[k]) if k < len(CLASSES) else m + 1000))
-            q = self.moves[q].get(k, q)
+            total += self.within.get((k, c)) or self.never.get(k, -5.0)
+            move = self.moves[q].get(k)
+            q = self.likeliest[q] if move is None else move
         return total + self.tables[q][2]

@@ -1,10 +1,11 @@
 """Secret scans: three base patterns, and formats inferred as probabilistic automata from labelled credentials.
 
-The base finds are the labelled credentials: a bounded sample of them (`FIT_VALUES` of the documents with the smallest
-hashes) trains one automaton a kind, and a bounded sample of ordinary strings of the same shape trains one more. Every
-candidate, a run of at least `CANDIDATE` credential characters that no base span touches, is scored by its
-best format likelihood against the ordinary one, a character; a margin fitted on the sample's ordinary strings
-decides. The method only adds spans.
+The base finds are the labelled credentials. A bounded sample of them (`FIT_VALUES` a kind, by the hashes of the values) is
+split by kind and by the characters used, and each part trains one automaton; a bounded sample of plain words, which
+are too short to be candidates, trains one of ordinary strings. Every candidate, a run of at least `CANDIDATE`
+credential characters that no base span touches, and each of its parts between `=`, `/` and `.` that is long enough, is scored:
+its best format likelihood against the ordinary one, in nats. The margin is fitted on base finds held out of the
+training and on plain words joined to candidates' lengths. The method only adds spans.
 
 Defined results: a null text is the empty text; spans are code points, end exclusive, of the whole match; letters of
 the assign keywords match in either ASCII case; repeated rows get the same spans; spans of different kinds may
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .grammar import Automaton
+from .grammar import DIGITS, LOWER, UPPER, Alphabet, Automaton, Classes
 
 #: Fixed patterns of the base finds and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,9 +33,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 LEAST_ASSIGN = 6
 _KEYWORDS = ("passw", "secret", "token", "api")
-#: Shortest candidate; documents and values learnt from, at most.
-CANDIDATE, FIT_ROWS, FIT_VALUES = 16, 1500, 400
+#: Shortest candidate; documents whose plain words are learnt from, characters of each, and values of a kind, at most.
+CANDIDATE, FIT_ROWS, FIT_SLICE, FIT_VALUES, LONGEST_VALUE = 16, 1500, 2000, 400, 200
+#: Values from which a shape has an automaton of its own; least margin in nats; share of plain strings below the margin.
+SHAPE_VALUES, MARGIN, PLAIN = 8, 8.0, 0.9995
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE},}}")
+_PART = re.compile(rf"[A-Za-z0-9+_-]{{{CANDIDATE},}}")
+_RUN, _MARKS = re.compile(r"[A-Za-z0-9+/_.=-]+"), re.compile(r"[+/_.=-]+")
+#: Characters of the shapes of values, the narrowest first.
+SHAPES = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": DIGITS + LOWER, "upper": DIGITS + UPPER, "any": DIGITS + LOWER + UPPER}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -50,61 +57,116 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters that no base span touches, trailing sentence marks left off."""
-    found = []
+    """Runs of credential characters that no base span touches, outer marks left off; both lists are swept once."""
+    found, base, at = [], sorted((a, b) for _, a, b, _ in taken), 0
+    reach = 0  # the furthest end of the base spans that start before the candidate's end
     for m in _CANDIDATE.finditer(text):
         value = m.group().strip(".=-_/+")
         start = m.start() + len(m.group()) - len(m.group().lstrip(".=-_/+"))
         end = start + len(value)
-        if len(value) >= CANDIDATE and not any(a < end and start < b for _, a, b, _ in taken):
+        while at < len(base) and base[at][0] < end:
+            reach = max(reach, base[at][1])
+            at += 1
+        if len(value) >= CANDIDATE and reach <= start:
             found.append((start, end, value))
     return found
 
 
+def plain_words(text: str) -> list[str]:
+    """Runs of credential characters too short to be candidates, and the parts of hosts and paths."""
+    return [w for run in _RUN.findall(text) for w in ([run] if len(run) < CANDIDATE else _MARKS.split(run)) if 3 <= len(w) < CANDIDATE]
+
+
+def shape(value: str) -> str:
+    """The narrowest set of letters and digits that a value keeps to; other marks do not count."""
+    used = {c for c in value if c.isalnum()}
+    return next((k for k, letters in SHAPES.items() if used <= set(letters)), "any")
+
+
 @dataclass
 class Formats:
-    automata: dict[str, Automaton]
-    ordinary: Automaton
+    automata: dict[tuple[str, str], Automaton]
+    ordinary: list[Automaton]
     margin: float
 
     def score(self, value: str) -> float:
-        """The best format's log-likelihood a character, less the ordinary one's."""
-        return (max(a.log_likelihood(value) for a in self.automata.values()) - self.ordinary.log_likelihood(value)) / len(value)
+        """The best format's log-likelihood less the ordinary one's."""
+        return max(a.log_likelihood(value) for a in self.automata.values()) - max(a.log_likelihood(value) for a in self.ordinary)
 
     def secret(self, value: str) -> bool:
-        return any(c.isdigit() for c in value) and self.score(value) > self.margin
-
-
-def learn(texts: list[str], values: int = FIT_VALUES) -> Formats | None:
-    """Formats from the base finds and the ordinary strings of sample texts."""
-    labelled: dict[str, list[str]] = {}
-    plain: list[str] = []
-    for text in texts:
-        taken = base_spans(text)
-        for kind, _, _, value in taken:
-            own = labelled.setdefault(kind, [])
-            if len(own) < values and len(value) >= 8:
-                own.append(value)
-        # Ordinary strings: long runs of credential characters, and runs of several words.
-        plain += [v for _, _, v in candidates(text, taken)]
-        if len(plain) < 4 * values:
-            plain += ["".join(text.split()[k : k + 4])[:40] for k in range(0, min(len(text) // 8, 40), 8)]
-    labelled = {k: v for k, v in labelled.items() if v}
-    if not labelled:
+        return self.score(value) > self.margin
+
+    def spans(self, start: int, end: int, value: str) -> list[tuple[int, int]]:
+        """The candidate, or those of its parts, that look like a format more than like ordinary text."""
+        if self.secret(value):
+            return [(start, end)]
+        parts = [(start + m.start(), start + m.end()) for m in _PART.finditer(value) if m.end() - m.start() < len(value)]
+        return [(a, b) for a, b in parts if self.secret(value[a - start : b - start])]
+
+
+def learn(labelled: dict[str, list[str]], plain: list[str]) -> Formats | None:
+    """Formats from labelled values by kind, and the margin from held-out values and plain words."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for kind, values in sorted(labelled.items()):
+        by: dict[str, list[str]] = {}
+        for v in values:
+            by.setdefault(shape(v), []).append(v)
+        for k, own in by.items():
+            groups.setdefault((kind, k if len(own) >= SHAPE_VALUES else "any"), []).extend(own)
+    if not groups:
         return None
-    plain = [p for p in plain if len(p) >= CANDIDATE][: 4 * values] or ["ordinarytextwithnothinginit"]
-    formats = Formats({k: Automaton(v) for k, v in labelled.items()}, Automaton(plain), 0.0)
-    # Above nearly all ordinary strings with a digit, and never below a fifth of a nat a character.
-    scores = sorted(formats.score(p) for p in plain if any(c.isdigit() for c in p))
-    formats.margin = max(0.2, scores[int(0.98 * (len(scores) - 1))] + 0.05 if scores else 0.2)
+    held = [v for own in groups.values() for v in own[::5] if len(own) >= SHAPE_VALUES and len(v) >= CANDIDATE]
+    automata = {}
+    for (kind, k), own in groups.items():
+        fit = [v for j, v in enumerate(own) if j % 5 or len(own) < SHAPE_VALUES]
+        automata[kind, k] = Automaton(fit, Alphabet(fit, SHAPES[k]))
+    plain = plain or ["ordinary", "text", "with", "nothing", "in", "it"]
+    # Plain words joined as paths, hosts and names are, up to candidates' lengths; numbers of any length are plain, too.
+    joined, mark = [], "-._/"
+    for k in range(0, len(plain) - 6, 2):
+        word = plain[k]
+        for j in range(1, 6):
+            if len(word) >= CANDIDATE:
+                break
+            word += (mark[(k + j) % 4] if k % 3 else "") + plain[k + j]
+        joined.append(word)
+    numbers = ["".join(str(n * n)[-3:] for n in range(k, k + k % 9 + 1)) for k in range(101, 501)]
+    formats = Formats(automata, [Automaton([*plain, *joined[::2]], Classes()), Automaton(numbers, Classes())], MARGIN)
+    below = sorted(formats.score(p) for p in [*joined[1::2], *numbers] if len(p) >= CANDIDATE)
+    scores = sorted(formats.score(v) for v in held)
+    high = below[int(PLAIN * (len(below) - 1))] + 1 if below else 0.0
+    # Between the two, nearer to the plain strings; never so high that a twentieth of the held-out values is missed.
+    formats.margin = max(MARGIN, high)
+    if scores:
+        formats.margin = max(MARGIN, min(formats.margin, scores[len(scores) // 20] - 1))
     return formats
 
 
 def train(df: DataFrame, rows: int = FIT_ROWS) -> Formats | None:
-    """Formats from a bounded sample of the documents in which a base pattern may match, and of others."""
-    likely = F.col("text").rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    texts = [r["text"] for where in (likely, F.col("text").isNotNull()) for r in runtime.bounded_sample(df, "doc_id", rows, "text", where=where)]
-    return learn(texts)
+    """Formats from bounded samples: of the base finds of all documents, and of the plain words of some."""
+    runtime.ship(df.sparkSession)
+    key = F.xxhash64(F.col("doc_id"), F.lit(17))
+    named = df.where(F.col("doc_id").isNotNull())
+    edge = runtime.least(named, key, rows)
+    if edge is None:
+        edge = -(1 << 63)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        kinds, values = [], []
+        for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist(), strict=True):
+            taken = base_spans(text or "")
+            kinds += [k for k, _, _, _ in taken]
+            values += [v[:LONGEST_VALUE] for _, _, _, v in taken]
+            if sampled and text:
+                words = plain_words(text[:FIT_SLICE])[:24]
+                kinds += ["plain"] * len(words)
+                values += words
+        return {"kind": kinds, "value": values}
+
+    marked = df.select("text", F.coalesce(key <= F.lit(edge), F.lit(False)).alias("sampled"))
+    found = runtime.checkpoint(runtime.per_batch(marked, "kind string, value string", work, ["text", "sampled"]).distinct())
+    take = lambda kind, n: [r["value"] for r in runtime.bounded_sample(found.where(F.col("kind") == kind), "value", n, "value")]
+    return learn({k: v for k in KINDS[:3] if (v := take(k, FIT_VALUES))}, take("plain", 8 * FIT_VALUES))
 
 
 def spans_of(text: str | None, formats: Formats | None) -> list[tuple[str, int, int]]:
@@ -112,7 +174,7 @@ def spans_of(text: str | None, formats: Formats | None) -> list[tuple[str, int,
     text = text or ""
     found = base_spans(text)
     if formats is not None:
-        found = found + [("format", a, b, v) for a, b, v in candidates(text, found) if formats.secret(v)]
+        found = found + [("format", a, b, "") for candidate in candidates(text, found) for a, b in formats.spans(*candidate)]
     return sorted(((k, a, b) for k, a, b, _ in found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -465,24 +465,66 @@ def test_secrets_of_the_table(spark, sf):
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
 
 
-def test_inferred_formats_find_credentials_and_leave_words():
+def credential(r, kind):
+    pick = lambda n, c: "".join(r.choice(c) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return {"hex": lambda: pick(40, "0123456789abcdef"), "access": lambda: "AKIA" + pick(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "mixed": lambda: pick(28, mixed), "short": lambda: pick(18, "0123456789abcdef"), "key": lambda: "ASIA" + pick(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}[kind]()
+
+
+def test_inferred_formats_find_planted_credentials_and_leave_text(spark):
     r = random.Random(9)
-    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
-    texts = [f'some words token = "{hexes(40)}" and more' for _ in range(60)] + [f"id AKIA{''.join(r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))} x" for _ in range(60)]
-    texts += ["plain words with mail99.example.com and version-2-of-the-thing-4 here " * 3 for _ in range(30)]
-    formats = secrets.learn(texts)
-    new = hexes(20) + "ABCDEF" [:0]
-    found = secrets.spans_of(f"key {new} end", formats)
-    assert ("format", 4, 4 + len(new)) in found
-    assert secrets.spans_of("see mail98.example.com and version-2-of-the-thing-5 here", formats) == []
+    clean = [d.text for d in documents(spark, "/root/testdata/sf0.01").values() if not secrets.base_spans(d.text)]
+    texts = [f'{t} token = "{credential(r, k)}" x' for t in clean[:300] for k in ("hex", "mixed")] + [f"{t} id {credential(r, 'access')} x" for t in clean[:80]]
+    df = frame(spark, [*texts, *clean[300:]])
+    formats = secrets.train(df)
+    # Several states a format: its beginning and its length, not a bag of characters.
+    assert all(len(formats.automata[k].tables) > 10 for k in (("assign", "hex"), ("assign", "any"), ("access", "upper")))
+    planted = found = wrong = 0
+    for t in clean[300:700]:
+        for kind in ("short", "mixed", "key"):
+            value = credential(r, kind)
+            text = f"{t[:200]} see {value} here {t[200:400]} mail99.example.com/version-2-of-the-thing 4845168114407329"
+            spans = [x for x in secrets.spans_of(text, formats) if x[0] == "format"]
+            at = text.index(value)
+            planted += 1
+            found += ("format", at, at + len(value)) in spans
+            wrong += sum(x != ("format", at, at + len(value)) for x in spans)
+    assert found / planted >= 0.95 and found / (found + wrong) >= 0.95, (planted, found, wrong)
+    assert sum(k == "format" for t in clean for k, _, _ in secrets.spans_of(t, formats)) <= 0.01 * len(clean)
     assert secrets.spans_of("secret=token:abcdefgh", None) == [] and secrets.spans_of(None, formats) == []
     assert secrets.masked('token = "abcdef0123"!', formats) == '[SECRET]"!'
 
 
-def test_automaton_prefers_its_language():
-    even = grammar.Automaton(["ab12" * k for k in range(1, 9)] * 20)
+def test_candidates_are_swept_once():
+    text = " ".join(f"token={k:040x} plainwordofsomelength{k}" for k in range(20_000))
+    found = secrets.candidates(text, secrets.base_spans(text))
+    assert len(found) == 20_000 and all(text[a:b] == v and v.startswith("plain") for a, b, v in found)
+    r = random.Random(3)
+    for _ in range(200):
+        text = "".join(r.choice(["a" * 17, " ", "token=", "b" * 24, "x", "AKIA" + "Q" * 16, "-", "."]) for _ in range(12))
+        taken = secrets.base_spans(text)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text):
+            v = m.group().strip(".=-_/+")
+            a = m.start() + m.group().index(v) if v else 0
+            if len(v) >= 16 and not any(x < a + len(v) and a < y for _, x, y, _ in taken):
+                want.append((a, a + len(v), v))
+        assert secrets.candidates(text, taken) == want
+
+
+def test_automaton_prefers_its_language_and_merges_by_the_bound():
+    plain = lambda s: grammar.Automaton(s, grammar.Classes())
+    even = plain(["ab12" * k for k in range(1, 9)] * 20)
     assert even.log_likelihood("ab12ab12") > even.log_likelihood("12ababab")
     assert len(even.tables) < 40
+    # One length: a chain. Any length with one chance of an end: one state.
+    assert len(plain(["abcdefgh"] * 100).tables) == 9
+    r = random.Random(2)
+    loop = plain(["a" * (1 + int(r.expovariate(0.5))) for _ in range(400)])
+    assert len(loop.tables) <= 3
+    # The probabilities of all strings, with those that go on, are one at each state.
+    for seen, _, end in even.tables:
+        assert abs(sum(np.exp(list(seen.values()))) + np.exp(end) - 1) < 0.01
 
 
 def test_secrets_edge_rows(spark):
