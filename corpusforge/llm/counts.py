@@ -8,8 +8,10 @@ transition's count (which may be negative, as a later merge can undo two tokens)
 are compiled when first met and kept, up to a bound.
 
 No token has a space after another character, so the transducer is in its start state before every run of
-spaces. The map of a chunk of text is then short: its head up to the first such place, the count
-between, and its tail. Maps compose associatively; a text's chunks are composed by a prefix scan in pairs.
+spaces. The map of a chunk takes a state to the state behind it and the count: behind the first such place it is
+constant, and what stands before (all of a chunk without a space) is a map worked out for the state that the text before the
+chunk suggests; from another state it is read only until it meets that path. So the maps of a text's chunks are worked
+out apart from each other, and compose associatively, in pairs, in a prefix scan.
 
 Defined results: a null or empty text has 0 tokens; characters outside the vocabulary count one token per
 UTF-8 byte; repeated rows are counted independently; an empty table gives an empty table; extra
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import gc
 import re
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,9 @@ from . import runtime
 from .bpe import Memo
 
 #: Compiled states and known token pairs that are kept, and the code points of a chunk.
-STATES, PAIRS, CHUNK = 200_000, 400_000, 1 << 18
+STATES, PAIRS, CHUNK = 200_000, 400_000, 1 << 14
+#: Characters read before a chunk to find its likely state, and between the states kept of a map's path.
+WARM, PATH = 256, 64
 #: Words whose counts are kept.
 WORDS = 400_000
 #: The token of a character outside the vocabulary, and of a start: any token may follow.
@@ -38,10 +41,12 @@ OTHER = -1
 
 
 class State:
-    __slots__ = ("live", "next")
+    """live: see CountTransducer.compile; space: whether the last character read was a space."""
 
-    def __init__(self, live):
-        self.live, self.next = live, {}
+    __slots__ = ("live", "next", "space")
+
+    def __init__(self, live, space: bool):
+        self.live, self.space, self.next = live, space, {}
 
 
 class CountTransducer:
@@ -78,12 +83,12 @@ class CountTransducer:
 
     def reset(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = self.state(((0, OTHER, 0),))
+        self.start = self.state(((0, OTHER, 0),), False)
 
-    def state(self, live: tuple) -> State:
-        found = self.states.get(live)
+    def state(self, live: tuple, space: bool) -> State:
+        found = self.states.get((live, space))
         if found is None:
-            found = self.states[live] = State(live)
+            found = self.states[live, space] = State(live, space)
         return found
 
     def merged(self, parts: list[str]) -> list[str]:
@@ -131,7 +136,7 @@ class CountTransducer:
         if len(self.states) >= STATES:
             self.reset()
             gc.collect()
-        found = state.next[c] = (self.state((*live, (0, token, 0))), delta)
+        found = state.next[c] = (self.state((*live, (0, token, 0)), c == " "), delta)
         return found
 
     def count(self, unit: str) -> int:
@@ -143,50 +148,94 @@ class CountTransducer:
             n += step[1]
         return n
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        """The map of a chunk; the spaces of chunks are plain spaces."""
-        if "  " not in chunk:
-            words = chunk.split(" ")
-            if words[0] == "" and len(words) > 1:
-                words[:2] = [" " + words[1]]
-            if len(words) == 1:
-                return ChunkMap(words[0], None, 0)
-            return ChunkMap(words[0], " " + words[-1], sum(map(self.words.__getitem__, words[1:-1])))
-        units = re.findall(r"^[^ ]+| +[^ ]*", chunk)
-        if len(units) == 1:
-            return ChunkMap(units[0], None, 0)
-        return ChunkMap(units[0], units[-1], sum(map(self.count, units[1:-1])))
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of two adjoining chunks."""
-        before = a.head if a.tail is None else a.tail
-        if before and b.head and before[-1] != " " and b.head[0] == " ":
-            parts = [before, b.head]
+    def read(self, state: State, text: str) -> tuple[State, int]:
+        """The state behind a text read from a state, and the count; before a run of spaces stands the start state."""
+        n = 0
+        for c in text:
+            if c == " " and not state.space:
+                state = self.start
+            step = state.next.get(c) or self.compile(state, c)
+            state = step[0]
+            n += step[1]
+        return state, n
+
+    def chunk_map(self, chunk: str, before: str = "") -> ChunkMap:
+        """The map of a chunk of text, given the characters before it; spaces are plain spaces."""
+        cut = next((m.start() + 1 for m in _START.finditer(chunk)), len(chunk))
+        rest = chunk[cut:]
+        return ChunkMap(self, chunk[:cut], self.constant(rest) if rest else None, self.read(self.start, before[-WARM:])[0])
+
+    def constant(self, text: str) -> tuple[State, int]:
+        """The state behind a text that begins with a run of spaces after another character, and the count."""
+        if "  " in text:
+            units = re.findall(r" +[^ ]*", text)
+            n = sum(map(self.count, units[:-1]))
         else:
-            parts = [before + b.head]
-        parts = ([] if a.tail is None else [a.head]) + parts + ([] if b.tail is None else [b.tail])
-        if len(parts) == 1:
-            return ChunkMap(parts[0], None, a.between + b.between)
-        return ChunkMap(parts[0], parts[-1], a.between + b.between + sum(map(self.count, parts[1:-1])))
+            words = text.split(" ")
+            n = sum(map(self.words.__getitem__, words[1:-1]))
+            units = [" " + words[-1]]
+        state, last = self.read(self.start, units[-1])
+        return state, n + last
 
     def tokens(self, text: str) -> int:
-        """The count of a whole text: its chunks' maps, composed in pairs until one is left."""
+        """The count of a whole text: its chunks' maps, composed in pairs until one is left, from the start state."""
         if not text:
             return 0
-        text = text.replace("▁", " ")
-        maps = [self.chunk_map(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)]
+        text = " " + text.replace("▁", " ")
+        if len(text) <= CHUNK:
+            return self.constant(text)[1]
+        maps = [self.chunk_map(text[at : at + CHUNK], text[max(0, at - WARM) : at]) for at in range(0, len(text), CHUNK)]
         while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return self.count(" " + maps[0].head) + maps[0].between + (self.count(maps[0].tail) if maps[0].tail is not None else 0)
+            maps = [Composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        return maps[0](self.start)[1]
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does from any incoming state: its head, the count between, its tail (None: no start within)."""
+#: The character before a run of spaces.
+_START = re.compile(r"[^ ](?= )")
+
 
-    head: str
-    tail: str | None
-    between: int
+class ChunkMap:
+    """State to (state, count) over a chunk: what stands before its first start, then the constant rest (None: no start)."""
+
+    def __init__(self, transducer: CountTransducer, head: str, rest: tuple[State, int] | None, likely: State):
+        self.transducer, self.head, self.rest, self.likely = transducer, head, rest, likely
+        #: The path from the likely state: the states and counts at every `PATH` characters, and at the end.
+        self.path, state, n = [], likely, 0
+        for at in range(0, len(head), PATH):
+            state, more = transducer.read(state, head[at : at + PATH])
+            n += more
+            self.path.append((state.live, state.space, n))
+        self.end = state, n
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        behind, n = self.end
+        if (state.live, state.space) != (self.likely.live, self.likely.space):
+            now, n = state, 0
+            for k, (live, space, then) in enumerate(self.path):
+                now, more = self.transducer.read(now, self.head[k * PATH : (k + 1) * PATH])
+                n += more
+                if (now.live, now.space) == (live, space):  # from here on both paths are one
+                    now, n = self.end[0], n + self.end[1] - then
+                    break
+            behind = now
+        return (behind, n) if self.rest is None else (self.rest[0], n + self.rest[1])
+
+
+class Composed:
+    """The map of two adjoining chunks; its value at the first one's likely state is worked out at once."""
+
+    def __init__(self, a: ChunkMap | Composed, b: ChunkMap | Composed):
+        self.a, self.b, self.likely = a, b, a.likely
+        self.known = self.value(a.likely)
+
+    def value(self, state: State) -> tuple[State, int]:
+        between, n = self.a(state)
+        behind, more = self.b(between)
+        return behind, n + more
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        same = (state.live, state.space) == (self.likely.live, self.likely.space)
+        return self.known if same else self.value(state)
 
 
 _loaded: dict[str, CountTransducer] = {}

@@ -74,19 +74,32 @@ def test_counts_equal_the_library(texts):
 def test_chunk_maps_compose_at_any_cut(texts):
     own = counts.loaded(PIECE)
     r = random.Random(3)
-    for t in texts[:200]:
-        t = t.replace("▁", " ")
-        cuts = sorted(r.randint(0, len(t)) for _ in range(3))
-        parts = [own.chunk_map(t[a:b]) for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True) if a < b]
-        if not parts:
-            continue
-        left = parts[0]
-        for p in parts[1:]:
-            left = own.compose(left, p)
-        right = parts[-1]
-        for p in reversed(parts[:-1]):
-            right = own.compose(p, right)
-        assert left == right == own.chunk_map(t)
+    odd = ["".join(r.choice("abcdeinrst") for _ in range(900)), "日本語の文" * 150, " " * 500, "ab" * 300, "a  b   c"]
+    for t in [*texts[:120], *odd]:
+        t = " " + t.replace("▁", " ")
+        want = own.read(own.start, t)
+        for _ in range(3):
+            cuts = sorted({r.randint(1, len(t)) for _ in range(4)} - {len(t)})
+            maps = [own.chunk_map(t[a:b], t[:a]) for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True)]
+            left = maps[0]
+            for m in maps[1:]:
+                left = counts.Composed(left, m)
+            right = maps[-1]
+            for m in reversed(maps[:-1]):
+                right = counts.Composed(m, right)
+            for whole in (left, right):
+                state, n = whole(own.start)
+                assert (state.live, state.space, n) == (want[0].live, want[0].space, want[1])
+            # From any other state, too: maps are functions of the state, not of the text before.
+            other = own.read(own.start, r.choice(["x", "the in", " ", "日"]))[0]
+            assert [(m(other)[0].live, m(other)[1]) for m in maps] == [(s.live, n) for s, n in (own.read(other, m.head) if m.rest is None else (m.rest[0], own.read(other, m.head)[1] + m.rest[1]) for m in maps)]
+
+
+def test_counts_of_long_texts_without_spaces_equal_the_library():
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), counts.loaded(PIECE)
+    r = random.Random(5)
+    for t in ("a" * 100_000, "".join(r.choice("etaoinshrd") for _ in range(60_000)), "日本語の文" * 20_000, "\n" * 50_000, " " * 40_000, "one line of words " * 110_000):
+        assert own.tokens(t) == len(library.encode(t))
 
 
 def rows_of(spark, texts):
