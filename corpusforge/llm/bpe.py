@@ -55,6 +55,20 @@ def byte_names() -> dict[int, str]:
     return {b: names.get(b) or chr(next(spare)) for b in range(256)}
 
 
+def vocabulary(path: str) -> tuple[list[bytes], dict[str, int], dict[str, int], list]:
+    """Bytes by id, ids of the special strings, ids by name, and the merges of a byte-level file of the tokenizers library."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    vocab, back = model["model"]["vocab"], {c: b for b, c in byte_names().items()}
+    special = {x["content"]: x["id"] for x in model["added_tokens"]}
+    bytes_of = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for token, i in vocab.items():
+        bytes_of[i] = bytes(back[c] for c in token)
+    for token, i in special.items():
+        bytes_of[i] = token.encode()
+    return bytes_of, special, vocab, model["model"]["merges"]
+
+
 def sufficient_lookahead(merges: list[tuple[int, int, int]], length: dict[int, int]) -> dict[int, int]:
     """Bytes beyond the end of each token that can still change it; merges: (left, right, result) in rank order.
 
@@ -111,20 +125,11 @@ class ByteBpe:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        vocab = model["model"]["vocab"]
+        self.bytes_of, self.special, vocab, merges = vocabulary(path)
         names = byte_names()
-        back = {c: b for b, c in names.items()}
-        self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token)
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
         self.first = [vocab[names[b]] for b in range(256)]
         rules = []
-        for pair in model["model"]["merges"]:
+        for pair in merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             rules.append((vocab[a], vocab[b], vocab[a + b]))
         self.rank = {rule[:2]: k for k, rule in reversed(list(enumerate(rules)))}

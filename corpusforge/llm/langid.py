@@ -33,7 +33,7 @@ FIT_ROWS, HIDDEN, STEPS, LANES, BYTES = 3000, 8, 300, 128, 64
 SLICE = 2000
 #: Bytes of a segment, bytes read before it to find its first state, segments that step together, and the
 #: difference of a state beyond which a segment is read again.
-SEGMENT, WARM, TOGETHER, SETTLED = 512, 96, 1024, 0.02
+SEGMENT, WARM, TOGETHER, SETTLED = 512, 96, 768, 0.02
 #: Share of the sample's documents that the filter's threshold lets through, and the least threshold.
 SURE, REJECT_FROM = 0.998, 0.5
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .bpe import PIECES, ByteBpe
+from .bpe import PIECES, loaded, vocabulary
 
 CAPACITY, END_ID, GROUP, SLACK = 2048, 1, 4096, 4
 #: White space, or other characters, in one run, beyond which a text is encoded by this package's own encoder.
@@ -169,16 +169,16 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
 
-        model = self.own = ByteBpe(path)
-        special = set(model.special.values())
-        ranks = {x: i for i, x in enumerate(model.bytes_of) if i not in special}
-        self.engine = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=model.special)
-        self.special = list(model.special)
+        self.path = path
+        bytes_of, self.special, _, _ = vocabulary(path)
+        apart = set(self.special.values())
+        ranks = {x: i for i, x in enumerate(bytes_of) if i not in apart}
+        self.engine = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=self.special)
         self.long_run = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
     def encode(self, text: str) -> bytes:
         if len(text) > LONG_RUN and self.long_run.search(text):
-            return self.own.encode(text)
+            return loaded(self.path).encode(text)
         if any(x in text for x in self.special):
             ids = self.engine.encode(text, allowed_special="all", disallowed_special=())
         else:

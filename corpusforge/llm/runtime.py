@@ -77,6 +77,7 @@ def per_batch(
                 out = work(part)
                 gc.collect(0)
                 yield pa.RecordBatch.from_arrays([as_array(out[n], types[n]) for n in names], names=names)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*map(quoted, columns)).mapInArrow(run, schema)
 
