@@ -214,3 +214,20 @@ def latin_tokens(c: Column) -> Column:
 def local_time(ms: Column) -> Column:
     """Epoch milliseconds as text in the session's zone; what is no number is empty."""
     return F.coalesce(F.date_format(F.timestamp_millis(ms.try_cast("bigint")), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+
+
+#: The shorter set of marks stripped at both ends (fixed).
+STRIP_MARKS = " 　.,;:!?~-—·、，。；：！？"
+
+
+def missing(c: Column) -> Column:
+    """Whether a text is null, empty or white space of any kind."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "") == ""
+
+
+def star_label_truncated(c: Column) -> Column:
+    """The star rule that cuts decimals off and leaves a blank star without a label (P17's variant)."""
+    n = c.try_cast("double")
+    whole = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n))
+    label = F.when(whole >= 40, "正面").when(whole == 30, "中性").when(whole.isin(10, 20), "负面").otherwise("无法判断")
+    return F.when(c.isNull() | (F.trim(c) == ""), "").otherwise(label)

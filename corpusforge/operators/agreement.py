@@ -46,6 +46,28 @@ def weighted(both: DataFrame, power: int) -> DataFrame:
     return seen.join(chance, keys).select(*keys, F.when(F.col("expected") > 0, 1 - F.col("observed") * F.col("n") / F.col("expected")).alias("kappa"))
 
 
+def binary(both: DataFrame) -> DataFrame:
+    """The 2 x 2 counts and kappa of labels 0 and 1, of every pair of raters."""
+    hit = lambda a, b: F.count_if((F.col("a") == a) & (F.col("b") == b))
+    c = both.groupBy("ra", "rb").agg(hit(1, 1).alias("both"), hit(1, 0).alias("first"), hit(0, 1).alias("second"), hit(0, 0).alias("none"))
+    n = F.col("both") + F.col("first") + F.col("second") + F.col("none")
+    pa, pb = (F.col("both") + F.col("first")) / n, (F.col("both") + F.col("second")) / n
+    po, pe = (F.col("both") + F.col("none")) / n, pa * pb + (1 - pa) * (1 - pb)
+    return c.withColumn("kappa", F.when(pe < 1, (po - pe) / (1 - pe)))
+
+
+def distances(both: DataFrame) -> DataFrame:
+    """How often ordinal labels are so far apart."""
+    return both.groupBy(F.abs(F.col("a") - F.col("b")).cast("long").alias("distance")).agg(F.count("*").alias("n"))
+
+
+def collapsed(long: DataFrame, groups: dict, others: bool = False) -> DataFrame:
+    """Labels by their group (A30's variants); items with a label of no group are left out, unless others keep theirs."""
+    group = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[F.col("label")]
+    rows = long.withColumn("label", F.coalesce(group, "label") if others else group)
+    return rows if others else rows.join(rows.where("label IS NULL").select("item").distinct(), "item", "left_anti")
+
+
 def item_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("item", "label").agg(F.count("*").alias("n"))
 
@@ -93,3 +115,13 @@ def confusions(both: DataFrame) -> DataFrame:
 def wide(long: DataFrame, raters: list[str]) -> DataFrame:
     """One row an item, one column a rater (V5)."""
     return long.groupBy("item").pivot("rater", raters).agg(F.max("label"))
+
+
+def accuracy(df: DataFrame, label: str, weak: str) -> DataFrame:
+    """Share of rows in which the label is the weak one."""
+    return df.agg(F.avg((F.col(label) == F.col(weak)).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def judged(df: DataFrame) -> DataFrame:
+    """Requests, tokens and the mean score of each model; a missing score counts as 0."""
+    return df.groupBy("model").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), (F.sum("score") / F.count("*")).alias("mean_score"))

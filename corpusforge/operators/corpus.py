@@ -121,3 +121,47 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for a in columns for b in columns]
     one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
+
+
+def all_in(columns: list[str], values: list) -> Column:
+    """Whether every one of the columns has one of the values."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(c).isin(values)
+    return found
+
+
+def of_length(df: DataFrame, text: str, least: int, most: int) -> DataFrame:
+    return df.where(F.length(text).between(least, most))
+
+
+def numeric(df: DataFrame) -> list[str]:
+    """The numeric columns."""
+    from pyspark.sql.types import NumericType
+
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+
+
+def overview(df: DataFrame) -> DataFrame:
+    """name, type, missing, n of every column (P13), in one pass."""
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in df.columns])
+    rows = [F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"m_{f.name}").alias("missing"), F.col("n")) for f in df.schema]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def lookup(df: DataFrame, known: DataFrame, key: str, value: str, default: Column) -> DataFrame:
+    """The rows with the value of their key, or the default."""
+    return df.join(known.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), default))
+
+
+def distinct_chars(df: DataFrame, text: str = "text") -> DataFrame:
+    """How many different characters the texts have (A16); each text sends its own only once."""
+    own = F.array_distinct(F.split(F.col(text), ""))
+    return df.select(F.explode(own).alias("c")).where("c <> ''").distinct().agg(F.count("*").alias("chars"))
+
+
+def next_chars(df: DataFrame, text: str = "text") -> DataFrame:
+    """Counts of each character with the following one."""
+    chars = df.select(F.filter(F.split(text, ""), lambda c: c != "").alias("x"))
+    pairs = F.arrays_zip(F.slice("x", F.lit(1), F.greatest(F.size("x") - 1, F.lit(0))).alias("c"), F.slice("x", F.lit(2), F.size("x")).alias("following"))
+    return chars.where(F.size("x") > 1).select(F.explode(pairs).alias("r")).select("r.c", "r.following").groupBy("c", "following").agg(F.count("*").alias("n"))

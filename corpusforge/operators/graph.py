@@ -83,3 +83,47 @@ def paths(df: DataFrame, value: str, most: int = 10, start_over: float = 1, all_
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def nodes(df: DataFrame) -> DataFrame:
+    """Record, event and month nodes with their properties, one row a node."""
+    props = ("t_max", "t_min", "rain", "wind")
+    day = F.col("day").cast("string")
+    records = df.select(F.lit("Record").alias("label"), day.alias("id"), *props, F.lit(1).cast("long").alias("days"))
+    none = [F.lit(None).cast("double").alias(c) for c in props]
+    kinds = events(df).select(F.lit("Event").alias("label"), F.col("event").alias("id")).distinct().select("label", "id", *none, F.lit(None).cast("long").alias("days"))
+    months = df.groupBy(F.date_format("day", "yyyy-MM").alias("id")).agg(*[F.avg(c).alias(c) for c in ("t_max", "t_min")], F.sum("rain").alias("rain"), F.avg("wind").alias("wind"), F.count("*").alias("days"))
+    return union_all([records, kinds, months.select(F.lit("Month").alias("label"), "id", *props, "days")])
+
+
+def edges(df: DataFrame) -> DataFrame:
+    """HAS_EVENT, NEXT_DAY and IN_MONTH edges."""
+    day = lambda c: F.col(c).cast("string")
+    has = events(df).select(F.lit("HAS_EVENT").alias("type"), day("day").alias("src"), F.col("event").alias("dst"))
+    following = next_day(df).select(F.lit("NEXT_DAY").alias("type"), day("src").alias("src"), day("dst").alias("dst"))
+    month = df.select(F.lit("IN_MONTH").alias("type"), day("day").alias("src"), F.date_format("day", "yyyy-MM").alias("dst"))
+    return union_all([has, following, month])
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose two ends are nodes, with the ends' labels (Q1)."""
+    end = lambda c: nodes.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    return edges.join(end("src"), "src").join(end("dst"), "dst")
+
+
+def uniqueness(nodes: DataFrame) -> DataFrame:
+    """Nodes of each label, and those whose id is not their own (Y2)."""
+    ids = nodes.groupBy("label", "id").agg(F.count("*").alias("k"))
+    return ids.groupBy("label").agg(F.sum("k").alias("n"), (F.sum("k") - F.count("*")).alias("repeated"))
+
+
+def rules(runs: DataFrame) -> DataFrame:
+    """id (<model>_rule_<i>), model and text of each run's rules."""
+    one = runs.select("model", F.posexplode("rules").alias("i", "rule"))
+    return one.select(F.concat("model", F.lit("_rule_"), F.col("i").cast("string")).alias("id"), "model", F.trim("rule").alias("rule")).where("rule <> ''")
+
+
+def load(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Writes both tables, replacing what was there (Y1, K8): nodes by label, edges by type."""
+    nodes.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/nodes")
+    edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,20 @@ def order_key(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
+def numbered(df: DataFrame, *order: Column, out: str = "n") -> DataFrame:
+    """The rows with their number by a total order, from 0 (W5): sorted parts and the counts before them, so no task has all rows."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    sizes = parts.groupBy("_part").count().collect()  # a row a partition
+    before, total = {}, 0
+    for r in sorted(sizes):
+        before[r["_part"]] = total
+        total += r["count"]
+    if not before:
+        return parts.select(*df.columns, F.lit(0).cast("long").alias(out))
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")]
+    return parts.select(*df.columns, (F.col("_at") + offset).cast("long").alias(out))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Marks round(share n) rows of each label as train (M4)."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(order_key(key, seed), key))
@@ -32,8 +47,7 @@ def stratified_sample(df: DataFrame, key: str, group: str, n: int, seed: int = 1
 def systematic_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """Every step-th row by key, n of them (M6); the step comes from the count."""
     step = max(1, df.count() // max(1, n))
-    rank = F.row_number().over(Window.orderBy(key))
-    return df.select(key, (rank - 1).alias("_r")).where(F.col("_r") % step == 0).orderBy("_r").limit(n).select(key)
+    return numbered(df.select(key), F.col(key), out="_r").where(F.col("_r") % step == 0).orderBy("_r").limit(n).select(key)
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,21 +56,48 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(F.broadcast(stats)).select(*[c for c in df.columns if c not in columns], *[F.when(F.col(f"{c}_s") == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")).alias(c) for c in columns])  # one row
 
 
-def knn(train: DataFrame, test: DataFrame, k: int = 5, limit: int = 50_000) -> DataFrame:
+def _nearest(vec, other, d):
+    """Squared distances by rounded value; the plain differences, as the measures to be matched."""
+    return np.round(np.sqrt(((vec[:, None, :] - other[None, :, :]) ** 2).sum(axis=2)), d)
+
+
+def knn(train: DataFrame, test: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """Majority label of the k nearest train rows (L2); ties go to the smaller id, then the smaller label.
 
-    Both have id, vec, label. Every test row meets every train row, in blocks; train is broadcast up to `limit` rows
-    and refused beyond, where an index is the tool.
+    Both have id, vec, label, and are dealt to blocks of about `block` rows; every block of test rows meets every block of
+    train rows (a query set against all rows), which gives each its k best, and the k best of all blocks vote.
     """
-    if train.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} train rows")
-    right = train.select(F.col("id").alias("tid"), F.col("vec").alias("tv"), F.col("label").alias("tl"))
-    near = test.select("id", "vec", F.col("label").alias("actual")).join(F.broadcast(right))  # bounded by limit
-    d = near.select("id", "actual", "tid", "tl", euclidean(F.col("vec"), F.col("tv")).alias("d"))
-    top = d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.round("d", 9), "tid"))).where(F.col("r") <= k)
+    blocks, parts = (max(1, -(-df.count() // block)) for df in (train, test))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = train.select(deal(blocks).alias("block"), F.col("id").alias("tid"), F.col("vec").alias("tv"), F.col("label").cast("long").alias("tl")).select("*", every(parts).alias("part"))
+    left = test.select(deal(parts).alias("part"), "id", "vec", F.col("label").alias("actual")).select("*", every(blocks).alias("block"))
+
+    def best(tests, trains):
+        if not len(tests) or not len(trains):
+            return pd.DataFrame({"id": [], "actual": [], "tid": [], "tl": [], "d": []})
+        other, rows = np.stack(trains["tv"]).astype(float), []
+        tids, labels = trains["tid"].to_numpy(), trains["tl"].to_numpy()
+        for at in range(0, len(tests), 64):
+            some = tests.iloc[at : at + 64]
+            d = _nearest(np.stack(some["vec"]).astype(float), other, 9)
+            for i, actual, own in zip(some["id"], some["actual"], d, strict=True):
+                top = np.lexsort((tids, own))[:k] if len(own) <= 4 * k else _first(own, tids, k)
+                rows += [(i, actual, tids[j], labels[j], own[j]) for j in top]
+        return pd.DataFrame(rows, columns=["id", "actual", "tid", "tl", "d"])
+
+    top = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, "id bigint, actual bigint, tid bigint, tl bigint, d double")
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "tid"))).where(F.col("r") <= k)
     votes = top.groupBy("id", "actual", "tl").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "tl"))
-    return votes.withColumn("r", best).where("r = 1").select("id", F.col("actual"), F.col("tl").alias("predicted"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "tl"))
+    return votes.withColumn("r", first).where("r = 1").select("id", F.col("actual"), F.col("tl").alias("predicted"))
+
+
+def _first(d, ids, k):
+    """The places of the k least (d, id)."""
+    edge = np.partition(d, k - 1)[k - 1]
+    near = np.flatnonzero(d <= edge)
+    return near[np.lexsort((ids[near], d[near]))[:k]]
 
 
 def binary_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -183,6 +224,14 @@ def cluster_indices(df: DataFrame, dim: int) -> DataFrame:
     return ch.join(F.broadcast(db)).select("k", "n", F.round((F.col("bss") / (F.col("k") - 1)) / (F.col("wss") / (F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
+def cluster_profile(df: DataFrame, dim: int) -> DataFrame:
+    """Size, share and the mean of every feature of (vec, cluster), one row a feature (A39); summed before the shuffle."""
+    total = df.agg(F.count("*").alias("all"))
+    means = [F.avg(F.get("vec", F.lit(d)).cast("double")).alias(f"m{d}") for d in range(dim)]
+    g = df.groupBy("cluster").agg(F.count("*").alias("n"), *means).join(F.broadcast(total))  # one row
+    return g.select("cluster", "n", (100 * F.col("n") / F.col("all")).alias("pct"), F.posexplode(F.array(*[f"m{d}" for d in range(dim)])).alias("d", "mean")).withColumn("d", F.col("d").cast("long"))
+
+
 def silhouette(df: DataFrame, limit: int = 20_000) -> DataFrame:
     """Mean silhouette by Euclidean distance over (id, vec, cluster) (L11); at most `limit` rows."""
     rows = df.where("cluster <> -1").select("id", "vec", "cluster")
@@ -193,3 +242,81 @@ def silhouette(df: DataFrame, limit: int = 20_000) -> DataFrame:
     ab = d.groupBy("id").agg(F.min(F.when(F.col("cluster") == F.col("jc"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("jc"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.agg(F.round(F.avg(s), 6).alias("silhouette"), F.count("*").alias("n"))
+
+
+def softmax(values: Column) -> Column:
+    """Shares of an array of numbers."""
+    top = F.array_max(values)
+    powers = F.transform(values, lambda x: F.exp(x - top))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+
+
+def product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product of two matrices of (i, j, x), as a join and sums."""
+    right = b.select(F.col("i").alias("k"), F.col("j").alias("_j"), F.col("x").alias("_x"))
+    joined = a.select("i", F.col("j").alias("k"), "x").join(right, "k")
+    return joined.groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col("x") * F.col("_x")).alias("x"))
+
+
+def random_sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """n rows in hash order (M5)."""
+    return df.orderBy(order_key(key, seed), key).limit(n)
+
+
+def calibration_sample(df: DataFrame, key: str, text: str, seed: int = 49, short: int = 150) -> DataFrame:
+    """A development set of 15 % of the rows, 40 to 100 of them, short texts first (M2)."""
+    rows = df.count()
+    n = min(max(40, int(0.15 * rows)), 100, rows)
+    return df.orderBy(F.desc(F.length(text) <= short), order_key(key, seed), key).limit(n)
+
+
+def uniform(key: str, salt: str) -> Column:
+    """A number from 0 to 1 that depends on key and salt alone."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(salt)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def simulated(df: DataFrame, key: str, label: str, labels: int, accuracy: float, rater: int) -> DataFrame:
+    """A rater that keeps the label (0 to labels - 1) with a probability, and else takes one of the others (M7)."""
+    away = 1 + F.floor((labels - 1) * uniform(key, f"v{rater}")).cast("int")
+    return df.withColumn("label", F.when(uniform(key, f"u{rater}") < accuracy, F.col(label)).otherwise((F.col(label) + away) % labels))
+
+
+def matrix(df: DataFrame, columns: list[str], target: str, limit: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Features and target of a bounded table on the driver; more than `limit` rows are an error."""
+    rows = df.select(*columns, target).limit(limit + 1).toPandas()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
+    return rows[columns].to_numpy(float), rows[target].to_numpy()
+
+
+def logistic_predict(df: DataFrame, columns: list[str], target: str, rate: float = 0.01, rounds: int = 1000) -> DataFrame:
+    """The rows with p and predicted by logistic regression fitted to them (L3); fitting is for bounded tables (`matrix`)."""
+    w, b = logistic(*matrix(df, columns, target), rate, rounds)
+    z = sum((F.lit(float(k)) * F.col(c) for k, c in zip(w, columns, strict=True)), F.lit(b))
+    p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(250.0)), F.lit(-250.0))))
+    return df.withColumn("p", p).withColumn("predicted", (F.col("p") >= 0.5).cast("long"))
+
+
+def tree_column(df: DataFrame, columns: list[str], target: str, depth: int = 5) -> DataFrame:
+    """The rows with the label of a tree fitted to them (L4), as one nested condition."""
+
+    def condition(node):
+        if not isinstance(node, tuple):
+            return F.lit(int(node))
+        return F.when(F.col(columns[node[0]]) <= float(node[1]), condition(node[2])).otherwise(condition(node[3]))
+
+    return df.withColumn("predicted", condition(tree(*matrix(df, columns, target), depth)).cast("long"))
+
+
+def best_k(df: DataFrame, ks, column: str = "vec", seed: int = 42) -> DataFrame:
+    """k and silhouette of the k-means with the greatest mean silhouette (squared distances); ties: the smaller k."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.withColumn("_features", array_to_vector(F.col(column).cast("array<double>"))).cache()
+    score = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster")
+    found = [(score.evaluate(KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster", maxIter=50).fit(rows).transform(rows)), k) for k in ks]
+    best = max(found, key=lambda x: (x[0], -x[1]))
+    return df.sparkSession.createDataFrame([(best[1], best[0])], "k long, silhouette double")

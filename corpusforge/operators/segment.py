@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 #: Blocks of the rule tokenizer, first match first.
 BLOCKS = (
@@ -228,3 +229,125 @@ class BmesHmm:
                 out.append(word)
                 word = ""
         return [*out, word] if word else out
+
+
+def without_stops(tokens: Column, stops) -> Column:
+    """Tokens that are neither stop words nor digits alone."""
+    return F.filter(tokens, lambda t: ~t.isin(list(stops)) & ~t.rlike("^[0-9]+$"))
+
+
+def merged(tokens: list[str], vocabulary: set[str], part: str = r"[一-鿿]+") -> list[str]:
+    """Adjacent tokens joined where the joined text is in the dictionary, the longest first."""
+    import re
+
+    fits, longest = re.compile(part).fullmatch, max(map(len, vocabulary), default=0)
+    out, i = [], 0
+    while i < len(tokens):
+        size = 1
+        if fits(tokens[i]):
+            for n in range(min(longest, len(tokens) - i), 1, -1):
+                if "".join(tokens[i : i + n]) in vocabulary and all(map(fits, tokens[i : i + n])):
+                    size = n
+                    break
+        out.append("".join(tokens[i : i + size]))
+        i += size
+    return out
+
+
+def untagged(text: str, tags: list[int]) -> list[str]:
+    """Tokens of a text from its B, M, E, S tags (G11, back)."""
+    out, word = [], ""
+    for c, t in zip(text, tags, strict=True):
+        if t in (TAGS["B"], TAGS["S"]) and word:
+            out.append(word)
+            word = ""
+        word += c
+        if t in (TAGS["E"], TAGS["S"]):
+            out.append(word)
+            word = ""
+    return [*out, word] if word else out
+
+
+def pseudo_vocabulary(df: DataFrame, tokens: str, least: int = 2, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
+    """Tokens of 2 to 4 characters that occur at least twice, with their counts."""
+    t = df.select(F.explode(tokens).alias("token")).where(F.length("token").between(*sizes))
+    return t.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def compression(df: DataFrame, text: str, hyp: str, ref: str) -> DataFrame:
+    """Characters, tokens, characters a token, and the share of tokens that the reference never has."""
+    k = df.select(F.explode(normal(F.col(hyp))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    known = df.select(F.explode(normal(F.col(ref))).alias("t")).distinct().withColumn("known", F.lit(True))
+    sums = k.join(known, "t", "left").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("oov"))
+    chars = df.agg(F.sum(F.length(text)).alias("chars"))
+    return chars.join(F.broadcast(sums)).select("chars", "tokens", F.round(F.col("chars") / F.greatest("tokens", F.lit(1)), 3).alias("compression"), F.round(F.col("oov") / F.greatest("tokens", F.lit(1)), 4).alias("oov_rate"))  # one row each
+
+
+def match_rates(df: DataFrame, key: str, ref: str, hyp: str, f1: float = 0.9) -> DataFrame:
+    """Share of rows with equal tokens, and with a token F1 of at least f1."""
+    m = multiset_match(df, key, ref, hyp).withColumn("f", F.round(2 * F.col("tp") / (F.col("n_ref") + F.col("n_hyp")), 4))
+    rows = df.select(key, (normal(F.col(ref)) == normal(F.col(hyp))).cast("int").alias("exact")).join(m, key, "left")
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("exact"), 4).alias("exact_match"), F.round(F.avg(F.coalesce((F.col("f") >= f1).cast("int"), F.lit(0))), 4).alias("approx_match"))
+
+
+def hmm_segmented(df: DataFrame, text: str = "text", out: str = "tokens", symbols: int = 3000, rounds: int = 3) -> DataFrame:
+    """Tokens by the hidden Markov model, fitted to the different runs of letters with their counts."""
+    letters = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    counts = letters.select("n", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
+    model = BmesHmm([r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(symbols).collect()]).fit(letters, rounds)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    schema = T_.StructType([*df.schema, T_.StructField(out, T_.ArrayType(T_.StringType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        parts, memo = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_"), {}
+
+        def decode(word: str) -> list[str]:
+            if word not in memo:
+                if len(memo) > 200_000:
+                    memo.clear()
+                memo[word] = shared.value.cut(word)
+            return memo[word]
+
+        for frame in frames:
+            frame[out] = [[t for p in parts.findall((x or "").lower()) for t in (decode(p) if p[0].isalpha() else [p])] for x in frame[text]]
+            yield frame
+
+    return df.mapInPandas(run, schema)
+
+
+def calibrated(dev: DataFrame, vocabulary: dict[str, int], reference: Column, smooths=(0.01, 0.1, 0.5, 1.0, 2.0), penalties=tuple(0.5 * k for k in range(12)), mean: float = 2.1, away: float = 0.45) -> DataFrame:
+    """smooth, penalty, f1 and mean_len of the best grid point (G7, O5): boundary F1, among points whose mean length is near, if any.
+
+    dev is a bounded sample; every text meets every point of the grid, in parallel.
+    """
+    grid = dev.sparkSession.createDataFrame([(float(s), float(p)) for s in smooths for p in penalties], "smooth double, penalty double")
+    shared = dev.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = dev.select("text", reference.alias("ref")).join(F.broadcast(grid))  # 60 rows
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        words, parts = shared.value, re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+        total, known = sum(words.values()), {}
+
+        def ends(tokens) -> set[int]:
+            return set(accumulate([len(t) for t in tokens][:-1]))
+
+        for frame in frames:
+            found = []
+            for text, ref, smooth, penalty in zip(frame["text"], frame["ref"], frame["smooth"], frame["penalty"], strict=True):
+                if smooth not in known:
+                    known[smooth] = {w: math.log((n + smooth) / (total + smooth)) for w, n in words.items()}, math.log(smooth / (total + smooth))
+                logp, unknown = known[smooth]
+                own = [t for p in parts.findall((text or "").lower()) for t in (viterbi(p, logp, unknown, penalty=penalty) if p[0].isalpha() else [p])]
+                a, b = ends(own), ends(list(ref))
+                found.append((smooth, penalty, 1.0 if not a and not b else 2 * len(a & b) / max(1, len(a) + len(b)), sum(map(len, own)), len(own)))
+            yield pd.DataFrame(found, columns=["smooth", "penalty", "f1", "chars", "tokens"])
+
+    scored = rows.mapInPandas(run, "smooth double, penalty double, f1 double, chars bigint, tokens bigint")
+    points = scored.groupBy("smooth", "penalty").agg(F.avg("f1").alias("f1"), (F.sum("chars") / F.greatest(F.sum("tokens"), F.lit(1))).alias("mean_len"))
+    near = F.abs(F.col("mean_len") - mean) <= away
+    best = F.max_by(F.struct("smooth", "penalty", "f1", "mean_len"), F.struct(near, F.round("f1", 9), F.round("mean_len", 9), -F.col("penalty"), -F.col("smooth")))
+    return points.agg(best.alias("b")).select("b.smooth", "b.penalty", F.round("b.f1", 6).alias("f1"), F.round("b.mean_len", 6).alias("mean_len"))

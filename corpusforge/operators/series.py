@@ -62,3 +62,9 @@ def year_month(df: DataFrame) -> DataFrame:
     return df.groupBy(F.date_format("day", "yyyy-MM").alias("ym")).agg(
         F.round(F.avg("t_max"), 1).alias("avg_max"), F.round(F.avg("t_min"), 1).alias("avg_min"), F.round(F.sum("rain"), 1).alias("sum_rain"), F.round(F.avg("wind"), 1).alias("avg_wind"), F.count("*").alias("days")
     )
+
+
+def features(df: DataFrame) -> DataFrame:
+    """Range and mean of the temperatures, and whether two or more flags are set."""
+    count = sum((F.col(c).cast("int") for c in FLAGS[1:]), F.col(FLAGS[0]).cast("int"))
+    return df.withColumns({"temp_range": F.col("t_max") - F.col("t_min"), "temp_avg": (F.col("t_max") + F.col("t_min")) / 2, "target": (count >= 2).cast("long")})

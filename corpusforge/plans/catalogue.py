@@ -223,8 +223,8 @@ def top_tokens(spark, sf):
 
 @query(f"WITH {_TOK}, k AS (SELECT quality::BIGINT AS quality, token, count(*)::BIGINT AS n FROM tok JOIN labels USING (doc_id) GROUP BY ALL) SELECT quality, token, n FROM k QUALIFY row_number() OVER (PARTITION BY quality ORDER BY n DESC, token) <= 15")
 def class_top_tokens(spark, sf):
-    rows = _words(spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("quality")), "doc_id")
-    return C.top_tokens(rows, 15, ["quality"]).select("quality", "token", "n")
+    rows = _labelled_counts(spark, sf).select(F.col("label").cast("long").alias("quality"), "token", "n")
+    return C.head_of_groups(rows, ["quality"], [F.desc("n"), F.asc("token")], 15).select("quality", "token", "n")
 
 
 @query(f"WITH {_TOK}, k AS (SELECT token, count(*)::BIGINT AS n FROM tok GROUP BY token ORDER BY n DESC, token LIMIT 1000) SELECT row_number() OVER (ORDER BY n DESC, token)::BIGINT AS rank, token, n FROM k")
@@ -242,14 +242,16 @@ def hapax_ratio(spark, sf):
 
 @query(f"WITH {_TOK} SELECT lang, count(DISTINCT token)::BIGINT AS vocab FROM tok GROUP BY lang")
 def vocab_size(spark, sf):
-    return _words(spark, sf).distinct().groupBy("lang").agg(F.countDistinct("token").alias("vocab"))
+    return _words(spark, sf).select("lang", "token").distinct().groupBy("lang").agg(F.count("*").alias("vocab"))
 
 
 _LABELLED = f"{_TOK}, k AS (SELECT token, quality AS label, count(*) AS n FROM tok JOIN labels USING (doc_id) GROUP BY ALL)"
 
 
 def _labelled_counts(spark, sf):
-    return _words(spark, sf).join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").groupBy("token", "label").agg(F.count("*").alias("n"))
+    """Labels meet their documents before words are made of them, so that only counts are shuffled."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return C.words(docs.select("label", "text")).groupBy("token", "label").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -313,15 +315,17 @@ def pmi_vocab(spark, sf):
 
 # Segmentation metrics over regular tokenizers as methods
 
-_PARAS = "left(text, 300)"  # the SQL's input; seg_*_whole below read every text to its end
 _M1, _M2, _M3 = r"[\p{L}]+|[\p{N}]+", r"[\p{L}\p{N}]+", r"[\p{L}]{1,4}|[\p{N}]+"
-_BND = "list_transform(range(1, len({0})), lambda i: list_sum(list_transform({0}[1:i], lambda s: length(s)))::BIGINT)"
-_SEG = "seg AS (SELECT doc_id, regexp_extract_all(x, '{0}') AS m1, regexp_extract_all(x, '{1}') AS m2, regexp_extract_all(x, '{2}') AS m3 FROM (SELECT doc_id, left(text, 300) AS x FROM documents))".format(_M1, _M2, _M3)
-_BOUND = f"{_SEG}, b AS (SELECT doc_id, {_BND.format('m1')} AS b1, {_BND.format('m2')} AS b2, {_BND.format('m3')} AS b3 FROM seg)"
+_SEG = f"seg AS (SELECT doc_id, regexp_extract_all(text, '{_M1}') AS m1, regexp_extract_all(text, '{_M2}') AS m2, regexp_extract_all(text, '{_M3}') AS m3 FROM documents)"
+# Boundaries p of each method m: running sums of the tokens' lengths, without the last.
+_BOUND = (
+    f"{_SEG}, lm AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS m, m{k} AS ts FROM seg" for k in (1, 2, 3)) + "), tk AS (SELECT doc_id, m, unnest(ts) AS t, generate_subscripts(ts, 1) AS i, len(ts) AS n FROM lm), "
+    "b AS (SELECT doc_id, m, p FROM (SELECT doc_id, m, i, n, sum(length(t)) OVER (PARTITION BY doc_id, m ORDER BY i)::BIGINT AS p FROM tk) WHERE i < n)"
+)
 
 
-def _methods(spark, sf, whole=False):
-    x = F.col("text") if whole else F.left("text", F.lit(300))
+def _methods(spark, sf):
+    x = F.col("text")
     return table(spark, sf, "documents").select("doc_id", x.alias("x"), *[F.regexp_extract_all(x, F.lit(p), F.lit(0)).alias(m) for m, p in (("m1", _M1), ("m2", _M2), ("m3", _M3))])
 
 
@@ -329,21 +333,21 @@ def _prf_sql(tp, fp, fn):
     return f"{tp}::BIGINT AS tp, {fp}::BIGINT AS fp, {fn}::BIGINT AS fn, round(CASE WHEN {tp} + {fp} = 0 THEN 0 ELSE {tp} / ({tp} + {fp})::DOUBLE END, 4) AS precision, round(CASE WHEN {tp} + {fn} = 0 THEN 0 ELSE {tp} / ({tp} + {fn})::DOUBLE END, 4) AS recall, round(CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0 ELSE 2 * {tp} / (2 * {tp} + {fp} + {fn})::DOUBLE END, 4) AS f1"
 
 
-@query(f"WITH {_BOUND}, s AS (SELECT sum(len(list_intersect(b1, b3))) AS tp, sum(len(list_filter(b3, lambda q: NOT list_contains(b1, q)))) AS fp, sum(len(list_filter(b1, lambda q: NOT list_contains(b3, q)))) AS fn FROM b) SELECT {_prf_sql('tp', 'fp', 'fn')} FROM s")
-def seg_boundary_f1(spark, sf, whole=False):
-    return Z.boundary_scores(_methods(spark, sf, whole), "m1", "m3")
+@query(f"WITH {_BOUND}, s AS (SELECT count(r.p) FILTER (h.p IS NOT NULL) AS tp, count(h.p) FILTER (r.p IS NULL) AS fp, count(r.p) FILTER (h.p IS NULL) AS fn FROM (SELECT * FROM b WHERE m = 1) r FULL JOIN (SELECT * FROM b WHERE m = 3) h ON r.doc_id = h.doc_id AND r.p = h.p) SELECT {_prf_sql('tp', 'fp', 'fn')} FROM s")
+def seg_boundary_f1(spark, sf):
+    return Z.boundary_scores(_methods(spark, sf), "m1", "m3")
 
 
 @query(f"WITH {_SEG}, r AS (SELECT doc_id, unnest(m1) AS t FROM seg), h AS (SELECT doc_id, unnest(m3) AS t FROM seg), rc AS (SELECT doc_id, t, count(*) AS r FROM r GROUP BY ALL), hc AS (SELECT doc_id, t, count(*) AS h FROM h GROUP BY ALL), "
        f"s AS (SELECT sum(least(coalesce(r, 0), coalesce(h, 0))) AS tp, sum(coalesce(h, 0)) - sum(least(coalesce(r, 0), coalesce(h, 0))) AS fp, sum(coalesce(r, 0)) - sum(least(coalesce(r, 0), coalesce(h, 0))) AS fn FROM rc FULL JOIN hc USING (doc_id, t)) SELECT {_prf_sql('tp', 'fp', 'fn')} FROM s")
-def seg_segment_f1(spark, sf, whole=False):
-    m = Z.multiset_match(_methods(spark, sf, whole), "doc_id", "m1", "m3").agg(F.sum("tp").alias("tp"), (F.sum("n_hyp") - F.sum("tp")).alias("fp"), (F.sum("n_ref") - F.sum("tp")).alias("fn"))
+def seg_segment_f1(spark, sf):
+    m = Z.multiset_match(_methods(spark, sf), "doc_id", "m1", "m3").agg(F.sum("tp").alias("tp"), (F.sum("n_hyp") - F.sum("tp")).alias("fp"), (F.sum("n_ref") - F.sum("tp")).alias("fn"))
     return m.select("tp", "fp", "fn", *Z.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-@query("WITH " + _BOUND + ", l AS (SELECT doc_id, 1 AS m, b1 AS b FROM b UNION ALL SELECT doc_id, 2, b2 FROM b UNION ALL SELECT doc_id, 3, b3 FROM b) SELECT p.m::BIGINT AS a, q.m::BIGINT AS b, sum(len(list_intersect(p.b, q.b)))::BIGINT AS both, sum(len(p.b))::BIGINT AS na, sum(len(q.b))::BIGINT AS nb, round(2 * sum(len(list_intersect(p.b, q.b))) / greatest(sum(len(p.b)) + sum(len(q.b)), 1)::DOUBLE, 4) AS f1 FROM l p JOIN l q ON p.doc_id = q.doc_id AND p.m < q.m GROUP BY ALL")
-def seg_pairwise(spark, sf, whole=False):
-    rows = _methods(spark, sf, whole)
+@query(f"WITH {_BOUND}, k AS (SELECT m, count(*) AS n FROM b GROUP BY m), x AS (SELECT p.m AS a, q.m AS b, count(*) AS n FROM b p JOIN b q ON p.doc_id = q.doc_id AND p.p = q.p AND p.m < q.m GROUP BY ALL) SELECT a::BIGINT AS a, b::BIGINT AS b, x.n::BIGINT AS both, ka.n::BIGINT AS na, kb.n::BIGINT AS nb, round(2 * x.n / greatest(ka.n + kb.n, 1)::DOUBLE, 4) AS f1 FROM x JOIN k ka ON ka.m = a JOIN k kb ON kb.m = b")
+def seg_pairwise(spark, sf):
+    rows = _methods(spark, sf)
     bounds = [Z.boundaries(Z.normal(F.col(m))) for m in ("m1", "m2", "m3")]
     pairs = [(i, j) for i in range(3) for j in range(i + 1, 3)]
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(i + 1).cast("long").alias("a"), F.lit(j + 1).cast("long").alias("b"), F.size(F.array_intersect(bounds[i], bounds[j])).alias("both"), F.size(bounds[i]).alias("na"), F.size(bounds[j]).alias("nb")) for i, j in pairs])).alias("x")).select("x.*")
@@ -352,55 +356,22 @@ def seg_pairwise(spark, sf, whole=False):
 
 
 @query(f"WITH {_SEG}, t AS (SELECT unnest(m3) AS t FROM seg), n AS (SELECT count(*) AS tokens, round(avg(length(t)), 4) AS mean_len, round(avg((length(t) = 1)::INT), 4) AS single_share, count(DISTINCT t) AS vocab FROM t) SELECT tokens::BIGINT AS tokens, mean_len, single_share, vocab::BIGINT AS vocab FROM n")
-def seg_describe(spark, sf, whole=False):
-    t = _methods(spark, sf, whole).select(F.explode(Z.normal(F.col("m3"))).alias("t"))
+def seg_describe(spark, sf):
+    t = _methods(spark, sf).select(F.explode(Z.normal(F.col("m3"))).alias("t"))
     return t.agg(F.count("*").alias("tokens"), F.round(F.avg(F.length("t")), 4).alias("mean_len"), F.round(F.avg((F.length("t") == 1).cast("int")), 4).alias("single_share"), F.countDistinct("t").alias("vocab"))
 
 
-@query(f"WITH {_BOUND}, e AS (SELECT doc_id, unnest(list_concat(b1, b2, b3)) AS p FROM b), v AS (SELECT doc_id, p FROM e GROUP BY ALL HAVING count(*) >= 3) SELECT d.doc_id, count(v.p)::BIGINT AS n, coalesce(sum(v.p), 0)::BIGINT AS place_sum FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id")
-def seg_consensus(spark, sf, whole=False):
-    c = Z.consensus(_methods(spark, sf, whole), ["m1", "m2", "m3"], 3)
-    return _methods(spark, sf, whole).select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("place_sum"))
+@query(f"WITH {_BOUND}, v AS (SELECT doc_id, p FROM b GROUP BY ALL HAVING count(*) >= 3) SELECT d.doc_id, count(v.p)::BIGINT AS n, coalesce(sum(v.p), 0)::BIGINT AS place_sum FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id")
+def seg_consensus(spark, sf):
+    c = Z.consensus(_methods(spark, sf), ["m1", "m2", "m3"], 3)
+    return _methods(spark, sf).select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("place_sum"))
 
 
-@query(f"WITH {_BOUND} SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(b1, b2, b3))) = 0 THEN 1 ELSE len(list_intersect(list_intersect(b1, b2), b3)) / len(list_distinct(list_concat(b1, b2, b3)))::DOUBLE END, 4) AS rate FROM b")
-def seg_agree_rate(spark, sf, whole=False):
+@query(f"WITH {_BOUND}, v AS (SELECT doc_id, p, count(*) AS n FROM b GROUP BY ALL), r AS (SELECT doc_id, sum((n = 3)::INT) / count(*)::DOUBLE AS r FROM v GROUP BY doc_id) SELECT d.doc_id, round(coalesce(r, 1), 4) AS rate FROM documents d LEFT JOIN r USING (doc_id)")
+def seg_agree_rate(spark, sf):
     b = [Z.boundaries(Z.normal(F.col(m))) for m in ("m1", "m2", "m3")]
     either, both = F.size(F.array_union(F.array_union(b[0], b[1]), b[2])), F.size(F.array_intersect(F.array_intersect(b[0], b[1]), b[2]))
-    return _methods(spark, sf, whole).select("doc_id", F.round(F.when(either == 0, 1.0).otherwise(both / either), 4).alias("rate"))
-
-
-# The six over whole texts. They have no SQL; the tests hold them against brute force.
-
-
-@query()
-def seg_boundary_f1_whole(spark, sf):
-    return seg_boundary_f1(spark, sf, whole=True)
-
-
-@query()
-def seg_segment_f1_whole(spark, sf):
-    return seg_segment_f1(spark, sf, whole=True)
-
-
-@query()
-def seg_pairwise_whole(spark, sf):
-    return seg_pairwise(spark, sf, whole=True)
-
-
-@query()
-def seg_describe_whole(spark, sf):
-    return seg_describe(spark, sf, whole=True)
-
-
-@query()
-def seg_consensus_whole(spark, sf):
-    return seg_consensus(spark, sf, whole=True)
-
-
-@query()
-def seg_agree_rate_whole(spark, sf):
-    return seg_agree_rate(spark, sf, whole=True)
+    return _methods(spark, sf).select("doc_id", F.round(F.when(either == 0, 1.0).otherwise(both / either), 4).alias("rate"))
 
 
 def _vocabulary(spark, sf, most: int = 3000) -> dict[str, int]:
@@ -486,10 +457,9 @@ def weighted_kappa(spark, sf):
     return G.union_all([A.weighted(both, p).select(F.lit(p).cast("long").alias("power"), F.round("kappa", 6).alias("kappa")) for p in (1, 2)])
 
 
-@query("SELECT sum((quality = 1 AND toxic = 1)::INT)::BIGINT AS both, sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS first, sum((quality = 0 AND toxic = 1)::INT)::BIGINT AS second, sum((quality = 0 AND toxic = 0)::INT)::BIGINT AS none FROM labels")
+@query(f"WITH {_COHEN}, q AS (SELECT ra, rb, sum((a = 1 AND b = 1)::INT) AS n11, sum((a = 1 AND b = 0)::INT) AS n10, sum((a = 0 AND b = 1)::INT) AS n01, sum((a = 0 AND b = 0)::INT) AS n00 FROM pr GROUP BY ra, rb) SELECT ra, rb, n11::BIGINT AS both, n10::BIGINT AS first, n01::BIGINT AS second, n00::BIGINT AS none, round(kappa, 6) AS kappa FROM q JOIN c USING (ra, rb)")
 def binary_kappa(spark, sf):
-    q, t = F.col("quality"), F.col("toxic")
-    return table(spark, sf, "labels").agg(*[F.count_if((q == a) & (t == b)).alias(n) for a, b, n in ((1, 1, "both"), (1, 0, "first"), (0, 1, "second"), (0, 0, "none"))])
+    return A.binary(A.pairs(_long(spark, sf))).withColumn("kappa", F.round("kappa", 6))
 
 
 @query(f"WITH {_ITEMS} SELECT ic.item, label::BIGINT AS majority, n::BIGINT AS votes, m::BIGINT AS m, round((sq - m) / (m * (m - 1))::DOUBLE, 6) AS p_i FROM ic JOIN it USING (item) QUALIFY row_number() OVER (PARTITION BY ic.item ORDER BY n DESC, label) = 1")
@@ -605,11 +575,11 @@ def yearmonth_rollup(spark, sf):
 
 # Triples and graph patterns
 
-_TRI = f"{_DAY}, s AS (SELECT 'Record_' || strftime(day, '%Y%m%d') AS s, * FROM w), tri AS (SELECT s, 'hasEvent' AS p, e || '_instance' AS o, 'iri' AS datatype FROM (" + " UNION ALL ".join(f"SELECT s, '{f}' AS e FROM s WHERE {f}" for f in D.FLAGS) + ") UNION ALL SELECT s, 'dry_streak', dry_streak::VARCHAR, 'integer' FROM s UNION ALL SELECT s, 'rain_streak', rain_streak::VARCHAR, 'integer' FROM s UNION ALL SELECT s, 'day', day::VARCHAR, 'date' FROM s)"
+_TRI = f"{_DAY}, s AS (SELECT 'Record_' || strftime(day, '%Y%m%d') AS s, * FROM w), tri AS (SELECT s, 'hasEvent' AS p, e || '_instance' AS o, 'iri' AS datatype FROM (" + " UNION ALL ".join(f"SELECT s, '{f}' AS e FROM s WHERE {f}" for f in D.FLAGS) + ") UNION ALL SELECT s, 'dry_streak', dry_streak::VARCHAR, 'integer' FROM s UNION ALL SELECT s, 'rain_streak', rain_streak::VARCHAR, 'integer' FROM s UNION ALL SELECT s, 'day', day::VARCHAR, 'date' FROM s" + "".join(f" UNION ALL SELECT s, '{c}', {c}::VARCHAR, 'float' FROM s" for c in ("t_max", "t_min", "rain", "wind", "humidity")) + ")"
 
 
 def _spo(spark, sf):
-    return G.triples(daily(spark, sf)).where("datatype <> 'float'")
+    return G.triples(daily(spark, sf))
 
 
 @query(f"WITH {_TRI} SELECT s, p, o, datatype FROM tri")
@@ -760,17 +730,15 @@ def silhouette(spark, sf):
     return M.silhouette(_vectors(spark, sf).withColumnRenamed("label", "cluster"))
 
 
-@query(f"WITH {_VEC} SELECT label::BIGINT AS cluster, count(*)::BIGINT AS n, round(100 * count(*) / (SELECT count(*) FROM v), 4) AS pct, round(avg(vec[1]), 6) AS mean_0 FROM v GROUP BY label")
+@query(f"WITH {_VEC}, l AS (SELECT label, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) - 1 AS d FROM v) SELECT label::BIGINT AS cluster, count(*)::BIGINT AS n, round(100 * count(*) / (SELECT count(*) FROM v), 4) AS pct, d::BIGINT AS d, round(avg(x), 6) AS mean FROM l GROUP BY label, d")
 def cluster_profile(spark, sf):
-    v = _vectors(spark, sf)
-    total = v.agg(F.count("*").alias("all"))
-    g = v.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("n"), F.round(F.avg(F.get("vec", F.lit(0)).cast("double")), 6).alias("mean_0"))
-    return g.join(F.broadcast(total)).select("cluster", "n", F.round(100 * F.col("n") / F.col("all"), 4).alias("pct"), "mean_0")  # one row
+    v = _vectors(spark, sf).withColumnRenamed("label", "cluster")
+    return M.cluster_profile(v, 64).select("cluster", "n", F.round("pct", 4).alias("pct"), "d", F.round("mean", 6).alias("mean"))
 
 
 @query()
 def kmeans_sizes(spark, sf):
-    return M.kmeans(_vectors(spark, sf), 10, restarts=3).groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
+    return M.kmeans(_vectors(spark, sf), 10).groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
 
 
 @query()

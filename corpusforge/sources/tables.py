@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ml import numbered
+
 #: Columns of the unified crawl table (fixed).
 UNIFIED = ("doc_id", "source", "source_type", "site", "domain", "doc_url", "author", "rating_star", "rating_title", "comment_time", "votes", "text_raw", "crawl_time", "page")
 
@@ -47,16 +49,18 @@ def labelled(df: DataFrame, name: str, order: str, text: str | None = None, labe
     """A labelled table in the unified form: text and label by name or place, id from the row's number."""
     text = text or ("review" if "review" in df.columns else df.columns[1])
     label = label or ("label" if "label" in df.columns else df.columns[0])
-    number = F.row_number().over(Window.orderBy(order)) - 1
+    df = numbered(df, F.col(order), out="_number")
+    number = F.col("_number")
     key = F.substring(F.md5(F.concat_ws("::", F.lit(name), number.cast("string")).cast("binary")), 1, 16)
     return df.select(key.alias("doc_id"), F.lit(name).alias("source"), F.col(text).cast("string").alias("text_raw"), F.col(label).cast("string").alias("rating_title"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that do not parse are left out."""
-    wide = T.StructType.fromDDL(schema).add("_bad", T.StringType())
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull() | F.lit(False)).drop("_bad") if "_bad" in rows.columns else rows
+    # Parsed from plain lines: the reader's own record column may not be asked for alone, as count() does.
+    parsed = F.from_json("value", T.StructType.fromDDL(schema).add("_bad", T.StringType()), {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.where(F.col("r").isNotNull() & F.col("r._bad").isNull()).select(*[F.col(f"r.`{c}`") for c in T.StructType.fromDDL(schema).names])
 
 
 def api_comments(df: DataFrame, body: str = "body") -> DataFrame:

@@ -134,19 +134,19 @@ def test_segmentation_queries_read_whole_texts(spark, tmp_path):
     ends = [[set(itertools.accumulate(map(len, m[:-1]))) for m in three] for three in tokens]
     both = lambda i, j: sum(len(e[i] & e[j]) for e in ends)
     size = lambda i: sum(len(e[i]) for e in ends)
-    s = run("seg_boundary_f1_whole")[0]
+    s = run("seg_boundary_f1")[0]
     assert (s.tp, s.fp, s.fn) == (both(0, 2), size(2) - both(0, 2), size(0) - both(0, 2))
     same = sum((Counter(m[0]) & Counter(m[2])).total() for m in tokens)
-    s = run("seg_segment_f1_whole")[0]
+    s = run("seg_segment_f1")[0]
     assert (s.tp, s.fp, s.fn) == (same, sum(len(m[2]) for m in tokens) - same, sum(len(m[0]) for m in tokens) - same)
-    assert {(x.a, x.b, x.both, x.na, x.nb) for x in run("seg_pairwise_whole")} == {(i + 1, j + 1, both(i, j), size(i), size(j)) for i in range(3) for j in range(i + 1, 3)}
+    assert {(x.a, x.b, x.both, x.na, x.nb) for x in run("seg_pairwise")} == {(i + 1, j + 1, both(i, j), size(i), size(j)) for i in range(3) for j in range(i + 1, 3)}
     third = [t for m in tokens for t in m[2]]
-    s = run("seg_describe_whole")[0]
+    s = run("seg_describe")[0]
     assert (s.tokens, s.vocab, s.mean_len) == (len(third), len(set(third)), round(sum(map(len, third)) / len(third), 4))
     shared = [e[0] & e[1] & e[2] for e in ends]
-    assert {x.doc_id: (x.n, x.place_sum) for x in run("seg_consensus_whole")} == {k: (len(e), sum(e)) for k, e in enumerate(shared)}
+    assert {x.doc_id: (x.n, x.place_sum) for x in run("seg_consensus")} == {k: (len(e), sum(e)) for k, e in enumerate(shared)}
     rate = lambda k: round(len(shared[k]) / len(set().union(*ends[k])), 4) if set().union(*ends[k]) else 1.0
-    assert {x.doc_id: x.rate for x in run("seg_agree_rate_whole")} == {k: rate(k) for k in range(len(texts))}
+    assert {x.doc_id: x.rate for x in run("seg_agree_rate")} == {k: rate(k) for k in range(len(texts))}
 
 
 def test_consensus_of_two_votes(spark):
