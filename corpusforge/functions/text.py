@@ -29,6 +29,7 @@ META = rf"人均[{SPACE}]*[¥￥]?[{SPACE}]*[0-9]+[{SPACE}]*元?|推荐菜[{SPAC
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]"
 REPEAT = r"(?s)([^\n])\1{6,}"
 NOT_KEPT = r"[^\x{4e00}-\x{9fff}\x{3040}-\x{30ff}a-zA-Z0-9]"
+WIDE = r"[\x{3000}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}]"
 STRIP = " 　.,;:!?~-—·、，。；：！？|/\\"
 FULL = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ　"
 HALF = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz "
@@ -80,6 +81,11 @@ def guarded(c: Column, marks: str, f: Callable[[Column], Column]) -> Column:
     return once(c, lambda x: F.when(hit(x), f(x)).otherwise(x))
 
 
+def ascii_apart(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the texts that have more than ASCII; the others have nothing that f would change."""
+    return once(c, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(f(x)))
+
+
 def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     """One cleaning step."""
     r = F.regexp_replace
@@ -95,7 +101,7 @@ def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     if name == "bracket":
         return guarded(c, "[", lambda x: r(x, BRACKET, " "))
     if name == "emoji":
-        return r(c, EMOJI, " ")
+        return ascii_apart(c, lambda x: r(x, EMOJI, " "))
     if name == "metadata":
         return guarded(c, "人均 推荐菜 图片 通过", lambda x: r(x, META, " ")) if profile.metadata else c
     if name == "control":
@@ -103,9 +109,10 @@ def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     if name == "nfc":
         return nfc(c)
     if name == "half":
-        return F.translate(c, FULL, HALF)
+        return ascii_apart(c, lambda x: F.when(x.rlike(WIDE), F.translate(x, FULL, HALF)).otherwise(x))
     if name == "space":
-        return trimmed(r(c, rf"[{SPACE}]+", " "))
+        # Only what changes is matched: runs, and single characters other than the plain space. Then all white space is plain.
+        return F.trim(r(c, rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
     if name == "squash":
         return r(c, REPEAT, "$1$1$1")
     if name == "strip":
@@ -119,7 +126,7 @@ def clean(c: Column, profile: Profile = SITE_REVIEW, without: tuple[str, ...] =
 
 
 def keep_ratio(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, NOT_KEPT, "")) / F.greatest(F.length(c), F.lit(1))
+    return F.length(F.regexp_replace(c, f"{NOT_KEPT}+", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def invalid_reason(c: Column, profile: Profile = SITE_REVIEW) -> Column:
@@ -129,12 +136,14 @@ def invalid_reason(c: Column, profile: Profile = SITE_REVIEW) -> Column:
         out = out.when(F.length(c) > profile.most, F.lit("too_long"))
     no_words = c.rlike(r"^[^\p{L}]+$")
     out = out.when(no_words, F.lit("digits_or_symbol_only")).when(keep_ratio(c) < 0.15, F.lit("punctuation_dominant"))
-    ads = reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(w.lower())) for w in profile.ads])
-    return out.when(ads, F.lit("advertisement"))
+    # No advertisement word is all ASCII, so most texts need no search; the others are lower-cased once.
+    found = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w.lower())) for w in profile.ads])
+    plain = F.octet_length(c) == F.length(c) if not any(w.isascii() for w in profile.ads) else F.lit(False)
+    return out.when(~plain & once(F.lower(c), found), F.lit("advertisement"))
 
 
 def dedup_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, NOT_KEPT, ""))
+    return F.lower(F.regexp_replace(c, f"{NOT_KEPT}+", ""))
 
 
 def clip(c: Column, most: int = 500) -> Column:

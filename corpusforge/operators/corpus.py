@@ -42,6 +42,15 @@ def valid_unique(df: DataFrame, scope: str, order: str, profile: T.Profile = T.S
     return keep_first(keep_first(rows, [scope, "text_clean"], [order]), [scope, "dedup_key"], [order])
 
 
+def valid_unique_keys(df: DataFrame, scope: str, order: str, profile: T.Profile = T.SITE_REVIEW, without: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of `valid_unique` without their texts: scope, order, n_chars and text_md5; no text is shuffled."""
+    rows = cleaned(df.select(scope, order, "text"), profile=profile, without=without).where(T.invalid_reason(F.col("text_clean"), profile).isNull())
+    md5 = lambda c: F.md5(F.encode(c, "UTF-8"))
+    rows = rows.select(scope, order, F.explode(F.array(T.clip(F.col("text_clean"), profile.clip))).alias("t"))
+    rows = rows.select(scope, order, F.length("t").alias("n_chars"), md5(F.col("t")).alias("text_md5"), md5(T.dedup_key(F.col("t"))).alias("key_md5"))
+    return keep_first(keep_first(rows, [scope, "text_md5"], [order]), [scope, "key_md5"], [order])
+
+
 def words(df: DataFrame, text: str = "text") -> DataFrame:
     """One row a word: lower-case runs of letters and digits, with the other columns."""
     return df.withColumn("token", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))

@@ -162,7 +162,7 @@ def doc_id_md5(spark, sf):
 )
 def source_quality_report(spark, sf):
     docs = table(spark, sf, "documents")
-    kept = C.valid_unique(docs, "lang", "doc_id", without=LATIN).groupBy("lang").agg(F.count("*").alias("n_out"), F.round(F.avg(F.length("text_clean")), 4).alias("mean_chars"), F.sum("doc_id").alias("id_sum"), F.min(F.md5(F.encode("text_clean", "UTF-8"))).alias("min_md5"))
+    kept = C.valid_unique_keys(docs, "lang", "doc_id", without=LATIN).groupBy("lang").agg(F.count("*").alias("n_out"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.sum("doc_id").alias("id_sum"), F.min("text_md5").alias("min_md5"))
     return docs.groupBy("lang").agg(F.count("*").alias("n_in")).join(kept, "lang", "left").select("lang", "n_in", F.coalesce("n_out", F.lit(0).cast("long")).alias("n_out"), F.round(100 * F.coalesce("n_out", F.lit(0)) / F.greatest("n_in", F.lit(1)), 2).alias("kept_pct"), "mean_chars", "id_sum", "min_md5")
 
 
