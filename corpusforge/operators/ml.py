@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import euclidean, ratio
+from ..functions.stats import ratio
+from ..session import checkpoint
 
 
 def order_key(key: str, seed: int) -> Column:
@@ -161,26 +162,87 @@ def kmeans(df: DataFrame, k: int, column: str = "vec", restarts: int = 10, seed:
     return best.transform(rows).drop("_features")
 
 
-def dbscan(df: DataFrame, eps: float = 0.5, least: int = 5, limit: int = 20_000) -> DataFrame:
+def in_blocks(df: DataFrame, other: DataFrame, work, schema: str, block: int = 2048) -> DataFrame:
+    """What work(rows, others) makes of every block of rows with every block of the other table: all pairs, none of them a row.
+
+    Both tables have id and vec; a task holds two blocks. The work grows with the product of the tables, not the memory.
+    """
+    mine, theirs = (max(1, -(-d.count() // block)) for d in (df, other))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = df.withColumn("_a", deal(mine)).withColumn("_b", every(theirs))
+    # Fresh columns: the two tables may be the same.
+    right = other.select(*[F.col(c).alias(c) for c in other.columns]).withColumn("_b", deal(theirs)).withColumn("_a", every(mine))
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(work, schema)
+
+
+def _distances(a: pd.DataFrame, b: pd.DataFrame):
+    """Euclidean distances of the rows of a to those of b, some rows of a at once: (ids of a, places in a, distances)."""
+    other = np.stack(b["vec"]).astype(float)
+    for at in range(0, len(a), 64):
+        some = a.iloc[at : at + 64]
+        yield some, np.sqrt(((np.stack(some["vec"]).astype(float)[:, None, :] - other[None]) ** 2).sum(axis=2))
+
+
+def dbscan(df: DataFrame, eps: float = 0.5, least: int = 5) -> DataFrame:
     """Clusters by density (L9): id, cluster (smallest core id of the component; -1 for noise).
 
-    Pairs within eps come from a broadcast nested loop over at most `limit` rows. Border rows join the smallest core.
+    Three passes over blocks: neighbours are counted; of the links between core rows, each pair of blocks sends only those
+    that join its rows; a border row takes the smallest cluster within reach. Rounds over the links are checkpointed.
     """
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows")
-    a, b = df.select(F.col("id").alias("a"), F.col("vec").alias("va")), df.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    near = a.join(F.broadcast(b)).where(euclidean(F.col("va"), F.col("vb")) <= eps).select("a", "b").cache()  # bounded by limit
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core")).cache()
-    label = core.select("core", F.col("core").alias("label")).cache()
-    edges = near.join(core, near["a"] == core["core"], "left_semi").join(core.withColumnRenamed("core", "c"), F.col("b") == F.col("c"), "left_semi").cache()
+    rows = df.select("id", "vec")
+
+    def count(a, b):
+        found = [(i, int(n)) for some, d in _distances(a, b) for i, n in zip(some["id"], (d <= eps).sum(axis=1), strict=True)] if len(a) and len(b) else []
+        return pd.DataFrame(found, columns=["id", "n"])
+
+    core = in_blocks(rows, rows, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id")
+    cores = checkpoint(rows.join(core, "id", "left_semi"))
+
+    def link(a, b):
+        found = []
+        if len(a) and len(b):
+            ids, root = b["id"].to_numpy(), {}
+
+            def top(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for some, d in _distances(a, b):
+                for i, own in zip(some["id"], d, strict=True):
+                    for j in ids[own <= eps]:
+                        x, y = top(int(i)), top(int(j))
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+                            found.append((int(i), int(j)))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    links = in_blocks(cores, cores, link, "a bigint, b bigint").distinct()
+    both = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = checkpoint(cores.select("id", F.col("id").alias("label")))
     while True:
-        moved = edges.join(label, edges["b"] == label["core"]).groupBy("a").agg(F.min("label").alias("label")).select(F.col("a").alias("core"), "label").cache()
-        if moved.agg(F.sum("label")).first() == label.agg(F.sum("label")).first():
-            break
+        # The smallest label next to a row, and then that label's own.
+        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        moved = label.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
+        jumped = moved.join(moved.select(F.col("id").alias("label"), F.col("label").alias("_next")), "label", "left")
+        moved = checkpoint(jumped.select("id", F.coalesce("_next", "label").alias("label")))
+        same = moved.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first() == label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()
         label = moved
-    reached = near.join(label, near["b"] == label["core"]).groupBy("a").agg(F.min("label").alias("border"))
-    own = label.select(F.col("core").alias("id"), "label")
-    out = df.join(own, "id", "left").join(reached.withColumnRenamed("a", "id"), "id", "left")
+        if same:
+            break
+    reached = rows.join(label, "id", "left_anti")
+
+    def border(a, b):
+        found = []
+        if len(a) and len(b):
+            labels = b["label"].to_numpy()
+            found = [(i, int(labels[own <= eps].min())) for some, d in _distances(a, b) for i, own in zip(some["id"], d, strict=True) if (own <= eps).any()]
+        return pd.DataFrame(found, columns=["id", "border"])
+
+    edge = in_blocks(reached, checkpoint(cores.join(label, "id")), border, "id bigint, border bigint").groupBy("id").agg(F.min("border").alias("border"))
+    out = df.join(label, "id", "left").join(edge, "id", "left")
     return out.select(*df.columns, F.coalesce("label", "border", F.lit(-1)).cast("long").alias("cluster"))
 
 
@@ -232,14 +294,25 @@ def cluster_profile(df: DataFrame, dim: int) -> DataFrame:
     return g.select("cluster", "n", (100 * F.col("n") / F.col("all")).alias("pct"), F.posexplode(F.array(*[f"m{d}" for d in range(dim)])).alias("d", "mean")).withColumn("d", F.col("d").cast("long"))
 
 
-def silhouette(df: DataFrame, limit: int = 20_000) -> DataFrame:
-    """Mean silhouette by Euclidean distance over (id, vec, cluster) (L11); at most `limit` rows."""
+def silhouette(df: DataFrame) -> DataFrame:
+    """Mean silhouette by Euclidean distance over (id, vec, cluster) (L11): distances are summed by cluster within blocks."""
     rows = df.where("cluster <> -1").select("id", "vec", "cluster")
-    if rows.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows")
-    other = rows.select(F.col("id").alias("jd"), F.col("vec").alias("jv"), F.col("cluster").alias("jc"))
-    d = rows.join(F.broadcast(other)).where("id <> jd").groupBy("id", "cluster", "jc").agg(F.avg(euclidean(F.col("vec"), F.col("jv"))).alias("d"))  # bounded by limit
-    ab = d.groupBy("id").agg(F.min(F.when(F.col("cluster") == F.col("jc"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("jc"), F.col("d"))).alias("b"))
+
+    def sums(a, b):
+        found = []
+        if len(a) and len(b):
+            ids, (names, of) = b["id"].to_numpy(), np.unique(b["cluster"].to_numpy(), return_inverse=True)
+            hot = np.eye(len(names))[of]
+            for some, d in _distances(a, b):
+                n = np.ones_like(d)
+                own = some["id"].to_numpy()[:, None] == ids[None]
+                d[own], n[own] = 0, 0
+                total, times = d @ hot, n @ hot
+                found += [(i, int(c), int(names[k]), float(total[r, k]), float(times[r, k])) for r, (i, c) in enumerate(zip(some["id"], some["cluster"], strict=True)) for k in range(len(names))]
+        return pd.DataFrame(found, columns=["id", "cluster", "other", "d", "n"])
+
+    d = in_blocks(rows, rows, sums, "id bigint, cluster bigint, other bigint, d double, n double").groupBy("id", "cluster", "other").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0.0))).alias("d"))
+    ab = d.groupBy("id").agg(F.min(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("other"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.agg(F.round(F.avg(s), 6).alias("silhouette"), F.count("*").alias("n"))
 

@@ -741,7 +741,11 @@ def kmeans_sizes(spark, sf):
     return M.kmeans(_vectors(spark, sf), 10).groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_VEC}, e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON {_DIST.format('a.vec', 'b.vec')} <= 1.0), core AS MATERIALIZED (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 5), "
+    "ce AS MATERIALIZED (SELECT a, b FROM e JOIN core x ON x.id = a JOIN core y ON y.id = b), r AS (SELECT id, id AS label FROM core UNION SELECT ce.b, r.label FROM r JOIN ce ON ce.a = r.id), l AS (SELECT id, min(label) AS label FROM r GROUP BY id), "
+    "o AS (SELECT e.a AS id, min(l.label) AS border FROM e JOIN l ON l.id = e.b GROUP BY e.a) SELECT v.id, coalesce(l.label, o.border, -1)::BIGINT AS cluster FROM v LEFT JOIN l ON l.id = v.id LEFT JOIN o ON o.id = v.id"
+)
 def dbscan_labels(spark, sf):
     return M.dbscan(_vectors(spark, sf).select("id", "vec"), eps=1.0).select("id", "cluster")
 
@@ -753,7 +757,7 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query()
+@query("SELECT event_id, regexp_replace(props, '\\}$', ',\"range\": \"1-5\"}') AS fixed FROM events")
 def json_repair(spark, sf):
     broken = F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}$", ',"range": 1-5,}'), F.lit("\n```"))
     return table(spark, sf, "events").select("event_id", J.repaired(broken).alias("fixed"))
