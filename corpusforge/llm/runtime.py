@@ -68,7 +68,7 @@ def as_array(values: Iterable, kind: pa.DataType) -> pa.Array:
 
 
 #: Rows handed to Python code at once, so that a batch's word lists stay small.
-SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
