@@ -37,14 +37,18 @@ _MARKS = b"!?"
 def repeated_words(words: list[bytes], window: int = 8) -> int:
     """Words inside windows of 8 words that are found twice or more, the first included.
 
-    Windows are compared by a 64-bit mix of their words' keyed 64-bit hashes.
+    Words are numbered; windows of 2, 4 and 8 words get the numbers of their different halves, so equal numbers are equal words.
     """
     n = len(words)
     if n <= window:
         return 0
-    a = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-    for step, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
-        a = a[:-step] * np.uint64(odd) + (a[step:] ^ (a[step:] >> np.uint64(29)))
+    seen: dict[bytes, int] = {}
+    a = np.fromiter(map(seen.setdefault, words, range(n)), np.int64, n)
+    if len(seen) == n:
+        return 0
+    for step in (1, 2, 4):
+        pairs = a[:-step] * n + a[step:]
+        a = np.unique(pairs, return_inverse=True)[1] if step < 4 else pairs
     ordered = np.sort(a)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
