@@ -240,3 +240,13 @@ def star_label_truncated(c: Column) -> Column:
     whole = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n))
     label = F.when(whole >= 40, "正面").when(whole == 30, "中性").when(whole.isin(10, 20), "负面").otherwise("无法判断")
     return F.when(c.isNull() | (F.trim(c) == ""), "").otherwise(label)
+
+
+def simplified(c: Column, pairs: dict[str, str]) -> Column:
+    """Characters replaced by a given table, only in texts with Han characters (T11); the table is the caller's."""
+    return F.when(c.rlike(r"[\x{4e00}-\x{9fff}]"), F.translate(c, "".join(pairs), "".join(pairs.values()))).otherwise(c)
+
+
+def now_text(zone: str = "UTC") -> Column:
+    """The present time as a report's head has it."""
+    return F.date_format(F.convert_timezone(None, F.lit(zone), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd HH:mm")

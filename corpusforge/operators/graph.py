@@ -127,3 +127,29 @@ def load(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Writes both tables, replacing what was there (Y1, K8): nodes by label, edges by type."""
     nodes.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/nodes")
     edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
+
+
+#: Predicate names of the other ontology (fixed).
+FUNCTIONAL = {
+    "t_max": "has_temperature_max", "t_min": "has_temperature_min", "rain": "has_precipitation", "wind": "has_wind_speed_max", "humidity": "has_humidity",
+    "day": "has_date", "frost_day": "has_frost", "heat_day": "has_heat", "severe_heat_day": "has_severe_heat", "dry_day": "has_dry", "dry_streak": "has_dry_streak",
+    "strong_wind_day": "has_strong_wind", "dust_storm_risk": "has_dust_storm", "rainy_day": "has_rainy", "rain_streak": "has_continuous_rain_streak",
+}
+
+
+def functional_triples(df: DataFrame) -> DataFrame:
+    """(s, p, o) with one value a property, flags as true and false."""
+    s = F.concat(F.lit("Record_"), F.date_format("day", "yyyyMMdd"))
+    rows = [F.struct(s.alias("s"), F.lit(p).alias("p"), F.col(c).cast("string").alias("o")) for c, p in FUNCTIONAL.items() if c in df.columns]
+    return df.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("o IS NOT NULL")
+
+
+def rdf_xml(spo: DataFrame, base: str = "http://example.org/series#") -> DataFrame:
+    """Triples as RDF/XML, one description a subject (K7); a line each, between the lines of head and foot."""
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    link = F.concat(F.lit("<s:"), "p", F.lit(f' rdf:resource="{base}'), text(F.col("o")), F.lit('"/>'))
+    literal = F.concat(F.lit("<s:"), "p", F.lit(' rdf:datatype="http://www.w3.org/2001/XMLSchema#'), "datatype", F.lit('">'), text(F.col("o")), F.lit("</s:"), "p", F.lit(">"))
+    parts = spo.select("s", F.when(F.col("datatype") == "iri", link).otherwise(literal).alias("x")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x"))
+    body = parts.select(F.lit(1).alias("k"), F.concat(F.lit(f'<rdf:Description rdf:about="{base}'), text(F.col("s")), F.lit('">'), "x", F.lit("</rdf:Description>")).alias("value"))
+    ends = spo.sparkSession.createDataFrame([(0, f'<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:s="{base}">'), (2, "</rdf:RDF>")], "k int, value string")
+    return ends.unionByName(body).orderBy("k", "value").select("value")

@@ -351,3 +351,10 @@ def calibrated(dev: DataFrame, vocabulary: dict[str, int], reference: Column, sm
     near = F.abs(F.col("mean_len") - mean) <= away
     best = F.max_by(F.struct("smooth", "penalty", "f1", "mean_len"), F.struct(near, F.round("f1", 9), F.round("mean_len", 9), -F.col("penalty"), -F.col("smooth")))
     return points.agg(best.alias("b")).select("b.smooth", "b.penalty", F.round("b.f1", 6).alias("f1"), F.round("b.mean_len", 6).alias("mean_len"))
+
+
+def all_words(text: str, vocabulary: set[str], longest: int = 4) -> list[str]:
+    """Every dictionary word of two characters or more in a text, by place, then length; characters in none stand alone (G2's full mode)."""
+    found = [(i, n) for i in range(len(text)) for n in range(2, min(longest, len(text) - i) + 1) if text[i : i + n] in vocabulary]
+    covered = {j for i, n in found for j in range(i, i + n)}
+    return [text[i : i + n] for i, n in sorted(found + [(i, 1) for i in range(len(text)) if i not in covered])]

@@ -372,3 +372,63 @@ def seg_calibrate(spark, sf):
 
     dev = M.calibration_sample(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "text")
     return Z.calibrated(dev, _vocabulary(spark, sf), F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,4}|\p{N}+|[^\p{L}\p{N}\s]"), F.lit(0)))
+
+
+# More profiles, another ontology, the neural segmenter
+
+@query(
+    "SELECT source, count(*)::BIGINT AS n, round(avg(length(text)), 4) AS mean_chars, round(avg(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))), 4) AS mean_tokens, round(quantile_cont(length(text), 0.5), 4) AS median_chars, max(length(text))::BIGINT AS max_chars, "
+    "round(1 - count(DISTINCT text) / count(*)::DOUBLE, 6) AS dup_rate, (SELECT string_agg(q || ':' || k, ',' ORDER BY q) FROM (SELECT coalesce(quality::VARCHAR, 'none') AS q, count(*) AS k FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.source = x.source GROUP BY ALL)) AS labels FROM documents x GROUP BY source"
+)
+def source_stats(spark, sf):
+    docs = table(spark, sf, "documents")
+    n = F.length("text")
+    k = docs.select("source", n.alias("n"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("k"), F.md5(F.encode("text", "UTF-8")).alias("h"))
+    stats = k.groupBy("source").agg(
+        F.count("*").alias("n"), F.round(F.avg("n"), 4).alias("mean_chars"), F.round(F.avg("k"), 4).alias("mean_tokens"), F.round(F.expr("percentile(n, 0.5)"), 4).alias("median_chars"),
+        F.max("n").cast("long").alias("max_chars"), F.round(1 - F.countDistinct("h") / F.count("*"), 6).alias("dup_rate"),
+    )
+    label = F.coalesce(F.col("quality").cast("string"), F.lit("none"))
+    by = docs.select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("source", label.alias("q")).agg(F.count("*").alias("c"))
+    dist = by.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "c"))), lambda x: F.concat(x["q"], F.lit(":"), x["c"].cast("string"))), ",").alias("labels"))
+    return stats.join(dist, "source")
+
+
+@query(
+    "WITH j AS (SELECT text FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM j), k AS (SELECT token, count(*) AS n FROM t GROUP BY token) SELECT count(*)::BIGINT AS vocab, sum((n = 1)::INT)::BIGINT AS hapax, "
+    "(SELECT round(1 - count(DISTINCT lower(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}a-zA-Z0-9]', '', 'g'))) / greatest(count(*), 1)::DOUBLE, 6) FROM j) AS near_rate FROM k"
+)
+def dataset_vocabulary(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id"), "doc_id").select("text")
+    k = C.words(rows).groupBy("token").agg(F.count("*").alias("n")).agg(F.count("*").alias("vocab"), F.count_if(F.col("n") == 1).alias("hapax"))
+    return k.join(F.broadcast(rows.agg(F.round(C.near_rate(rows), 6).alias("near_rate"))))  # one row each
+
+
+_MIX = "run AS (SELECT r, count(*) AS m FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS r FROM documents) GROUP BY r)"
+
+
+@query(f"WITH {_MIX}, g AS (" + " UNION ALL ".join(f"SELECT m, unnest(list_transform(range(1, length(r) - {n} + 2), lambda i: substring(r, i, {n}))) AS gram FROM run WHERE length(r) >= {n}" for n in (2, 3, 4)) + ") SELECT gram, sum(m)::BIGINT AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 300")
+def char_ngram_mix(spark, sf):
+    docs = table(spark, sf, "documents")
+    return G.union_all([C.char_ngrams(docs, n) for n in (2, 3, 4)]).orderBy(F.desc("n"), "gram").limit(300)
+
+
+@query(f"WITH {_DAY} " + " UNION ALL ".join(f"SELECT 'Record_' || strftime(day, '%Y%m%d') AS s, '{p}' AS p, {c}::VARCHAR AS o FROM w" for c, p in G.FUNCTIONAL.items()))
+def functional_triples(spark, sf):
+    return G.functional_triples(daily(spark, sf))
+
+
+@query()
+def seg_neural(spark, sf):
+    """The network learns from the statistical segmenter's tokens of the calibration sample and tags every text."""
+    from ..operators import tagger as N
+    from .catalogue import _vocabulary
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vocabulary = _vocabulary(spark, sf)
+    dev = M.calibration_sample(docs, "doc_id", "text")
+    runs = {p for r in Z.segmented(dev, "viterbi", vocabulary).select(F.slice("tokens", F.lit(1), F.lit(60)).alias("tokens")).collect() for p in [tuple(t for t in r["tokens"] if t.isalpha())] if p}
+    samples = sorted(map(list, runs))
+    model = N.Tagger(sorted({c for s in samples for t in s for c in t}))
+    model.fit(samples, rounds=3)
+    return N.tagged(docs, model).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))

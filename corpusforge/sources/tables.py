@@ -122,3 +122,48 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.select(*[markdown_cell(F.col(c)).alias(c) for c in df.columns]).limit(limit).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *["| " + " | ".join(r) + " |" for r in rows]])
+
+
+def write_report(df: DataFrame, path: str, limit: int = 1_000_000) -> None:
+    """A report as one CSV file's text with a byte order mark, as spreadsheets want it (K1); for results of a bounded size."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    quote = lambda c: F.when(cell(c).rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(cell(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell(c))
+    head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(df.columns),)], "value string")
+    rows = df.limit(limit).select(F.concat_ws(",", *[quote(c) for c in df.columns]).alias("value"))
+    head.unionByName(rows).coalesce(1).write.mode("overwrite").text(path)
+
+
+def without_index(df: DataFrame) -> DataFrame:
+    """Without the unnamed columns that an index leaves in a file."""
+    return df.select(*[c for c in df.columns if not (c == "" or c.startswith("Unnamed: ") or c == "_c0")])
+
+
+#: The schema of extracted knowledge (fixed names).
+KNOWLEDGE = (
+    "model string, elapsed_seconds double, input_tokens bigint, output_tokens bigint, parsed struct<entities:array<struct<id:string,type:string,name:string,properties:map<string,string>>>,"
+    "relationships:array<struct<source:string,target:string,type:string,properties:map<string,string>>>,rules:array<string>>"
+)
+
+
+def knowledge(spark: SparkSession, path: str) -> DataFrame:
+    """Extraction answers, one file each; those without a parsed part are left out (S18). Rules that are objects stay as JSON."""
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(F.from_json("value", KNOWLEDGE).alias("k")).select("k.*").where("parsed IS NOT NULL")
+
+
+def judged_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answers of a judge, JSON lines: case, ideal tokens, scores by method (G15's ingest), one row a case and method."""
+    rows = jsonl(spark, path, "case string, ideal array<string>, scores map<string,double>")
+    return rows.select("case", "ideal", F.explode_outer("scores").alias("method", "score"))
+
+
+def save_arrays(spark: SparkSession, arrays: dict, path: str) -> None:
+    """Parameters of a model: one row an array, with its shape (K9)."""
+    rows = [(k, list(map(int, v.shape)), v.astype(float).ravel().tolist()) for k, v in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_arrays(spark: SparkSession, path: str) -> dict:
+    import numpy as np
+
+    return {r["name"]: np.array(r["numbers"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}

@@ -201,3 +201,59 @@ def test_rates_lookups_and_filters_on_nulls(spark):
     assert A.judged(spark.createDataFrame([("m", 3, 4.0), ("m", 2, None)], "model string, tokens long, score double")).collect()[0].mean_score == 2.0
     star = spark.createDataFrame([("39.9",), ("40.2",), ("30.7",), ("",), (None,), ("x",)], "s string")
     assert [r.l for r in star.select(T.star_label_truncated(star["s"]).alias("l")).collect()] == ["无法判断", "正面", "中性", "", "", "无法判断"]
+
+
+def test_neural_segmenter(spark, sf):
+    from corpusforge.operators import tagger as N
+
+    assert N.tags_of(["ab", "c", "def"]) == [0, 2, 3, 0, 1, 2]
+    model = N.Tagger(list("abcdef"), size=4, hidden=3)
+    ids, tags = model.encode("abcdefz"), np.array([0, 1, 2, 3, 0, 2, 3])
+    _, grads = model.gradients(ids, tags)
+    r = np.random.default_rng(1)
+    for k, p in model.p.items():
+        at = tuple(int(r.integers(n)) for n in p.shape)
+        old = p[at]
+        p[at] = old + 1e-5
+        up = model.gradients(ids, tags)[0]
+        p[at] = old - 1e-5
+        down = model.gradients(ids, tags)[0]
+        p[at] = old
+        assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-7
+    samples = [["ab", "c"], ["c", "ab", "def"], ["def", "ab"], ["c", "c", "def"]] * 8
+    model = N.Tagger(list("abcdef"))
+    losses = model.fit(samples, rounds=8)
+    assert losses[-1] < 0.2 * losses[0] and model.cut("abcdefab") == ["ab", "c", "def", "ab"] and model.cut("") == []
+    df = spark.createDataFrame([(1, "abc 12 defab!"), (2, None), (3, "")], "doc_id long, text string")
+    assert {x.doc_id: x.tokens for x in N.tagged(df, model).collect()} == {1: ["ab", "c", "12", "def", "ab", "!"], 2: [], 3: []}
+    # Over the whole table, the tokens are the texts' own characters.
+    docs = texts(spark, sf)
+    got = {x.doc_id: x.n_tokens for x in entry.queries()["seg_neural"](spark, sf).collect()}
+    assert got.keys() == docs.keys() and all(got[k] <= len(t) for k, t in docs.items())
+
+
+def test_more_sources_and_sinks(spark, sf, tmp_path):
+    df = spark.createDataFrame([("a,b", 1), ('q"x', None)], "t string, n int").coalesce(1)
+    R.write_report(df, str(tmp_path / "report"))
+    data = b"".join(sorted(f.read_bytes() for f in (tmp_path / "report").glob("part-*")))
+    assert data.decode("utf-8") == '\ufefft,n\n"a,b",1\n"q""x",\n'
+    assert R.without_index(spark.createDataFrame([(0, 1)], "`Unnamed: 0` int, x int")).columns == ["x"]
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "a.json").write_text('{"model": "m", "input_tokens": 3, "parsed": {"entities": [{"id": "e1", "type": "T", "name": "N", "properties": {"p": "1"}}], "rules": ["r"]}}', encoding="utf-8")
+    (tmp_path / "k" / "b.json").write_text('{"model": "n", "parsed": null}', encoding="utf-8")
+    got = R.knowledge(spark, str(tmp_path / "k")).collect()
+    assert [(r.model, r.parsed.entities[0].properties["p"], r.parsed.rules) for r in got] == [("m", "1", ["r"])]
+    (tmp_path / "j.jsonl").write_text('{"case": "1", "ideal": ["a"], "scores": {"x": 7.5, "y": 3}}\n', encoding="utf-8")
+    assert sorted((r.method, r.score) for r in R.judged_answers(spark, str(tmp_path / "j.jsonl")).collect()) == [("x", 7.5), ("y", 3.0)]
+    arrays = {"w": np.arange(6.0).reshape(2, 3), "b": np.array([1.5])}
+    R.save_arrays(spark, arrays, str(tmp_path / "m"))
+    assert all(np.array_equal(v, arrays[k]) for k, v in R.load_arrays(spark, str(tmp_path / "m")).items())
+    one = spark.createDataFrame([("Record_1", "t_max", "1<2", "float"), ("Record_1", "hasEvent", "x", "iri")], "s string, p string, o string, datatype string")
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring("".join(r.value for r in G.rdf_xml(one).collect()))
+    assert len(root) == 1 and sorted((x.text or "") for x in root[0]) == ["", "1<2"]
+    han = spark.createDataFrame([("這是",), ("abc",)], "t string")
+    assert [r[0] for r in han.select(T.simplified(han["t"], {"這": "这", "a": "z"})).collect()] == ["这是", "abc"]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d \d\d:\d\d", spark.range(1).select(T.now_text()).first()[0])
+    assert Z.all_words("贺兰山酒", {"贺兰", "贺兰山", "兰山"}) == ["贺兰", "贺兰山", "兰山", "酒"]

@@ -41,7 +41,7 @@ def test_query_equals_sql(name, spark, sf, duck):
 
 
 #: Queries without SQL; tests/test_further.py holds each against plain Python.
-WITHOUT_SQL = {"clean_full", "seg_maxmatch", "seg_viterbi", "seg_hmm", "seg_calibrate", "kmeans_sizes", "kmeans_best_k", "ward_labels", "logistic_gd", "tree_predict", "method_comparison"}
+WITHOUT_SQL = {"clean_full", "seg_maxmatch", "seg_viterbi", "seg_hmm", "seg_neural", "seg_calibrate", "kmeans_sizes", "kmeans_best_k", "ward_labels", "logistic_gd", "tree_predict", "method_comparison"}
 
 
 def test_queries_without_sql_are_known():
