@@ -79,8 +79,8 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, block: int = 4096) -> Dat
             return pd.DataFrame({"id": [], "actual": [], "tid": [], "tl": [], "d": []})
         other, rows = np.stack(trains["tv"]).astype(float), []
         tids, labels = trains["tid"].to_numpy(), trains["tl"].to_numpy()
-        for at in range(0, len(tests), 64):
-            some = tests.iloc[at : at + 64]
+        for at in range(0, len(tests), 16):
+            some = tests.iloc[at : at + 16]
             d = _nearest(np.stack(some["vec"]).astype(float), other, 9)
             for i, actual, own in zip(some["id"], some["actual"], d, strict=True):
                 top = np.lexsort((tids, own))[:k] if len(own) <= 4 * k else _first(own, tids, k)
@@ -179,8 +179,8 @@ def in_blocks(df: DataFrame, other: DataFrame, work, schema: str, block: int = 2
 def _distances(a: pd.DataFrame, b: pd.DataFrame):
     """Euclidean distances of the rows of a to those of b, some rows of a at once: (ids of a, places in a, distances)."""
     other = np.stack(b["vec"]).astype(float)
-    for at in range(0, len(a), 64):
-        some = a.iloc[at : at + 64]
+    for at in range(0, len(a), 32):
+        some = a.iloc[at : at + 32]
         yield some, np.sqrt(((np.stack(some["vec"]).astype(float)[:, None, :] - other[None]) ** 2).sum(axis=2))
 
 
