@@ -4,13 +4,14 @@ Words are counted over all documents (one shuffle of partial counts). The most f
 histogram of the counts gives the cut-off), have ids of their own in the network; the rest share `OTHERS` ids by hash.
 The network reads the words before and behind the hidden one, as classes, and predicts its id in two stages, both from
 the context: the class, through a hidden layer, then the id within the class. Classes are clusters of ids with like
-neighbours, laid out on a bounded sample (`FIT_ROWS` slices of documents). A word of a shared id has its own share of
+neighbours, counted over every window of all documents. A word of a shared id has its own share of
 that id, its count in the *other* documents of the corpus: these counts grow with the corpus, stay distributed and
 meet the documents' words in a shuffled join. A document's score is the sum of its words' conditional log-probabilities.
 
 Training, in numpy, is over every window of all documents: the likelihood of the whole corpus and its gradient depend only
 on how often each class stands between each two classes, and each id behind and before each class. These counts, whole
 numbers in a table of fixed size, are summed over all documents, so the network is the same however the table is split.
+The documents are encoded once, to two bytes a word in a checkpoint; neighbours and windows are both counted from it.
 
 Defined results: words are lower-cased (A-Z) and separated by ASCII white space; beyond the ends stands a
 boundary id; a null or empty text has 0 tokens, sum 0 and a null mean; repeated rows get the same scores; ties in
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from . import runtime
 
 VOCABULARY, OTHERS, CLASSES, DIM, HIDDEN = 4096, 64, 64, 16, 32
-#: Documents whose slices lay out the classes, characters of each; steps and rate of the training; partial counts kept.
-FIT_ROWS, FIT_SLICE, STEPS, RATE, PARTIAL = 1500, 4000, 120, 0.05, 200_000
-#: Windows that are read together, and words outside the vocabulary whose ids are kept.
-BLOCK, KNOWN = 1 << 15, 150_000
+#: Neighbours told apart, by rank up to the last, which all rarer ones share; steps and rate of the training; partial counts kept.
+FEATURES, STEPS, RATE, PARTIAL = 256, 120, 0.05, 200_000
+#: Windows that are scored together, and counted together; words outside the vocabulary whose ids are kept.
+BLOCK, COUNTED, KNOWN = 1 << 15, 1 << 18, 150_000
 #: Unit of the log counts summed for a document: whole numbers, so the order of the sum does not matter.
 LOG_UNIT = 1 << 30
 #: Count of a word that no other document has.
@@ -92,14 +94,9 @@ def other(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-2:] + bytes([min(len(word), 20)])) % OTHERS
 
 
-def classes_of(encoded: list[np.ndarray], ids: int, seed: int = 5) -> np.ndarray:
+def classes_of(near: np.ndarray, seed: int = 5) -> np.ndarray:
     """The class of each id (0, the boundary, has its own): clusters by the square roots of the shares of their neighbours."""
-    features = 256
-    near = np.zeros((ids, 2 * features), np.float32)
-    for x in encoded:
-        for side, (a, b) in enumerate(((x[1:], x[:-1]), (x[:-1], x[1:]))):
-            # Neighbours are told apart by rank up to the last feature, which all rarer ones share.
-            np.add.at(near, (a, side * features + np.minimum(b, features - 1)), 1)
+    ids, near = len(near), near.astype(np.float32)
     near = np.sqrt(near / np.maximum(1, near.sum(axis=1, keepdims=True)))
     r = np.random.default_rng(seed)
     found = 1 + np.arange(ids) % (CLASSES - 1)
@@ -279,12 +276,12 @@ def network(top: list[tuple[bytes, int]], others: list[int], of: np.ndarray | No
     return WindowNetwork(Ids([w for w, _ in top]), of.astype(np.int64), p, np.log(weight[1 + len(top) :]))
 
 
-def train(df: DataFrame, vocabulary: int = VOCABULARY, rows: int = FIT_ROWS, steps: int = STEPS) -> WindowNetwork:
+def train(df: DataFrame, vocabulary: int = VOCABULARY, steps: int = STEPS) -> WindowNetwork:
     """The trained network."""
-    return train_on(df, runtime.checkpoint(word_counts(df)), vocabulary, rows, steps)
+    return train_on(df, runtime.checkpoint(word_counts(df)), vocabulary, steps)
 
 
-def train_on(df: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, rows: int = FIT_ROWS, steps: int = STEPS) -> WindowNetwork:
+def train_on(df: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, steps: int = STEPS) -> WindowNetwork:
     """The network trained with the given word counts; only the vocabulary and tables of fixed size reach the driver."""
     runtime.ship(df.sparkSession)
     top = most_frequent(counts, vocabulary)
@@ -300,15 +297,76 @@ def train_on(df: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, row
 
     sums = {r["k"]: r["n"] for r in counts.mapInArrow(tally, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     others = [sums.get(k, 0) for k in range(OTHERS)]
-    at = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.length("text") - FIT_SLICE + 1, F.lit(1))).cast("int") + 1
-    sliced = df.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", at, F.lit(FIT_SLICE)).alias("part"))
-    sample = [words_of(r["part"]) for r in runtime.bounded_sample(sliced, "doc_id", rows, "part")]
     plain = network(top, others)
-    model = network(top, others, classes_of([plain.encode(d) for d in sample if d], len(plain.of)))
-    model.fit(count_windows(df, model), steps)
+    ids = runtime.checkpoint(encoded(df, plain))
+    model = network(top, others, classes_of(count_neighbours(ids, len(plain.of))))
+    model.fit(count_encoded(ids, model), steps)
     return model
 
 
+def encoded(df: DataFrame, model: WindowNetwork) -> DataFrame:
+    """ids (binary): a boundary and the ids of each document; they need the vocabulary only, not the classes."""
+    shared, kind = df.sparkSession.sparkContext.broadcast(model), id_type(len(model.of))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        model = shared.value
+        return {"ids": [np.concatenate([[0], model.encode(words_of(t))]).astype(kind).tobytes() for t in batch.column("text").to_pylist()]}
+
+    return runtime.per_batch(df, "ids binary", work, ["text"])
+
+
+def id_type(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def windows_in(batch: pa.RecordBatch, kind: str):
+    """(before, own, behind) of every window of encoded documents, in blocks."""
+    for part in runtime.slices(batch):
+        flat = np.frombuffer(b"".join([*part.column("ids").to_pylist(), bytes(4)]), kind).astype(np.int64)
+        at = np.flatnonzero(flat)
+        for k in range(0, len(at), COUNTED):
+            here = at[k : k + COUNTED]
+            yield flat[here - 1], flat[here], flat[here + 1]
+
+
+def count_neighbours(ids: DataFrame, n: int) -> np.ndarray:
+    """How often each of n ids has each neighbour (n, 2 FEATURES), before and behind, over all encoded documents.
+
+    A task sends a row for each id that it meets; rows are summed by id in tasks of their own, the driver gets one an id.
+    """
+    kind, width = id_type(n), 2 * FEATURES
+    schema = "id int, n binary"
+
+    def batch_of(found: list[int], rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n"])
+
+    def count(batches):
+        near = np.zeros((2, n * FEATURES), np.int64)
+        for batch in batches:
+            for before, own, behind in windows_in(batch, kind):
+                for side, other_id in enumerate((before, behind)):
+                    near[side] += np.bincount(own * FEATURES + np.minimum(other_id, FEATURES - 1), minlength=n * FEATURES)
+        near = near.reshape(2, n, FEATURES)
+        seen = np.flatnonzero(near[0].any(axis=1))  # every window has both sides
+        for k in range(0, len(seen), 512):
+            own = seen[k : k + 512]
+            yield batch_of(own.tolist(), np.concatenate([near[0, own], near[1, own]], axis=1))
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column("id").to_pylist(), batch.column("n"), strict=True):
+                if i not in total:
+                    total[i] = np.zeros(width, np.int64)
+                total[i] += np.frombuffer(row.as_buffer(), np.int64)
+        yield batch_of(list(total), total.values())
+
+    near = np.zeros((n, width), np.int64)
+    for r in ids.mapInArrow(count, schema).repartition("id").mapInArrow(add, schema).collect():
+        near[r["id"]] = np.frombuffer(r["n"], np.int64)
+    return near
+
+
 def gathered(texts: list[str | None], model: WindowNetwork):
     """(before, own, behind, document) of every window of the texts, in blocks; and each text's words."""
     words = [words_of(t) for t in texts]
@@ -322,21 +380,24 @@ def gathered(texts: list[str | None], model: WindowNetwork):
 
 
 def count_windows(df: DataFrame, model: WindowNetwork) -> Windows:
-    """The counts over every window of all documents; each task sends what is not zero, the driver gets one sum a cell."""
-    runtime.ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """The counts over every window of all documents."""
+    return count_encoded(encoded(df, model), model)
+
+
+def count_encoded(ids: DataFrame, model: WindowNetwork) -> Windows:
+    """The counts over encoded documents; each task sends what is not zero, the driver gets one sum a cell."""
+    shared, kind = ids.sparkSession.sparkContext.broadcast(model), id_type(len(model.of))
 
     def run(batches):
         own = Windows(len(shared.value.of))
         for batch in batches:
-            for part in runtime.slices(batch):
-                for before, ids, behind, _ in gathered(part.column("text").to_pylist(), shared.value)[1]:
-                    own.add(shared.value, before, ids, behind)
+            for before, middle, behind in windows_in(batch, kind):
+                own.add(shared.value, before, middle, behind)
         flat = own.flat()
         cell = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(flat[cell])], names=["cell", "n"])
 
-    sums = df.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = ids.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     flat = Windows(len(model.of)).flat()
     flat[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     return Windows.of_flat(flat, len(model.of))
@@ -357,13 +418,15 @@ def score(df: DataFrame, model: WindowNetwork, counts: DataFrame | None = None)
         model = shared.value
         rows, docs, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
         words, blocks = gathered(texts, model)
-        sums, rest, times, of_rest, base, top = np.zeros(len(rows)), [], [], [], model.base, model.vocabulary
+        sums, rest, times, of_rest, base, outer = np.zeros(len(rows)), [], [], [], model.base, []
         for before, ids, behind, owner in blocks:
             z = model.log_probabilities(before, ids, behind)
             z -= np.where(ids >= base, model.share[np.maximum(ids - base, 0)], 0.0)
             sums += np.bincount(owner, z, len(rows))
+            outer.append(ids >= base)
+        outer = iter(np.concatenate(outer).tolist() if outer else [])
         for row, own in zip(rows, words, strict=True):
-            outside = Counter([w for w in own if w not in top])
+            outside = Counter(compress(own, islice(outer, len(own))))
             rest += outside
             times += outside.values()
             of_rest += [row] * len(outside)

@@ -383,6 +383,26 @@ def test_masked_lm_windows_are_counted_whole_however_split(spark):
     assert masked_lm.count_windows(df.limit(0), model).total == 0
 
 
+def test_masked_lm_classes_come_from_every_document_whole(spark):
+    r = random.Random(6)
+    # More documents than a sample of 1500 would hold, long ones with other neighbours after 4000 characters, one without a key.
+    texts = [" ".join(f"w{r.randrange(90)}" for _ in range(12)) for _ in range(1700)]
+    texts += [" ".join(f"w{k % 90}" for k in range(1500)) + " w1 w2" * 900, "w3 w4 " * 2000, None, ""]
+    df = frame(spark, texts).selectExpr("nullif(doc_id, 1701) doc_id", "text")
+    plain = masked_lm.network(masked_lm.most_frequent(masked_lm.word_counts(df)), [0] * masked_lm.OTHERS)
+    want = np.zeros((len(plain.of), 2 * masked_lm.FEATURES), np.int64)
+    for t in texts:
+        x = [0, *plain.encode(masked_lm.words_of(t)).tolist(), 0]
+        for before, own, behind in zip(x, x[1:], x[2:], strict=False):
+            want[own, min(before, masked_lm.FEATURES - 1)] += 1
+            want[own, masked_lm.FEATURES + min(behind, masked_lm.FEATURES - 1)] += 1
+    for parts in (1, 5):
+        ids = masked_lm.encoded(df.repartition(parts), plain)
+        assert (masked_lm.count_neighbours(ids, len(plain.of)) == want).all()
+    assert len(np.unique(masked_lm.classes_of(want))) == masked_lm.CLASSES
+    assert (masked_lm.train(df, steps=2).of == masked_lm.classes_of(want)).all()
+
+
 def test_masked_lm_beats_the_shares_of_words_on_held_out_documents(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
