@@ -25,9 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language: text in no such language, or without letters, goes."""
-    sample = langid.sample_of(docs)
-    languages, network = langid.learn(sample)
-    return langid.keep(docs, languages, network, langid.threshold(sample, languages, network))
+    languages, network = langid.train(docs)
+    return langid.keep(docs, languages, network, langid.threshold_of(docs, languages, network))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ with the greatest mean probability over its positions. Learning uses text and la
 letters in no learnt language (the sample's own with their letters in random order, and letters of other scripts).
 
 The filter rejects a document without letters, and one in which that class has a greater share than in nearly all
-(`SURE`) of the sample's documents, and at least half.
+(`SURE`) of the documents that may be learnt from, and at least half: their shares are counted over all of them, whole.
 
 Defined results: a null text, or one with no letter (Unicode category L), is `und` with score 0; with no labelled
 document to learn from, every text is `und`; ties take the first language in order; repeated rows get the same result;
@@ -34,8 +34,8 @@ SLICE = 2000
 #: Bytes of a segment, bytes read before it to find its first state, segments that step together, and the
 #: difference of a state beyond which a segment is read again.
 SEGMENT, WARM, TOGETHER, SETTLED = 512, 96, 768, 0.02
-#: Share of the sample's documents that the filter's threshold lets through, and the least threshold.
-SURE, REJECT_FROM = 0.998, 0.5
+#: Share of the documents that the filter's threshold lets through, the least threshold, and steps of the counted shares.
+SURE, REJECT_FROM, SHARES = 0.998, 0.5, 1 << 16
 
 _LETTER = regex.compile(r"\p{L}")
 #: Letters of other scripts, for the class of no learnt language.
@@ -51,9 +51,14 @@ def train(df: DataFrame, rows: int = FIT_ROWS, steps: int = STEPS, hidden: int =
     return learn(sample_of(df, rows), steps, hidden, seed)
 
 
+def learnt_from(df: DataFrame) -> DataFrame:
+    """The documents that may be learnt from: with a key and a language, not held out, of 16 bytes or more."""
+    return df.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") >= 16))
+
+
 def sample_of(df: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, str]]:
     """At most `rows` texts, a slice of `SLICE` characters from a place that the hash picks, with their languages."""
-    known = df.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") >= 16))
+    known = learnt_from(df)
     at = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.length("text") - SLICE + 1, F.lit(1))).cast("int") + 1
     sliced = known.select("doc_id", F.substring("text", at, F.lit(SLICE)).alias("part"), "lang")
     return [(r["part"], r["lang"]) for r in runtime.bounded_sample(sliced, "doc_id", rows, "part", "lang")]
@@ -161,6 +166,23 @@ def threshold(sample: list[tuple[str, str]], languages: list[str], network: BiGr
     return max(REJECT_FROM, float(np.quantile(judged([t for t, _ in sample], languages, network)[2], SURE)))
 
 
+def threshold_of(df: DataFrame, languages: list[str], network: BiGru | None, sure: float = SURE) -> float:
+    """That threshold from all documents that may be learnt from: a step's edge at which the share `sure` of them stays."""
+    if network is None:
+        return 1.0
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"step": np.ceil(np.array(judged(batch.column("text").to_pylist(), languages, network)[2]) * SHARES).astype(np.int64)}
+
+    counts = sorted(runtime.per_batch(learnt_from(df), "step bigint", work, ["text"]).groupBy("step").count().collect())
+    below, want = 0, sure * sum(r["count"] for r in counts)
+    for r in counts:
+        below += r["count"]
+        if below >= want:
+            return max(REJECT_FROM, r["step"] / SHARES)
+    return 1.0
+
+
 def predict(df: DataFrame, languages: list[str], network: BiGru | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double"

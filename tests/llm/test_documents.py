@@ -122,6 +122,27 @@ def test_quality_separates_held_out_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
 
 
+def test_quality_is_fitted_on_every_labelled_document_however_split(spark):
+    r = random.Random(12)
+    # More labels than a sample of 4000 would hold; one document twice, labels without a document, with none and of no kind.
+    texts = [" ".join(r.choice(["and", "the", "Of", "it!", "# $", "on\n"]) for _ in range(r.randrange(30))) for _ in range(5000)]
+    df = frame(spark, [*texts, texts[0]]).selectExpr("if(doc_id = 5000, 0, doc_id) doc_id", "text")
+    kinds = [(k, int(t.count("#") < 3)) for k, t in enumerate(texts)]
+    labels = spark.createDataFrame([*kinds, (10**6, 0), (None, 0), (7, None)], "doc_id long, quality int")
+    found = quality.labelled(df, labels).collect()
+    assert sorted((r.quality, tuple(r.features)) for r in found) == sorted((q, quality.statistics(texts[k])[1]) for k, q in kinds)
+    share = np.mean([q for _, q in kinds])
+    trees = [quality.train(df, labels, trees=4), quality.train(df.repartition(3), labels, trees=4), quality.train(df.repartition(3), labels, held=0, trees=4)]
+    assert abs(trees[0].base - np.log(share / (1 - share))) < 1e-12
+    for other in trees[1:]:
+        assert other.base == trees[0].base
+        assert all(np.array_equal(getattr(other, k), getattr(trees[0], k)) for k in ("feature", "threshold", "left", "right", "value"))
+    x = np.array([quality.statistics(t)[1] for t in texts])
+    for f, e in enumerate(quality.edges_of(quality.labelled(df, labels))):
+        exact = np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower")
+        assert all(np.abs(e - v).min() <= 1e-3 * abs(v) + 1e-30 for v in exact)
+
+
 def test_quality_edge_rows(spark):
     df = frame(spark, EDGE)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -217,6 +238,25 @@ def test_language_filter_drops_text_in_no_language_and_keeps_clean_text(spark):
     assert left > 0.99 and gone > 0.8, (left, gone)
 
 
+def test_language_threshold_is_counted_over_all_documents_whole(spark):
+    rng = np.random.default_rng(4)
+    docs = [r for r in documents(spark, "/root/testdata/sf0.01").values() if len(r.text) > 200][:150]
+    languages, net = langid.learn([(r.text[:400], r.lang) for r in docs], steps=60)
+    # What a slice of 2000 characters would not show stands behind it; documents that may not be learnt from do not count.
+    texts = [langid.no_language(rng, r.text[:300]) + (" " + docs[0].text) * (k % 4) for k, r in enumerate(docs)]
+    rows = [(None if k == 3 else k, t, None if k == 4 else "en") for k, t in enumerate([*texts, "short", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted = [t for k, t, x in rows if k is not None and x and zlib.crc32(str(k).encode()) % 4 != 2 and t and len(t.encode()) >= 16]
+    shares = np.sort(langid.judged(counted, languages, net)[2])
+    want = shares[int(np.ceil(0.9 * len(shares))) - 1]
+    assert want > langid.REJECT_FROM
+    for parts in (1, 4):
+        got = langid.threshold_of(df.repartition(parts), languages, net, 0.9)
+        assert want <= got + 1e-6 and got < want + 2 / langid.SHARES
+        assert sum(x <= got for x in shares) >= 0.9 * len(shares)
+    assert langid.threshold_of(df.limit(0), languages, net) == 1.0 == langid.threshold_of(df, [], None)
+
+
 # op8
 
 
