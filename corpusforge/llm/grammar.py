@@ -15,26 +15,22 @@ from collections.abc import Callable
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: A literal of a common beginning is the symbol of this number and the character's own.
+LITERAL = 0x100
+
+
 class Alphabet:
     """Symbols by place and character: what (nearly) all strings begin with stays literal, then letters and digits are one.
 
     Other marks are symbols of their own. sizes: the number of characters that a symbol stands for.
     """
 
-    def __init__(self, samples: list[str], letters: str, common: float = 0.95):
-        self.letters, self.prefix = frozenset(letters), ""
-        within = samples
-        while True:
-            at = len(self.prefix)
-            first = Counter(s[at] for s in within if len(s) > at + 1).most_common(1)
-            if not first or first[0][1] < common * len(samples) or len(samples) < 4:
-                break
-            self.prefix += first[0][0]
-            within = [s for s in within if s.startswith(self.prefix)]
+    def __init__(self, prefix: str, letters: str):
+        self.letters, self.prefix = frozenset(letters), prefix
 
     def __call__(self, at: int, c: str) -> str:
         if at < len(self.prefix) and c == self.prefix[at]:
-            return c + "!"
+            return chr(LITERAL + ord(c))
         return "x" if c in self.letters else c
 
     def size(self, symbol: str) -> int:
@@ -53,6 +49,19 @@ class Classes:
         return {"d": 10, "l": 26, "u": 26}.get(symbol, 1)
 
 
+def pattern(symbol: Callable[[int, str], str], s: str) -> str:
+    """The symbols of a string, a character each."""
+    return "".join([symbol(k, c) for k, c in enumerate(s)])
+
+
+def paths_of(counted):
+    """(beginning, n that go through it, n that end there) of counted patterns."""
+    for symbols, n in counted:
+        for k in range(len(symbols)):
+            yield symbols[:k], n, 0
+        yield symbols, n, n
+
+
 class Node:
     __slots__ = ("ends", "next", "seen", "through")
 
@@ -64,33 +73,52 @@ class Automaton:
     """A probabilistic automaton over symbols, with a floor for what the sample never showed."""
 
     def __init__(self, samples: list[str], symbol: Callable[[int, str], str], alpha: float = 0.05, floor: float = 1e-3):
+        counted, chars, paths = Counter(), Counter(), {}
+        for s in samples:
+            counted[pattern(symbol, s)] += 1
+            chars.update((symbol(k, c), c) for k, c in enumerate(s))
+        for path, n, ends in paths_of(counted.items()):
+            had = paths.get(path, (0, 0))
+            paths[path] = had[0] + n, had[1] + ends
+        self.build(symbol, chars, paths, alpha, floor)
+
+    @classmethod
+    def of_counts(cls, symbol: Callable[[int, str], str], chars: Counter, paths: dict[str, tuple[int, int]], alpha: float = 0.05, floor: float = 1e-3) -> Automaton:
+        """From counts over samples: of (symbol, character), and by beginning of the symbols how many go through and end."""
+        found = cls.__new__(cls)
+        found.build(symbol, chars, paths, alpha, floor)
+        return found
+
+    def build(self, symbol, chars: Counter, paths: dict[str, tuple[int, int]], alpha: float, floor: float) -> None:
         self.symbol, self.alpha, self.floor = symbol, alpha, floor
-        chars = Counter((symbol(k, c), c) for s in samples for k, c in enumerate(s))
         total = Counter()
         for (k, _), n in chars.items():
             total[k] += n
         #: Log-probability of a character within its symbol, and of one that the sample never showed.
         self.within = {(k, c): math.log((n + 1) / (total[k] + max(symbol.size(k), 1))) for (k, c), n in chars.items()}
         self.never = {k: -math.log(n + max(symbol.size(k), 1)) for k, n in total.items()}
-        states = self.infer(self.prefix_tree(samples))
+        states = self.infer(self.prefix_tree(paths))
         number = {id(q): k for k, q in enumerate(states)}
         #: By state: log-probabilities of the symbols seen, of any other, of the end; the next states; the likeliest one.
         self.tables = [self.table(q) for q in states]
         self.moves = [{k: number[id(q)] for k, q in state.next.items()} for state in states]
         self.likeliest = [moves[max(q.through, key=lambda k: (q.through[k], k))] if q.through else at for at, (q, moves) in enumerate(zip(states, self.moves, strict=True))]
 
-    def prefix_tree(self, samples: list[str]) -> Node:
-        root = Node()
-        for s in samples:
-            q = root
-            q.seen += 1
-            for at, c in enumerate(s):
-                k = self.symbol(at, c)
-                q.through[k] += 1
-                q = q.next.setdefault(k, Node())
-                q.seen += 1
-            q.ends += 1
-        return root
+    @staticmethod
+    def prefix_tree(paths: dict[str, tuple[int, int]]) -> Node:
+        """The tree of counted beginnings; a node is seen as often as its samples end there or go on in the tree."""
+        nodes = {"": Node()}
+        ordered = sorted(paths, key=lambda x: (len(x), x))
+        for path in ordered:
+            n, ends = paths[path]
+            q = nodes.setdefault(path, Node())
+            q.ends = ends
+            if path:
+                nodes[path[:-1]].through[path[-1]] += n
+                nodes[path[:-1]].next[path[-1]] = q
+        for q in nodes.values():
+            q.seen = q.ends + sum(q.through.values())
+        return nodes[""]
 
     def different(self, n1: int, f1: int, n2: int, f2: int) -> bool:
         if not n1 or not n2:
@@ -148,6 +176,26 @@ class Automaton:
                 known.add(id(q))
         return red
 
+    def walk(self, symbols: str):
+        """(state, symbol) of each step, and the last state with no symbol."""
+        q = 0
+        for k in symbols:
+            yield q, k
+            move = self.moves[q].get(k)
+            q = self.likeliest[q] if move is None else move
+        yield q, ""
+
+    def recount(self, counts: dict[tuple[int, str], int]) -> None:
+        """Probabilities from the counts of all samples' steps, those beyond the counted beginnings included."""
+        own = [Node() for _ in self.tables]
+        for (q, k), n in counts.items():
+            own[q].seen += n
+            if k:
+                own[q].through[k] += n
+            else:
+                own[q].ends += n
+        self.tables = [self.table(q) for q in own]
+
     def table(self, q: Node) -> tuple[dict[str, float], float, float]:
         total = q.seen + 2 * self.floor
         return {k: math.log((n + self.floor) / total) for k, n in q.through.items()}, math.log(self.floor / total), math.log((q.ends + self.floor) / total)

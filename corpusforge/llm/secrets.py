@@ -1,11 +1,13 @@
 """Secret scans: three base patterns, and formats inferred as probabilistic automata from labelled credentials.
 
-The base finds are the labelled credentials. A bounded sample of them (`FIT_VALUES` a kind, by the hashes of the values) is
-split by kind and by the characters used, and each part trains one automaton; a bounded sample of plain words, which
-are too short to be candidates, trains one of ordinary strings. Every candidate, a run of at least `CANDIDATE`
+The base finds of all documents are the labelled credentials. They are split by kind and by the characters used, and
+each part trains one automaton; the plain words of all documents, which are too short to be candidates, train one of
+ordinary strings. An automaton's states come from how often the symbols' beginnings stand in all different strings
+(those of at least one in `RARE`, so their number is bounded), its probabilities from the steps of all of them, counted.
+Every candidate, a run of at least `CANDIDATE`
 credential characters that no base span touches, and each of its parts between `=`, `/` and `.` that is long enough, is scored:
-its best format likelihood against the ordinary one, in nats. The margin is fitted on base finds held out of the
-training and on plain words joined to candidates' lengths. The method only adds spans.
+its best format likelihood against the ordinary one, in nats. The margin comes from counted scores of all base finds held out
+of the training (a fifth, by hash) and of plain words joined to candidates' lengths. The method only adds spans.
 
 Defined results: a null text is the empty text; spans are code points, end exclusive, of the whole match; letters of
 the assign keywords match in either ASCII case; repeated rows get the same spans; spans of different kinds may
@@ -16,15 +18,18 @@ table; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .grammar import DIGITS, LOWER, UPPER, Alphabet, Automaton, Classes
+from .grammar import DIGITS, LOWER, UPPER, Alphabet, Automaton, Classes, paths_of, pattern
 
 #: Fixed patterns of the base finds and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,8 +38,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 LEAST_ASSIGN = 6
 _KEYWORDS = ("passw", "secret", "token", "api")
-#: Shortest candidate; documents whose plain words are learnt from, characters of each, and values of a kind, at most.
-CANDIDATE, FIT_ROWS, FIT_SLICE, FIT_VALUES, LONGEST_VALUE = 16, 1500, 2000, 400, 200
+#: Shortest candidate; characters of a value learnt from; share of strings below which a beginning is not followed;
+#: different words that a task gathers before it sends them, words of a bucket that are joined, and steps of a nat.
+CANDIDATE, LONGEST_VALUE, RARE, PARTIAL, BUCKET, STEPS = 16, 200, 1024, 50_000, 4096, 64
 #: Values from which a shape has an automaton of its own; least margin in nats; share of plain strings below the margin.
 SHAPE_VALUES, MARGIN, PLAIN = 8, 8.0, 0.9995
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE},}}")
@@ -104,69 +110,224 @@ class Formats:
         return [(a, b) for a, b in parts if self.secret(value[a - start : b - start])]
 
 
-def learn(labelled: dict[str, list[str]], plain: list[str]) -> Formats | None:
-    """Formats from labelled values by kind, and the margin from held-out values and plain words."""
-    groups: dict[tuple[str, str], list[str]] = {}
-    for kind, values in sorted(labelled.items()):
-        by: dict[str, list[str]] = {}
-        for v in values:
-            by.setdefault(shape(v), []).append(v)
-        for k, own in by.items():
-            groups.setdefault((kind, k if len(own) >= SHAPE_VALUES else "any"), []).extend(own)
-    if not groups:
-        return None
-    held = [v for own in groups.values() for v in own[::5] if len(own) >= SHAPE_VALUES and len(v) >= CANDIDATE]
-    automata = {}
-    for (kind, k), own in groups.items():
-        fit = [v for j, v in enumerate(own) if j % 5 or len(own) < SHAPE_VALUES]
-        automata[kind, k] = Automaton(fit, Alphabet(fit, SHAPES[k]))
-    plain = plain or ["ordinary", "text", "with", "nothing", "in", "it"]
-    # Plain words joined as paths, hosts and names are, up to candidates' lengths; numbers of any length are plain, too.
-    joined, mark = [], "-._/"
-    for k in range(0, len(plain) - 6, 2):
-        word = plain[k]
+#: What a value is for: the automata's training, or the margin.
+FIT, HELD, SCHEMA = "fit", "held", "group string, use string, value string"
+#: Numbers of any length are plain, too.
+NUMBERS = ["".join(str(n * n)[-3:] for n in range(k, k + k % 9 + 1)) for k in range(101, 501)]
+
+
+def joined_words(words: list[str]) -> list[str]:
+    """Plain words joined as paths, hosts and names are, up to candidates' lengths."""
+    found, mark = [], "-._/"
+    for k in range(0, len(words) - 6, 2):
+        word = words[k]
         for j in range(1, 6):
             if len(word) >= CANDIDATE:
                 break
-            word += (mark[(k + j) % 4] if k % 3 else "") + plain[k + j]
-        joined.append(word)
-    numbers = ["".join(str(n * n)[-3:] for n in range(k, k + k % 9 + 1)) for k in range(101, 501)]
-    formats = Formats(automata, [Automaton([*plain, *joined[::2]], Classes()), Automaton(numbers, Classes())], MARGIN)
-    below = sorted(formats.score(p) for p in [*joined[1::2], *numbers] if len(p) >= CANDIDATE)
-    scores = sorted(formats.score(v) for v in held)
-    high = below[int(PLAIN * (len(below) - 1))] + 1 if below else 0.0
-    # Between the two, nearer to the plain strings; never so high that a twentieth of the held-out values is missed.
-    formats.margin = max(MARGIN, high)
-    if scores:
-        formats.margin = max(MARGIN, min(formats.margin, scores[len(scores) // 20] - 1))
-    return formats
+            word += (mark[(k + j) % 4] if k % 3 else "") + words[k + j]
+        found.append(word)
+    return found
 
 
-def train(df: DataFrame, rows: int = FIT_ROWS) -> Formats | None:
-    """Formats from bounded samples: of the base finds of all documents, and of the plain words of some."""
+def strings_of(df: DataFrame) -> DataFrame:
+    """kind, value: the different base finds and plain words of all documents."""
     runtime.ship(df.sparkSession)
-    key = F.xxhash64(F.col("doc_id"), F.lit(17))
-    named = df.where(F.col("doc_id").isNotNull())
-    edge = runtime.least(named, key, rows)
-    if edge is None:
-        edge = -(1 << 63)
 
-    def work(batch: pa.RecordBatch) -> dict:
-        kinds, values = [], []
-        for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist(), strict=True):
-            taken = base_spans(text or "")
-            kinds += [k for k, _, _, _ in taken]
-            values += [v[:LONGEST_VALUE] for _, _, _, v in taken]
-            if sampled and text:
-                words = plain_words(text[:FIT_SLICE])[:24]
-                kinds += ["plain"] * len(words)
-                values += words
-        return {"kind": kinds, "value": values}
-
-    marked = df.select("text", F.coalesce(key <= F.lit(edge), F.lit(False)).alias("sampled"))
-    found = runtime.checkpoint(runtime.per_batch(marked, "kind string, value string", work, ["text", "sampled"]).distinct())
-    take = lambda kind, n: [r["value"] for r in runtime.bounded_sample(found.where(F.col("kind") == kind), "value", n, "value")]
-    return learn({k: v for k in KINDS[:3] if (v := take(k, FIT_VALUES))}, take("plain", 8 * FIT_VALUES))
+    def run(batches):
+        found: set[tuple[str, str]] = set()
+
+        def out():
+            kinds, values = zip(*found, strict=True) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
+
+        for batch in batches:
+            for part in runtime.slices(batch):
+                for text in filter(None, part.column("text").to_pylist()):
+                    found.update((k, v[:LONGEST_VALUE]) for k, _, _, v in base_spans(text))
+                    found.update(("plain", w) for w in plain_words(text))
+                    if len(found) >= PARTIAL:
+                        yield out()
+        yield out()
+
+    return df.select("text").mapInArrow(run, "kind string, value string").distinct()
+
+
+def counted(df: DataFrame, schema: str, work) -> DataFrame:
+    """The summed n of the keys in the schema; work adds the keys of a batch to a Counter, which a task sends when it is full."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [pa.int64() if f.endswith("bigint") else pa.string() for f in schema.split(", ")]
+
+    def run(batches):
+        found: Counter = Counter()
+
+        def out():
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            arrays = [*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(list(found.values()), pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, "n"])
+
+        for batch in batches:
+            for part in runtime.slices(batch):
+                work(part, found)
+                if len(found) >= PARTIAL:
+                    yield out()
+        yield out()
+
+    return df.mapInArrow(run, f"{schema}, n bigint").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def with_shapes(found: DataFrame, where: str = "kind <> 'plain'") -> DataFrame:
+    """group, use, value: base finds by kind and shape, a fifth of them held out; plain words are a group of their own."""
+
+    def part(batch: pa.RecordBatch) -> dict:
+        kinds, values = batch.column("kind").to_pylist(), batch.column("value").to_pylist()
+        use = [HELD if k != "plain" and xxhash.xxh32_intdigest(v.encode()) % 5 == 0 else FIT for k, v in zip(kinds, values, strict=True)]
+        return {"group": [k if k == "plain" else f"{k} {shape(v)}" for k, v in zip(kinds, values, strict=True)], "use": use, "value": values}
+
+    return runtime.per_batch(found.where(where), SCHEMA, part, ["kind", "value"])
+
+
+def with_joined(found: DataFrame) -> DataFrame:
+    """with_shapes of all strings, and plain words joined within buckets of like hashes, every second one held out."""
+
+    def join(batches):
+        bucket, words = None, []
+
+        def out():
+            made = joined_words(words)
+            uses = [(FIT, HELD)[k % 2] for k in range(len(made))]
+            return pa.RecordBatch.from_arrays([pa.array(["plain"] * len(made), pa.string()), pa.array(uses, pa.string()), pa.array(made, pa.string())], names=["group", "use", "value"])
+
+        for batch in batches:
+            for b, word in zip(batch.column("bucket").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if b != bucket:
+                    if words:
+                        yield out()
+                    bucket, words = b, []
+                words.append(word)
+        if words:
+            yield out()
+
+    plain = found.where("kind = 'plain'")
+    mixed = F.xxhash64("value", F.lit(7))
+    keyed = plain.select(F.pmod(mixed, F.lit(max(1, plain.count() // BUCKET))).alias("bucket"), mixed.alias("h"), "value")
+    made = keyed.repartition("bucket").sortWithinPartitions("bucket", "h", "value").select("bucket", "value").mapInArrow(join, SCHEMA)
+    return with_shapes(found, "true").unionAll(made)
+
+
+def beginnings(values: DataFrame, sizes: dict[str, int], common: float = 0.95) -> dict[str, str]:
+    """By group what (nearly) all of its values begin with, a character longer with each count over all of them."""
+    prefix, going = dict.fromkeys(sizes, ""), {g for g, n in sizes.items() if n >= 4}
+    while going:
+        now = {g: prefix[g] for g in going}
+
+        def work(batch, found, now=now):
+            for g, v in zip(batch.column("group").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if g in now and len(v) > len(now[g]) + 1 and v.startswith(now[g]):
+                    found[g, v[len(now[g])]] += 1
+
+        going = set()
+        for r in counted(values, "group string, c string", work).collect():
+            if r["n"] >= common * sizes[r["group"]]:
+                prefix[r["group"]] += r["c"]
+                going.add(r["group"])
+    return prefix
+
+
+def automata_of(values: DataFrame, symbols: dict[str, Alphabet | Classes]) -> dict[str, Automaton]:
+    """By group the automaton of all its values: states from the beginnings that are not rare, probabilities from every step."""
+
+    def patterns(batch, found):
+        for g, v in zip(batch.column("group").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            symbol = symbols[g]
+            own = pattern(symbol, v)
+            found[g, own, ""] += 1
+            found.update([(g, k, c) for k, c in zip(own, v, strict=True)])
+
+    every = runtime.checkpoint(counted(values, "group string, symbols string, c string", patterns))
+    chars: dict[str, Counter] = {g: Counter() for g in symbols}
+    for r in every.where("c <> ''").collect():
+        chars[r["group"]][r["symbols"], r["c"]] = r["n"]
+    kept = every.where("c = ''")
+    total = {r["group"]: r["total"] for r in kept.groupBy("group").agg(F.sum("n").alias("total")).collect()}
+
+    def paths(batch, found):
+        for g, own, n in zip(*(batch.column(c).to_pylist() for c in ("group", "symbols", "n")), strict=True):
+            for path, through, ends in paths_of([(own, n)]):
+                found[g, path, "through"] += through
+                found[g, path, "ends"] += ends
+
+    least = F.create_map(*[F.lit(x) for g, n in total.items() for x in (g, n)])[F.col("group")] if total else F.lit(0)
+    counts = counted(kept, "group string, path string, what string", paths).groupBy("group", "path")
+    counts = counts.agg(*[F.sum(F.when(F.col("what") == w, F.col("n")).otherwise(0)).alias(w) for w in ("through", "ends")])
+    seen: dict[str, dict[str, tuple[int, int]]] = {g: {} for g in total}
+    for r in counts.where(F.col("through") * RARE >= least).collect():
+        seen[r["group"]][r["path"]] = r["through"], r["ends"]
+    found = {g: Automaton.of_counts(symbols[g], chars[g], seen[g]) for g in sorted(total)}
+
+    def steps(batch, counter):
+        for g, own, n in zip(*(batch.column(c).to_pylist() for c in ("group", "symbols", "n")), strict=True):
+            for q, k in found[g].walk(own):
+                counter[g, q, k] += n
+
+    walked: dict[str, dict[tuple[int, str], int]] = {g: {} for g in found}
+    for r in counted(kept, "group string, state bigint, symbol string", steps).collect():
+        walked[r["group"]][r["state"], r["symbol"]] = r["n"]
+    for g, automaton in found.items():
+        automaton.recount(walked[g])
+    return found
+
+
+def at_rank(counts: dict[int, int], rank: int) -> int:
+    """The key that stands at a rank of counted keys in order."""
+    for key in sorted(counts):
+        rank -= counts[key]
+        if rank < 0:
+            return key
+    raise ValueError("no such rank")
+
+
+def train(df: DataFrame) -> Formats | None:
+    """Formats from the base finds and plain words of all documents; counts of bounded number reach the driver."""
+    strings = runtime.checkpoint(strings_of(df))
+    sizes = {r["group"]: r["count"] for r in with_shapes(strings).groupBy("group").count().collect()}
+    if not sizes:
+        return None
+    few = {g for g, n in sizes.items() if n < SHAPE_VALUES}
+    named = lambda g: f"{g.split()[0]} any" if g in few else g
+    whole: Counter = Counter()
+    for g, n in sizes.items():
+        whole[named(g)] += n
+    values = with_joined(strings)
+    renamed = F.when(F.col("group").isin(sorted(few)), F.concat(F.substring_index("group", " ", 1), F.lit(" any"))).otherwise(F.col("group"))
+    # A group of few values keeps none for the margin.
+    small = F.col("group").isin(sorted(g for g, n in whole.items() if n < SHAPE_VALUES))
+    values = runtime.checkpoint(values.withColumn("group", renamed).withColumn("use", F.when(small, F.lit(FIT)).otherwise(F.col("use"))))
+    fit = values.where(F.col("use") == FIT)
+    of_fit = {r["group"]: r["count"] for r in fit.where("group <> 'plain'").groupBy("group").count().collect()}
+    begins = beginnings(fit.where("group <> 'plain'"), of_fit)
+    symbols: dict[str, Alphabet | Classes] = {g: Alphabet(begins[g], SHAPES[g.split()[1]]) for g in of_fit} | {"plain": Classes()}
+    automata = automata_of(fit, symbols)
+    plain = automata.pop("plain", None) or Automaton(["ordinary", "text", "with", "nothing", "in", "it"], Classes())
+    formats = Formats({tuple(g.split()): a for g, a in automata.items()}, [plain, Automaton(NUMBERS, Classes())], MARGIN)
+    if not formats.automata:
+        return None
+
+    def scores(batch, found):
+        for g, v in zip(batch.column("group").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if len(v) >= CANDIDATE:
+                found["plain" if g == "plain" else "secret", math.floor(formats.score(v) * STEPS)] += 1
+
+    by: dict[str, Counter] = {"plain": Counter(math.floor(formats.score(v) * STEPS) for v in NUMBERS if len(v) >= CANDIDATE), "secret": Counter()}
+    for r in counted(values.where(F.col("use") == HELD), "what string, step bigint", scores).collect():
+        by[r["what"]][r["step"]] += r["n"]
+    high = (at_rank(by["plain"], int(PLAIN * (by["plain"].total() - 1))) + 1) / STEPS + 1
+    # Between the two, nearer to the plain strings; never so high that a twentieth of the held-out values is missed.
+    formats.margin = max(MARGIN, high)
+    if by["secret"]:
+        formats.margin = max(MARGIN, min(formats.margin, at_rank(by["secret"], by["secret"].total() // 20) / STEPS - 1))
+    return formats
 
 
 def spans_of(text: str | None, formats: Formats | None) -> list[tuple[str, int, int]]:

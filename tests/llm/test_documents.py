@@ -555,6 +555,44 @@ def test_inferred_formats_find_planted_credentials_and_leave_text(spark):
     assert secrets.masked('token = "abcdef0123"!', formats) == '[SECRET]"!'
 
 
+def test_formats_come_from_every_find_and_word_however_split(spark):
+    r = random.Random(21)
+    pick = lambda n, c: "".join(r.choice(c) for _ in range(n))
+    # More values than a sample of 400 would hold, and a rare shape among them; words behind the first 2000 characters.
+    texts = [f"the matter of it token = {pick(30, '0123456789abcdef')} and so on" for _ in range(3000)]
+    texts += [f"see token = {pick(24, '0123456789ABCDEF')}" for _ in range(20)] + ["long text " * 300 + "onlyhere", None, ""]
+    r.shuffle(texts)
+    df = frame(spark, texts)
+    want = {(k, v) for t in texts if t for k, _, _, v in secrets.base_spans(t)} | {("plain", w) for t in texts if t for w in secrets.plain_words(t)}
+    assert sorted((x.kind, x.value) for x in secrets.strings_of(df).collect()) == sorted(want) and ("plain", "onlyhere") in want
+    formats = [secrets.train(df.repartition(parts)) for parts in (1, 4)]
+    assert {("assign", "hex"), ("assign", "HEX"), ("hex", "hex")} == formats[0].automata.keys()
+    assert formats[0].margin == formats[1].margin
+    for k, a in formats[0].automata.items():
+        b = formats[1].automata[k]
+        assert (a.tables, a.moves, a.within) == (b.tables, b.moves, b.within)
+
+
+def test_automata_from_counts_are_those_of_the_strings(spark):
+    r = random.Random(22)
+    values = ["".join(r.choice("ab1-") for _ in range(r.randrange(1, 9))) for _ in range(700)] + ["k_" + str(r.randrange(10**6)) for _ in range(300)]
+    df = spark.createDataFrame([("plain", v) for v in values], "group string, value string").repartition(3)
+    counted, whole = secrets.automata_of(df, {"plain": grammar.Classes()})["plain"], grammar.Automaton(values, grammar.Classes())
+    assert (counted.tables, counted.moves, counted.within, counted.never) == (whole.tables, whole.moves, whole.within, whole.never)
+    # Beyond `RARE`, beginnings are left out of the tree, but each step is counted.
+    many = [f"{'-' * (k % 40)}{'a' * (k % 7)}{'.1' * (k % 11)}" for k in range(5000)]
+    df = spark.createDataFrame([("plain", v) for v in many], "group string, value string")
+    found = secrets.automata_of(df, {"plain": grammar.Classes()})["plain"]
+    steps = Counter(x for v in many for x in found.walk(grammar.pattern(grammar.Classes(), v)))
+    for q, (known, _, end) in enumerate(found.tables):
+        n = sum(c for (at, _), c in steps.items() if at == q) + 2 * found.floor
+        assert abs(end - np.log((steps[q, ""] + found.floor) / n)) < 1e-9
+        own = {k: np.log((c + found.floor) / n) for (at, k), c in steps.items() if at == q and k}
+        assert known.keys() == own.keys() and all(abs(known[k] - own[k]) < 1e-9 for k in own)
+    marked = spark.createDataFrame([("g", f"sk_live{k:03d}") for k in range(1000)] + [("h", f"{k}") for k in range(9)], "group string, value string")
+    assert secrets.beginnings(marked, {"g": 1000, "h": 9}) == {"g": "sk_live", "h": ""}
+
+
 def test_candidates_are_swept_once():
     text = " ".join(f"token={k:040x} plainwordofsomelength{k}" for k in range(20_000))
     found = secrets.candidates(text, secrets.base_spans(text))
