@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, html_template, langid, masked_lm, packing, quality, runtime, secrets, simhash, spotsigs
+from . import bpe, counts, filter_audit, html_template, langid, masked_lm, packing, quality, runtime, secrets, simhash, spelling, spotsigs, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -64,12 +64,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, secrets.train(docs))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_spotsigs, op4_quality, op5_language, op6_main_text, op7_packing, op8_simhash, op9_masked_lm, op10_secrets)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-def oracle_sql() -> dict[str, str]:
-    """Models, tokenizers and iteration are beyond SQL: tests hold these queries against brute force instead."""
-    return {}
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).drop("terms")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
 
+_QUERIES = (
+    op1_bpe, op2_token_counts, op3_spotsigs, op4_quality, op5_language, op6_main_text, op7_packing, op8_simhash, op9_masked_lm, op10_secrets,
+    op11_spelling, op12_toxicity, op13_filter_audit,
+)
 
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The audit's SQL. Models, tokenizers, checksums and iteration are beyond SQL: tests hold the others against brute force."""
+    return {"op13_filter_audit": filter_audit.SQL}
