@@ -8,9 +8,12 @@ nested by path they are the host's template, and what lies between their tokens
 
 The slots' content decides what is extracted, no name does. The inner text of every template element is compared across
 pages: where it has few different values the slot is boilerplate. The article's element is the deepest that holds most
-(`MOST`) of the text that varies, widened to the parts before it and to an `article` or `main` element around it. Of what is
-inside, template elements whose text does not vary, small parts that every page has behind the main text (reader
-comments, boxes), and blocks of texts that stand at one place on all pages belong to the template. All else is the page's text.
+(`MOST`) of the text that varies, widened to the parts before it, to varying parts behind it whose text is in elements like the article's
+(closing sections), and to an `article` or `main` element around it. Of what is
+inside, template elements whose text does not vary, small lists that every page has behind the main text (repeated parts that have
+parts themselves, as reader comments do, or mostly links), and blocks of texts that stand at one place on all pages belong to the template.
+All else is the page's text. Elements that HTML sets apart (menus, footers, scripts) have none; a form, and comments and side parts by
+their usual class or id (`BESIDE`), are apart unless they hold most of the page's text and no `article` or `main` stands outside.
 
 Copies of a page count once. Two passes over the pages: one sends each token's counts, summed before and after the shuffle; the other reads the
 templates, which are broadcast up to a size that is checked and joined by salted host beyond it. Paths are 64-bit
@@ -56,7 +59,14 @@ ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 #: Elements that by HTML's own meaning hold no article text.
-APART = frozenset("nav footer aside form script style noscript template iframe svg button select textarea menu dialog head title object canvas input".split())
+APART = frozenset("nav footer aside script style noscript template iframe svg button select textarea menu dialog head title object canvas input".split())
+#: Reader comments and side parts by whole class or id. They and forms are apart, unless one holds most of the page's text (see `read`).
+BESIDE = frozenset(
+    "comment comments comment-list commentlist comment-section comments-section comments-area disqus_thread replies sidebar advert adverts ads newsletter related-posts cookie-notice".split()
+)
+_SOFT = re.compile("<form|" + "|".join(sorted(BESIDE)), re.I)
+#: Elements whose repetition makes no list of remarks: parts of tables and lists.
+ROWS = frozenset("table tr td th tbody thead tfoot ul ol dl li dt dd figure blockquote p".split())
 #: Share of a host's pages that makes a token frequent; share of the varying text that the article's element holds; different
 #: texts a page from which a slot varies; different pages from which a host has a template, and from which its parts are dropped.
 FREQUENT, MOST, VARIES, LEAST, ENOUGH = 0.5, 0.6, 0.3, 3, 6
@@ -74,10 +84,11 @@ _hash = xxhash.xxh64_intdigest
 
 
 class Element:
-    __slots__ = ("apart", "link", "path", "step", "tag")
+    __slots__ = ("apart", "around", "link", "path", "size", "soft", "step", "tag")
 
-    def __init__(self, tag: str, path: int, step: str, apart: bool, link: bool):
+    def __init__(self, tag: str, path: int, step: str, apart: bool, link: bool, soft: "Element | None" = None):
         self.tag, self.path, self.step, self.apart, self.link = tag, path, step, apart, link
+        self.soft, self.around, self.size = soft, None, 0  # the innermost form or comments that it is in (or is), the next one around that
 
 
 class Tags:
@@ -162,7 +173,9 @@ def events(html: str):
         parent = stack[-1]
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTES.findall(html, name.end(), end)} if end - name.end() > 5 else {}
         step = " ".join([tag, *sorted(set(names.get("class", "").split())), *(["#" + names["id"]] if names.get("id") else [])])
-        element = Element(tag, _hash(step.encode(), parent.path), step, parent.apart or tag in APART, parent.link or tag == "a")
+        element = Element(tag, _hash(step.encode(), parent.path), step, parent.apart or tag in APART, parent.link or tag == "a", parent.soft)
+        if tag == "form" or names and not BESIDE.isdisjoint((names.get("id", ""), *names.get("class", "").lower().split())):
+            element.soft, element.around = element, parent.soft
         yield "open", element, ""
         if tag in VOID or html[end - 2] == "/" and tag in INLINE:
             yield "close", element, ""
@@ -179,6 +192,29 @@ def events(html: str):
         yield pop()
 
 
+def read(html: str):
+    """The page's events; forms and reader comments are apart, but for one that holds most of the page's text (a page may stand in a form)."""
+    if not _SOFT.search(html):
+        return events(html)
+    found, total, outside = list(events(html)), 0, False
+    for kind, element, text in found:
+        if kind == "text" and not element.apart:
+            n = len(text.strip())
+            total += n
+            soft = element.soft
+            while soft is not None:
+                soft.size += n
+                soft = soft.around
+        elif kind == "open" and element.tag in ("article", "main") and element.soft is None:
+            outside = True
+    for kind, element, _ in found:
+        if kind == "open" and element.soft is element:  # from the outside in
+            element.apart = element.apart or outside or 2 * element.size <= total or (element.around is not None and element.around.apart)
+        elif kind == "open" and element.soft is not None:
+            element.apart = element.apart or element.soft.apart
+    return found
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\\]*)", url or "")
     return m.group(1).rpartition("@")[2].lower() if m else ""
@@ -216,7 +252,7 @@ def page_tokens(html: str) -> tuple[dict[int, Seen], dict[tuple[int, int], int]]
             outer[3] += weight
             outer[4] = _hash(digest.to_bytes(8, "little"), outer[4])
 
-    for place, (kind, element, text) in enumerate(events(html), 1):
+    for place, (kind, element, text) in enumerate(read(html), 1):
         if kind == "open":
             seen = paths.get(element.path)
             if seen is None:
@@ -382,22 +418,55 @@ def template(all_different: int, nodes: list) -> tuple[int, list[int]] | None:
     while outer[at]:
         at = outer[at]
         ancestors.append(at)
+    repeated = {p for p, t in every.items() if not t["once"] and t["tag"] not in INLINE and t["tag"] not in ROWS}
+    repeated &= {t["parent"] for t in nodes if t["tag"] not in INLINE}
+    lists = set()  # template elements with repeated parts that have parts themselves, as lists of remarks do
+    for p in repeated:
+        at = around(p)
+        while at and at not in lists:
+            lists.add(at)
+            at = outer[at]
+    below = defaultdict(list)
+    for t in nodes:
+        if t["tag"] not in INLINE:
+            below[t["parent"]].append(t["path"])
+
+    def leaves(path: int) -> set[str]:
+        """The elements that hold the text of an element."""
+        tags, todo = set(), [path]
+        while todo:
+            p = todo.pop()
+            if below[p]:
+                todo += below[p]
+            else:
+                tags.add(every[p]["tag"])
+        return tags
+
+    dropped: list[int] = []
     named = next((p for p in ancestors if valid[p]["tag"] == "article"), None) or next((p for p in ancestors if valid[p]["tag"] == "main"), None)
     if named is not None:
         best = named
-    else:  # wider, as long as nothing that varies follows
-        for p in ancestors[1:]:
-            if valid[p]["tag"] in ("body", "html") or any(mass[q] > 0 and valid[q]["place"] > valid[best]["place"] for q in inner[p] if q != best):
+    else:  # wider: to what follows and is kin to the article, or as long as nothing that varies follows
+        words, place = leaves(best), valid[best]["place"]
+        for child, p in zip(ancestors, ancestors[1:]):
+            beside = [q for q in inner[p] if q != child]
+            varying = [q for q in beside if mass[q] > 0 and valid[q]["place"] > place]
+            kin = {q for q in varying if q not in lists and 2 * valid[q]["link"] < valid[q]["size"] and not words.isdisjoint(leaves(q))}
+            whole = valid[p]["tag"] in ("body", "html")
+            if not kin and (varying or whole):
                 break
             best = p
-    dropped = []
+            dropped += [q for q in (beside if whole else varying) if q not in kin]
+            if whole:
+                break
     if all_different >= ENOUGH:
-        todo = list(inner[best])
+        todo = [p for p in inner[best] if p not in dropped]
         while todo:
             p = todo.pop()
             t = valid[p]
             behind = t["place"] > valid[best]["weight"] and t["size"] < SMALL * held and t["pages"] >= 0.9 * every[best]["pages"]
-            if not varies[p] and t["size"] > 0 or behind:
+            listed = p in lists or 2 * t["link"] >= t["size"] > 0
+            if not varies[p] and t["size"] > 0 or behind and listed:
                 dropped.append(p)
             else:
                 todo += inner[p]
@@ -431,7 +500,7 @@ def _blocks(html: str, starts, dropped: frozenset[int] = frozenset(), constant:
         current.clear()
         own.clear()
 
-    for kind, element, text in events(html):
+    for kind, element, text in read(html):
         if kind == "text":
             if inside and not out and not element.apart:
                 current.append(text)

@@ -70,6 +70,58 @@ def test_classes_decide_on_pages_with_random_elements_and_names(spark):
     assert all(html_template.article(p) != t for _, p, t in made)
 
 
+def extracted(spark, host, bodies):
+    rows = [(k, f"http://{host}/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return {x.page_id: x.text for x in html_template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def varied(n, salt=0):
+    r = random.Random(n * 1000 + salt)
+    return " ".join("".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+def test_closing_sections_stay(spark):
+    for closing in (1, 2, 3):  # paragraphs of the last section: one, or a number that differs between pages
+        number = lambda k, c=closing: 1 + k % c
+        texts = {k: (varied(60, k), [f"CONCLUSION {varied(4, 50 + k + j)}" for j in range(number(k))]) for k in range(12)}
+        bodies = [
+            f"<div class=menu>Home News</div><div class=story><div class=text><p>{t}</p></div><div class=ending>" + "".join(f"<p>{c}</p>" for c in ends) + "</div></div><div class=foot>about</div>"
+            for t, ends in texts.values()
+        ]
+        want = {k: "\n".join([t, *ends]) for k, (t, ends) in texts.items()}
+        assert extracted(spark, "e.example", bodies) == want
+        # The same without an element around both, and with a box beside them.
+        bare = [b.replace("<div class=story>", "").replace("</div></div>", "</div>") for b in bodies]
+        assert extracted(spark, "b.example", bare) == want
+        boxed = [b.replace("</div></div><div class=foot>", f"</div><div class=box>{varied(3, k)}</div></div><div class=foot>") for k, b in enumerate(bodies)]
+        assert extracted(spark, "x.example", boxed) == want
+
+
+def test_pages_in_a_form(spark):
+    texts = [varied(70, k) for k in range(12)]
+    inner = [f"<div class=menu>Home News</div><div class=post><h2>{t[:20]}</h2><p>{t}</p></div><select><option>pick one</select><div class=foot>about</div>" for t in texts]
+    whole = [f"<form action=/ method=post><input type=hidden value=x>{b}</form>" for b in inner]
+    assert extracted(spark, "f.example", whole) == {k: f"{t[:20].strip()}\n{t}" for k, t in enumerate(texts)}
+    # Without a template: the body is all there is, and the form holds it.
+    alone = html_template.article(f"<body>{whole[0]}</body>")
+    assert texts[0] in alone and "pick one" not in alone
+    # A form beside the text stays apart, also one that is larger than a short article.
+    assert html_template.article(f"<body><p>{texts[0]}</p><form><p>your mail</p></form></body>") == texts[0]
+    assert html_template.article(f"<body><article><p>short</p></article><form><p>{texts[0]}</p></form></body>") == "short"
+
+
+def test_lists_of_comments_go(spark):
+    texts = [varied(70, k) for k in range(12)]
+    for outer, one in (("<div class=remarks>{}</div>", "<div class=who><b>{}</b><p>{}</p></div>"), ("<section id=comments>{}</section>", "<p>{}: {}</p>"), ("<div class=more>{}</div>", "<p><a href=x>{} {}</a></p>")):
+        bodies = [
+            f"<div class=menu>Home News</div><div class=story><div class=text><p>{t}</p></div>" + outer.format("".join(one.format(varied(1, k + j), varied(3, 9 * k + j)) for j in range(1 + k % 3))) + "</div><div class=foot>about</div>"
+            for k, t in enumerate(texts)
+        ]
+        assert extracted(spark, "c.example", bodies) == dict(enumerate(texts))
+    # A page that is all comments by name keeps them: nothing else is there.
+    assert html_template.article(f"<body><div class=comments><p>{texts[0]}</p></div></body>") == texts[0]
+
+
 def test_near_copies_on_a_host_keep_their_common_paragraphs(spark):
     common = "".join(f"<p>paragraph {k} that all of the near copies share</p>" for k in range(5))
     rows = [(k, f"http://n.example/{k}", f"<body><div class=a>menu</div><div class=b>{common}<p>own {k}</p></div></body>") for k in range(12)]
