@@ -5,7 +5,8 @@ by likelihood ratio (`EVIDENCE`) and by `LIFT`, and not in one group
 of near copies only (`SPREAD`); of a word and its stems the one with most evidence is kept. Terms form a trie. A
 word of a text becomes a Levenshtein automaton (a bit mask of its positions for each number of errors), which runs along the
 trie's arcs: a subtree is left when no position is alive, so all terms within the allowed errors (`errors_of` a term's length) are
-met in one walk. Words that share no intact piece with any term (a term within k errors keeps one of k + 1 pieces) skip it.
+met in one walk. Words that no term can be near to skip it: those that agree with none when each loses a letter (one error), or share no intact
+piece with any (a term within k errors keeps one of k + 1 pieces).
 
 Each hit is scored by its term and errors, its spelling, quotation marks next to it and the `WINDOW` words before and behind it: weights are
 log-odds of toxic against clean documents, shrunk to no opinion where there is little evidence. Words of quotation and report around
@@ -28,6 +29,7 @@ import math
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,8 +73,11 @@ class Lexicon:
     def __init__(self, terms: list[tuple[str, bool]]) -> None:
         self.terms = terms
         self.root: list = [{}, [], 0]  # arcs, ends (term, stem, errors), most errors below
+        #: Words of few errors and what they leave when a letter is missing, by length of the words that may be near; stems likewise, by their own length.
+        self.short: dict[int, set] = {}
+        self.stems: dict[int, set] = {}
+        #: Pieces by their place, and by length of the words that may be near.
         self.pieces: dict[int, dict[tuple, set]] = {}
-        self.starts: dict[tuple, set] = {}
         for k, (term, stem) in enumerate(terms):
             allowed, node = errors_of(term, stem), self.root
             node[2] = max(node[2], allowed)
@@ -80,36 +85,48 @@ class Lexicon:
                 node = node[0].setdefault(c, [{}, [], 0])
                 node[2] = max(node[2], allowed)
             node[1].append((k, stem, allowed))
-            self._cut(term, stem, allowed)
+            less = {term} | ({term[:j] + term[j + 1 :] for j in range(len(term))} if allowed else set())
+            if stem:
+                self.stems.setdefault(len(term) if allowed else -len(term), set()).update(less)
+            elif allowed < 2:
+                for length in range(len(term) - allowed, len(term) + allowed + 1):
+                    self.short.setdefault(length, set()).update(less)
+            else:
+                self._cut(term, allowed)
 
-    def _cut(self, term: str, stem: bool, errors: int) -> None:
+    def _cut(self, term: str, errors: int) -> None:
         """Notes where an intact piece of the term may stand in a word with that many errors."""
         n = len(term)
         at = [n * k // (errors + 1) for k in range(errors + 2)]
-        places = []
-        for k in range(errors + 1):
-            piece = term[at[k] : at[k + 1]]
-            if k == errors and not stem and errors:
-                places.append((-len(piece), None, piece))
-            else:
-                shift = 0 if k == 0 else errors if k == errors else errors - 1
-                for d in range(-shift, shift + 1):
-                    if at[k] + d >= 0:
-                        places.append((at[k] + d, at[k] + d + len(piece), piece))
-        if stem:
+        places = [(0, at[1], term[: at[1]]), (at[-2] - n, None, term[at[-2] :])]
+        for k in range(1, errors):
+            places += [(at[k] + d, at[k + 1] + d, term[at[k] : at[k + 1]]) for d in range(1 - errors, errors) if at[k] + d >= 0]
+        for length in range(n - errors, n + errors + 1):
+            here = self.pieces.setdefault(length, {})
             for a, b, piece in places:
-                self.starts.setdefault((a, b), set()).add(piece)
-        else:
-            for length in range(n - errors, n + errors + 1):
-                here = self.pieces.setdefault(length, {})
-                for a, b, piece in places:
-                    here.setdefault((a, b), set()).add(piece)
+                here.setdefault((a, b), set()).add(piece)
 
     def possible(self, word: str) -> bool:
-        """False only for words that no term can be near to."""
-        for (a, b), pieces in self.starts.items():
-            if word[a:b] in pieces:
+        """False only for words that no term can be near to: equal words, or words an error apart, agree when each may lose a letter."""
+        near = self.short.get(len(word))
+        if near is not None:
+            if word in near:
+                return True
+            for k in range(len(word)):
+                if word[:k] + word[k + 1 :] in near:
+                    return True
+        for n, near in self.stems.items():
+            if n < 0:
+                if word[:-n] in near:
+                    return True
+            elif word[: n - 1] in near or word[:n] in near or word[: n + 1] in near:
                 return True
+            else:
+                start = word[: n + 1]
+                for k in range(len(start)):
+                    left = start[:k] + start[k + 1 :]
+                    if left in near or left[:-1] in near:
+                        return True
         for (a, b), pieces in self.pieces.get(len(word), {}).items():
             if word[a:b] in pieces:
                 return True
@@ -150,14 +167,19 @@ class Lexicon:
         return None if best is None else (best[1], best[0])
 
 
-def keys_of(text: str) -> tuple[set[tuple[str, bool]], int]:
-    """The words and stems of a text, each once, and the text's group: near copies mostly share the least hash of two words."""
-    tokens = [w for w in TOKEN.findall(text.lower()) if w not in QUOTES]
-    words = set(tokens)
-    keys = {(w, False) for w in words if len(w) >= SHORTEST}
-    keys.update((w[:k], True) for w in words for k in range(STEM, min(len(w), LONGEST_STEM) + 1))
-    group = min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(tokens, tokens[1:])), default=0)
-    return keys, zlib.crc32(b"%d" % group) % GROUPS
+def words_of(text: str) -> list[str]:
+    return [w for w in TOKEN.findall(text.lower()) if w not in QUOTES]
+
+
+def stems_of(words: set[str]) -> set[str]:
+    """The beginnings of a text's words, each once."""
+    return {w[:k] for k in range(STEM, LONGEST_STEM + 1) for w in words if len(w) >= k}
+
+
+def group_of(tokens: list[str]) -> int:
+    """A text's group: near copies mostly share the least hash of two words."""
+    least = min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(tokens, tokens[1:])), default=0)
+    return zlib.crc32(b"%d" % least) % GROUPS
 
 
 def _chosen(candidates: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
@@ -181,26 +203,39 @@ def lexicon(training: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool
     runtime.ship(training.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A key's toxic documents by group lie in one number, 32 bits each; so do the clean ones, ungrouped.
-        counts: dict[tuple[str, bool], int] = {}
-
-        def out() -> pa.RecordBatch:
-            columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.bool_())]
-            columns += [pa.array([n >> 32 * g & 0xFFFFFFFF for n in counts.values()], pa.int64()) for g in range(GROUPS + 1)]
-            counts.clear()
+        # Words, then stems. A key's toxic documents by group lie in one number, 32 bits each.
+        toxic_of: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        clean_of = (Counter(), Counter())
+
+        def out(stem: bool) -> pa.RecordBatch:
+            marked, plain = toxic_of[stem], clean_of[stem]
+            keys = list(marked.keys() | plain.keys())
+            columns = [pa.array(keys, pa.string()), pa.array([stem] * len(keys), pa.bool_())]
+            columns += [pa.array([marked.get(k, 0) >> 32 * g & 0xFFFFFFFF for k in keys], pa.int64()) for g in range(GROUPS)]
+            columns.append(pa.array([plain[k] for k in keys], pa.int64()))
+            marked.clear()
+            plain.clear()
             return pa.RecordBatch.from_arrays(columns, names=["term", "stem", *names])
 
         for batch in batches:
             for part in runtime.slices(batch):
                 for is_toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    keys, group = keys_of(text)
-                    one = 1 << 32 * (group if is_toxic else GROUPS)
-                    for key in keys:
-                        counts[key] = counts.get(key, 0) + one
-                    if len(counts) > HELD:
-                        yield out()
-        if counts:
-            yield out()
+                    tokens = words_of(text)
+                    words = set(tokens)
+                    both = {w for w in words if len(w) >= SHORTEST}, stems_of(words)
+                    if is_toxic:
+                        one = 1 << 32 * group_of(tokens)
+                        for counts, keys in zip(toxic_of, both):
+                            for key in keys:
+                                counts[key] = counts.get(key, 0) + one
+                    else:
+                        clean_of[0].update(both[0])
+                        clean_of[1].update(both[1])
+                    for stem in (False, True):
+                        if len(clean_of[stem]) + len(toxic_of[stem]) > HELD:
+                            yield out(stem)
+        yield out(False)
+        yield out(True)
 
     names = [*(f"t{g}" for g in range(GROUPS)), "b"]
     counted = training.select("toxic", "text").mapInArrow(run, f"term string, stem boolean, {', '.join(f'{n} bigint' for n in names)}")
