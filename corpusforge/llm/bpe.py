@@ -398,40 +398,43 @@ def loaded(path: str) -> ByteBpe:
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the packed ids of each row's whole text."""
     keep = list(keep)
+    source = runtime.unused(keep, "text")
     schema = runtime.kept_and(df, keep, f"`{out}` binary")
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe = loaded(path)
-        ids = [bpe.encode(t or "") for t in batch.column("_text").to_pylist()]
+        ids = [bpe.encode(t or "") for t in batch.column(source).to_pylist()]
         return {c: batch.column(c) for c in keep} | {out: ids}
 
-    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias("_text")), schema, work, [*keep, "_text"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias(source)), schema, work, [*keep, source])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The kept columns and the text of each row's packed ids."""
     keep = list(keep)
+    source = runtime.unused(keep, "ids")
     schema = runtime.kept_and(df, keep, f"`{out}` string")
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe = loaded(path)
-        texts = ["".join(bpe.decode(x or b"")) for x in batch.column("_ids").to_pylist()]
+        texts = ["".join(bpe.decode(x or b"")) for x in batch.column(source).to_pylist()]
         return {c: batch.column(c) for c in keep} | {out: texts}
 
-    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(ids).alias("_ids")), schema, work, [*keep, "_ids"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(ids).alias(source)), schema, work, [*keep, source])
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, each row's packed ids and the text they decode to, in one pass and one worker."""
     keep = list(keep)
+    source = runtime.unused(keep, "text")
     schema = runtime.kept_and(df, keep, "ids binary, decoded string")
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe = loaded(path)
-        ids = [bpe.encode(t or "") for t in batch.column("_text").to_pylist()]
+        ids = [bpe.encode(t or "") for t in batch.column(source).to_pylist()]
         return {c: batch.column(c) for c in keep} | {"ids": ids, "decoded": ["".join(bpe.decode(x)) for x in ids]}
 
-    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias("_text")), schema, work, [*keep, "_text"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias(source)), schema, work, [*keep, source])
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

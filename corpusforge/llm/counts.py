@@ -250,13 +250,14 @@ def loaded(path: str) -> CountTransducer:
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the tokens of each row's whole text."""
     keep = list(keep)
+    source = runtime.unused(keep, "text")
     schema = runtime.kept_and(df, keep, f"`{out}` bigint")
 
     def work(batch: pa.RecordBatch) -> dict:
         transducer = loaded(path)
-        return {c: batch.column(c) for c in keep} | {out: [transducer.tokens(t or "") for t in batch.column("_text").to_pylist()]}
+        return {c: batch.column(c) for c in keep} | {out: [transducer.tokens(t or "") for t in batch.column(source).to_pylist()]}
 
-    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias("_text")), schema, work, [*keep, "_text"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), runtime.quoted(text).alias(source)), schema, work, [*keep, source])
 
 
 def limits(df: DataFrame, path: str, most: int = 4096) -> DataFrame:

@@ -54,12 +54,14 @@ def pattern(symbol: Callable[[int, str], str], s: str) -> str:
     return "".join([symbol(k, c) for k, c in enumerate(s)])
 
 
-def paths_of(counted):
-    """(beginning, n that go through it, n that end there) of counted patterns."""
+def paths_of(counted, deepest: int | None = None):
+    """(beginning, n that go through it, n that end there) of counted patterns; beginnings of at most `deepest` symbols."""
     for symbols, n in counted:
-        for k in range(len(symbols)):
+        whole = deepest is None or len(symbols) <= deepest
+        for k in range(len(symbols) if whole else deepest + 1):
             yield symbols[:k], n, 0
-        yield symbols, n, n
+        if whole:
+            yield symbols, n, n
 
 
 class Node:

@@ -29,8 +29,8 @@ from .bigru import BiGru
 
 #: Documents learnt from, at most; the network's units a direction; steps of training, lanes and bytes of a step.
 FIT_ROWS, HIDDEN, STEPS, LANES, BYTES = 3000, 8, 300, 128, 64
-#: Characters taken of each document learnt from, so that what reaches the driver is bounded.
-SLICE = 2000
+#: A longer document is learnt from through so many windows of so many characters, spread evenly over all of it, so that what reaches the driver is bounded.
+WINDOWS, WINDOW = 5, 400
 #: Bytes of a segment, bytes read before it to find its first state, segments that step together, and the
 #: difference of a state beyond which a segment is read again.
 SEGMENT, WARM, TOGETHER, SETTLED = 512, 96, 768, 0.02
@@ -52,16 +52,21 @@ def train(df: DataFrame, rows: int = FIT_ROWS, steps: int = STEPS, hidden: int =
 
 
 def learnt_from(df: DataFrame) -> DataFrame:
-    """The documents that may be learnt from: with a key and a language, not held out, of 16 bytes or more."""
-    return df.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") >= 16))
+    """The documents that may be learnt from: with a key, a text and a language, not held out; of any length."""
+    return df.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
 
 
 def sample_of(df: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """At most `rows` texts, a slice of `SLICE` characters from a place that the hash picks, with their languages."""
-    known = learnt_from(df)
-    at = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.length("text") - SLICE + 1, F.lit(1))).cast("int") + 1
-    sliced = known.select("doc_id", F.substring("text", at, F.lit(SLICE)).alias("part"), "lang")
-    return [(r["part"], r["lang"]) for r in runtime.bounded_sample(sliced, "doc_id", rows, "part", "lang")]
+    """At most `rows` documents with their languages: the text, or of one longer than all windows its windows, one in each fifth of it.
+
+    Where a window lies in its fifth is the hash's choice.
+    """
+    part = F.floor(F.length("text") / WINDOWS).cast("int")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", k), F.greatest(part - WINDOW + 1, F.lit(1))).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("text", k * part + place(k) + 1, F.lit(WINDOW)))
+    parts = F.when(F.length("text") <= WINDOWS * WINDOW, F.array("text")).otherwise(windows)
+    sampled = runtime.bounded_sample(learnt_from(df).select("doc_id", parts.alias("parts"), "lang"), "doc_id", rows, "parts", "lang")
+    return [(part, r["lang"]) for r in sampled for part in r["parts"] if part]
 
 
 def no_language(rng: np.random.Generator, text: str) -> str:
@@ -79,7 +84,7 @@ def learn(sample: list[tuple[str, str]], steps: int = STEPS, hidden: int = HIDDE
         return [], None
     rng = np.random.default_rng(seed)
     by = [[np.frombuffer(t.encode(), np.uint8) for t, lang in sample if lang == x] for x in languages]
-    by.append([np.frombuffer(no_language(rng, sample[rng.integers(len(sample))][0][:400]).encode(), np.uint8) for _ in range(max(8, min(800, len(sample))))])
+    by.append([np.frombuffer(no_language(rng, sample[rng.integers(len(sample))][0]).encode(), np.uint8) for _ in range(max(8, min(800, len(sample))))])
 
     def batches():
         for _ in range(steps):

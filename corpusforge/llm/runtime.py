@@ -28,6 +28,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """The name, lengthened until no taken one equals it (Spark's names do not tell cases apart)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def kept_and(df: DataFrame, keep: Iterable[str], out: str) -> StructType:
     """The schema of the kept columns of a table, followed by the columns of a DDL string."""
     added = StructType.fromDDL(out)

@@ -38,9 +38,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 LEAST_ASSIGN = 6
 _KEYWORDS = ("passw", "secret", "token", "api")
-#: Shortest candidate; characters of a value learnt from; share of strings below which a beginning is not followed;
-#: different words that a task gathers before it sends them, words of a bucket that are joined, and steps of a nat.
-CANDIDATE, LONGEST_VALUE, RARE, PARTIAL, BUCKET, STEPS = 16, 200, 1024, 50_000, 4096, 64
+#: Shortest candidate; share of strings below which a beginning is not followed; symbols of the longest beginning that may be a state of its own
+#: (every string's steps are counted to its end all the same, in the states that they lead to); different words that a task gathers before it
+#: sends them, and their characters; words of a bucket that are joined, and steps of a nat.
+CANDIDATE, RARE, DEEPEST, PARTIAL, PARTIAL_CHARS, BUCKET, STEPS = 16, 1024, 200, 50_000, 1 << 20, 4096, 64
 #: Values from which a shape has an automaton of its own; least margin in nats; share of plain strings below the margin.
 SHAPE_VALUES, MARGIN, PLAIN = 8, 8.0, 0.9995
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE},}}")
@@ -135,6 +136,7 @@ def strings_of(df: DataFrame) -> DataFrame:
 
     def run(batches):
         found: set[tuple[str, str]] = set()
+        size = 0
 
         def out():
             kinds, values = zip(*found, strict=True) if found else ((), ())
@@ -144,10 +146,13 @@ def strings_of(df: DataFrame) -> DataFrame:
         for batch in batches:
             for part in runtime.slices(batch):
                 for text in filter(None, part.column("text").to_pylist()):
-                    found.update((k, v[:LONGEST_VALUE]) for k, _, _, v in base_spans(text))
+                    base = base_spans(text)
+                    found.update((k, v) for k, _, _, v in base)
+                    size += sum(len(v) for *_, v in base)
                     found.update(("plain", w) for w in plain_words(text))
-                    if len(found) >= PARTIAL:
+                    if len(found) >= PARTIAL or size >= PARTIAL_CHARS:
                         yield out()
+                        size = 0
         yield out()
 
     return df.select("text").mapInArrow(run, "kind string, value string").distinct()
@@ -217,21 +222,39 @@ def with_joined(found: DataFrame) -> DataFrame:
 
 
 def beginnings(values: DataFrame, sizes: dict[str, int], common: float = 0.95) -> dict[str, str]:
-    """By group what (nearly) all of its values begin with, a character longer with each count over all of them."""
-    prefix, going = dict.fromkeys(sizes, ""), {g for g, n in sizes.items() if n >= 4}
-    while going:
-        now = {g: prefix[g] for g in going}
-
-        def work(batch, found, now=now):
-            for g, v in zip(batch.column("group").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                if g in now and len(v) > len(now[g]) + 1 and v.startswith(now[g]):
-                    found[g, v[len(now[g])]] += 1
-
-        going = set()
-        for r in counted(values, "group string, c string", work).collect():
-            if r["n"] >= common * sizes[r["group"]]:
-                prefix[r["group"]] += r["c"]
-                going.add(r["group"])
+    """By group what (nearly) all of its values begin with, from two counts over all of them.
+
+    The first finds, for each of the first `DEEPEST` places, the character that nearly all values have there: a common
+    beginning can only consist of these. The second counts the values that begin with each such beginning and go on.
+    """
+    going = {g for g, n in sizes.items() if n >= 4}
+
+    def places(batch, found):
+        for g, v in zip(batch.column("group").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if g in going:
+                found.update([(g, k, c) for k, c in enumerate(v[:DEEPEST])])
+
+    usual: dict[str, dict[int, str]] = {g: {} for g in going}
+    for r in counted(values, "group string, place bigint, c string", places).collect():
+        if r["n"] >= common * sizes[r["group"]]:
+            usual[r["group"]][r["place"]] = r["c"]
+    longest = {g: "".join(at[k] for k in range(next((k for k in range(len(at)) if k not in at), len(at)))) for g, at in usual.items()}
+
+    def shared(batch, found):
+        for g, v in zip(batch.column("group").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            if g in going:
+                same = next((k for k, (a, b) in enumerate(zip(longest[g], v)) if a != b), min(len(longest[g]), len(v)))
+                found[g, min(same, len(v) - 1)] += 1
+
+    prefix = dict.fromkeys(sizes, "")
+    reached: dict[str, Counter] = {g: Counter() for g in going}
+    for r in counted(values, "group string, same bigint", shared).collect():
+        reached[r["group"]][r["same"]] = r["n"]
+    for g, by in reached.items():
+        for k in range(len(longest[g]), 0, -1):
+            if sum(n for same, n in by.items() if same >= k) >= common * sizes[g]:
+                prefix[g] = longest[g][:k]
+                break
     return prefix
 
 
@@ -254,7 +277,7 @@ def automata_of(values: DataFrame, symbols: dict[str, Alphabet | Classes]) -> di
 
     def paths(batch, found):
         for g, own, n in zip(*(batch.column(c).to_pylist() for c in ("group", "symbols", "n")), strict=True):
-            for path, through, ends in paths_of([(own, n)]):
+            for path, through, ends in paths_of([(own, n)], DEEPEST):
                 found[g, path, "through"] += through
                 found[g, path, "ends"] += ends
 
@@ -345,14 +368,15 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 def scan(df: DataFrame, formats: Formats | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the spans of every text, by start, then kind as listed in KINDS."""
     keep = list(keep)
+    source = runtime.unused(keep, "text")
     shared = df.sparkSession.sparkContext.broadcast(formats)
     schema = runtime.kept_and(df, keep, f"found {SPANS}")
 
     def work(batch: pa.RecordBatch) -> dict:
-        found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t, shared.value)] for t in batch.column("_text").to_pylist()]
+        found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t, shared.value)] for t in batch.column(source).to_pylist()]
         return {c: batch.column(c) for c in keep} | {"found": found}
 
-    return runtime.per_batch(df.select(*map(runtime.quoted, keep), F.col("text").alias("_text")), schema, work, [*keep, "_text"])
+    return runtime.per_batch(df.select(*map(runtime.quoted, keep), F.col("text").alias(source)), schema, work, [*keep, source])
 
 
 def joined(spans) -> F.Column:

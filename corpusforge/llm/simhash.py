@@ -203,8 +203,10 @@ def keep_first(df: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest doc_id, then the smallest row hash.
 
     Rows are told apart by doc_id and a hash of all their columns, so different texts under one doc_id are different
-    rows; rows without a doc_id come last in a component. Of rows that are equal in every column one is left.
+    rows; rows without a doc_id come last in a component. Of rows that are equal in every column one is left. Map columns,
+    which have no hash, do not count here: rows that differ in nothing else are equal. Columns may have any names.
     """
+    mine, one = runtime.unused(df.columns, "_row"), runtime.unused(df.columns, "_kept")
     hashed = [runtime.quoted(f.name) for f in df.schema if "map" not in f.dataType.simpleString()]
     row = F.xxhash64(*hashed)
 
@@ -220,14 +222,14 @@ def keep_first(df: DataFrame, text: str = "text") -> DataFrame:
     best = prints.groupBy("fp").agg(F.min(place).alias("best"))
     first = labelled.join(best, "fp").groupBy("label").agg(F.min("best").alias("best"))
     first = runtime.checkpoint(first.select(F.col("best.doc_id").alias("_first"), F.col("best.row").alias("_row")))
-    kept = df.withColumn("_row", row)
-    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["_first"]) & (kept["_row"] == first["_row"]), "left_semi")
+    kept = df.withColumn(mine, row)
+    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["_first"]) & (kept[mine] == first["_row"]), "left_semi")
     # Only rows that are equal in every column are left to be told apart: their places are few, or one of many rows.
     times = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
     repeated = runtime.checkpoint(times.join(first, times["doc_id"].eqNullSafe(first["_first"]) & (times["row"] == first["_row"]), "left_semi").select(F.col("doc_id").alias("_first"), F.col("row").alias("_repeated")))
     if repeated.isEmpty():
-        return kept.drop("_row")
-    same = kept["doc_id"].eqNullSafe(repeated["_first"]) & (kept["_row"] == repeated["_repeated"])
+        return kept.drop(mine)
+    same = kept["doc_id"].eqNullSafe(repeated["_first"]) & (kept[mine] == repeated["_repeated"])
     once = kept.join(repeated, same, "left_anti").select(*map(runtime.quoted, df.columns))
-    copies = kept.join(repeated, same, "left_semi").groupBy("doc_id", "_row").agg(F.any_value(F.struct(*map(runtime.quoted, df.columns))).alias("_kept"))
-    return once.unionByName(copies.select("_kept.*"))
+    copies = kept.join(repeated, same, "left_semi").groupBy("doc_id", mine).agg(F.any_value(F.struct(*map(runtime.quoted, df.columns))).alias(one))
+    return once.unionByName(copies.select(f"{one}.*"))
