@@ -43,7 +43,7 @@ from . import runtime
 #: A word, with single marks inside it (as in a disguised spelling), or a quotation mark.
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!|+][^\W_]+)*|[\"“”„«»‹›]")
 QUOTES = frozenset("\"“”„«»‹›")
-FOLDS, SHORTEST, STEM, LONGEST_STEM = 5, 3, 4, 10
+FOLDS, SHORTEST, STEM, LONGEST_STEM = 5, 3, 4, 8
 EVIDENCE, LIFT, CANDIDATES = 24.0, 5.0, 20_000
 #: Groups that toxic documents are dealt to by what they say, and how many (as 1 / the sum of squared shares) a term must stand in.
 GROUPS, SPREAD = 8, 2.5
@@ -76,8 +76,11 @@ class Lexicon:
         #: Words of few errors and what they leave when a letter is missing, by length of the words that may be near; stems likewise, by their own length.
         self.short: dict[int, set] = {}
         self.stems: dict[int, set] = {}
-        #: Pieces by their place, and by length of the words that may be near.
-        self.pieces: dict[int, dict[tuple, set]] = {}
+        #: Stems without errors by length, and halves of the others by place, with the lengths of the stems that have them there.
+        self.exact: dict[int, set] = {}
+        self.halves: dict[tuple[int, int], dict[str, set]] = {}
+        #: Pieces by their place, and by length of the words that may be near, with the letters of their terms.
+        self.pieces: dict[int, dict[tuple, dict]] = {}
         for k, (term, stem) in enumerate(terms):
             allowed, node = errors_of(term, stem), self.root
             node[2] = max(node[2], allowed)
@@ -86,8 +89,14 @@ class Lexicon:
                 node[2] = max(node[2], allowed)
             node[1].append((k, stem, allowed))
             less = {term} | ({term[:j] + term[j + 1 :] for j in range(len(term))} if allowed else set())
-            if stem:
-                self.stems.setdefault(len(term) if allowed else -len(term), set()).update(less)
+            if stem and not allowed:
+                self.exact.setdefault(len(term), set()).add(term)
+            elif stem:
+                self.stems.setdefault(len(term), set()).update(less)
+                half = len(term) // 2
+                self.halves.setdefault((0, half), {}).setdefault(term[:half], set()).add(len(term))
+                for d in (-1, 0, 1):
+                    self.halves.setdefault((half + d, len(term) + d), {}).setdefault(term[half:], set()).add(len(term))
             elif allowed < 2:
                 for length in range(len(term) - allowed, len(term) + allowed + 1):
                     self.short.setdefault(length, set()).update(less)
@@ -104,7 +113,7 @@ class Lexicon:
         for length in range(n - errors, n + errors + 1):
             here = self.pieces.setdefault(length, {})
             for a, b, piece in places:
-                here.setdefault((a, b), set()).add(piece)
+                here.setdefault((a, b), {}).setdefault(piece, []).append((frozenset(term), errors))
 
     def possible(self, word: str) -> bool:
         """False only for words that no term can be near to: equal words, or words an error apart, agree when each may lose a letter."""
@@ -115,21 +124,22 @@ class Lexicon:
             for k in range(len(word)):
                 if word[:k] + word[k + 1 :] in near:
                     return True
-        for n, near in self.stems.items():
-            if n < 0:
-                if word[:-n] in near:
-                    return True
-            elif word[: n - 1] in near or word[:n] in near or word[: n + 1] in near:
+        for n, stems in self.exact.items():
+            if word[:n] in stems:
                 return True
-            else:
-                start = word[: n + 1]
+        for (a, b), lengths in self.halves.items():
+            for n in lengths.get(word[a:b], ()):
+                near, start = self.stems[n], word[: n + 1]
+                if start[: n - 1] in near or start[:n] in near or start in near:
+                    return True
                 for k in range(len(start)):
                     left = start[:k] + start[k + 1 :]
                     if left in near or left[:-1] in near:
                         return True
         for (a, b), pieces in self.pieces.get(len(word), {}).items():
-            if word[a:b] in pieces:
-                return True
+            for letters, errors in pieces.get(word[a:b], ()):
+                if len(letters.difference(word)) <= errors:  # each error takes one letter of the term at most
+                    return True
         return False
 
     def find(self, word: str) -> tuple[int, int] | None:
@@ -209,10 +219,12 @@ def lexicon(training: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool
 
         def out(stem: bool) -> pa.RecordBatch:
             marked, plain = toxic_of[stem], clean_of[stem]
-            keys = list(marked.keys() | plain.keys())
-            columns = [pa.array(keys, pa.string()), pa.array([stem] * len(keys), pa.bool_())]
-            columns += [pa.array([marked.get(k, 0) >> 32 * g & 0xFFFFFFFF for k in keys], pa.int64()) for g in range(GROUPS)]
-            columns.append(pa.array([plain[k] for k in keys], pa.int64()))
+            rest = plain.keys() - marked.keys()
+            groups = np.zeros((GROUPS, len(marked) + len(rest)), np.int64)
+            packed = b"".join(n.to_bytes(4 * GROUPS, "little") for n in marked.values())
+            groups[:, : len(marked)] = np.frombuffer(packed, "<u4").reshape(-1, GROUPS).T
+            keys = [*marked, *rest]
+            columns = [pa.array(keys, pa.string()), pa.array(np.full(len(keys), stem)), *map(pa.array, groups), pa.array([plain.get(k, 0) for k in keys], pa.int64())]
             marked.clear()
             plain.clear()
             return pa.RecordBatch.from_arrays(columns, names=["term", "stem", *names])
