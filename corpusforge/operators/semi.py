@@ -100,3 +100,43 @@ def prompt(df: DataFrame, columns: list[str], order: str, rows: int = 20) -> Dat
     head = df.orderBy(order).limit(rows).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     tail = df.agg(F.concat(F.lit("rows: "), F.count("*"), F.lit(", from "), F.min(order).cast("string"), F.lit(" to "), F.max(order).cast("string")).alias("tail"))
     return head.join(F.broadcast(tail)).select(F.concat_ws("\n", F.lit(",".join(columns)), "body", "tail").alias("prompt"))  # one row each
+
+
+#: Names that wrap a list of answers, the first that holds one counts (fixed values).
+WRAPPERS = ("results", "segments", "result", "data", "output")
+
+
+def unwrapped(answer: Column) -> Column:
+    """The list in an answer (V1): the answer itself, or the list under a wrapper's name, else the object's first list; null if there is none.
+
+    The answer is parsed once, to a VARIANT; lists come back as arrays of VARIANT.
+    """
+    text = unfenced(answer)
+    value = F.try_parse_json(text)
+    under = lambda path: F.try_variant_get(value, path, "array<variant>")
+    # A VARIANT keeps an object's keys in order of their names; the text has the order in which they stand.
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    lists = F.filter(F.transform(F.json_object_keys(text), lambda k: F.try_variant_get(F.element_at(fields, k), "$", "array<variant>")), lambda x: x.isNotNull())
+    return F.coalesce(under("$"), *[under(f"$.{name}") for name in WRAPPERS], F.get(lists, F.lit(0)))
+
+
+def variant_text(x: Column) -> Column:
+    """A VARIANT as text: a string itself, all else as JSON."""
+    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
+
+
+def answers(df: DataFrame, answer: str, expected: Column) -> DataFrame:
+    """The rows with items (texts), n_items and ok: whether the answer has as many items as expected (V1); other answers have no items."""
+    found = df.withColumns({"_list": unwrapped(F.col(answer)), "_expected": expected})
+    fits = F.coalesce(F.size("_list") == F.col("_expected"), F.lit(False))
+    items = F.when(fits, F.transform("_list", variant_text))
+    return found.select(*df.columns, items.alias("items"), F.when(F.col("_list").isNotNull(), F.size("_list").cast("long")).alias("n_items"), fits.alias("ok"))
+
+
+def payload_parts(df: DataFrame, payload: str) -> DataFrame:
+    """key, the kind of its value, and the number of items of every part of a JSON payload (A42), by `variant_explode`: a row a part."""
+    rows = df.select(*df.columns, F.try_parse_json(payload).alias("_value"))
+    parts = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_value").outer())).drop("_value", "pos")
+    size = F.size(F.try_variant_get("value", "$", "array<variant>"))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    return parts.select(*df.columns, "key", kind.alias("kind"), F.when(size >= 0, size).otherwise(1).cast("long").alias("n_items"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import semi as J
 from ..operators import wordgraph as W
+from ..sources.datasources import table_manifest
 from .catalogue import query, table
 
 
@@ -37,3 +39,50 @@ def tag_counts(spark, sf):
     """How often the rule tokenizer gives each tag, by language."""
     tagged = W.segmented(table(spark, sf, "documents").select("lang", "text"), _dictionary(spark, sf), tagged=True)
     return tagged.select("lang", F.explode("tokens.tag").alias("tag")).groupBy("lang", "tag").agg(F.count("*").alias("n"))
+
+
+# Nested answers. Each event is answered for: its items stand under a name, or under none, and some answers are short.
+
+_NAMES = ("results", "segments", "result", "data", "output", "zeta")
+_ITEMS_SQL = "[event_type, props, user_id::VARCHAR]"
+
+
+def _answer(spark, sf):
+    items = F.array(F.to_json(F.struct(F.col("event_type").alias("t"))), "props", F.col("user_id").cast("string"))
+    listed = F.concat(F.lit("["), F.array_join(F.when(F.col("event_id") % 5 == 0, F.slice(items, 1, 2)).otherwise(items), ", "), F.lit("]"))
+    k = F.col("event_id") % 9
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), F.least(k, F.lit(5)).cast("int") + 1)
+    wrapped = F.concat(F.lit('{"note": 1, "'), name, F.lit('": '), listed, F.lit(', "alpha": []}'))
+    answer = F.when(k == 6, listed).when(k == 7, F.concat(F.lit("```json\n"), wrapped, F.lit("\n```"))).when(k == 8, F.lit("no answer")).otherwise(wrapped)
+    return table(spark, sf, "events").select("event_id", answer.alias("answer"))
+
+
+@query(
+    "WITH e AS (SELECT *, event_id % 9 AS k, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 3 END AS n FROM events) "
+    "SELECT event_id, k <> 8 AND n = 3 AS ok, CASE WHEN k <> 8 THEN n END::BIGINT AS n_items, "
+    "CASE WHEN k <> 8 AND n = 3 THEN '{\"t\":\"' || event_type || '\"}|{\"k\":' || (props->>'k') || '}|' || user_id END AS items FROM e"
+)
+def answers_unwrapped(spark, sf):
+    return J.answers(_answer(spark, sf), "answer", F.lit(3)).select("event_id", "ok", "n_items", F.array_join("items", "|").alias("items"))
+
+
+@query(
+    "WITH e AS (SELECT event_id % 9 AS k, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 3 END AS n FROM events WHERE event_id % 9 < 6), "
+    "p AS (SELECT ['results', 'segments', 'result', 'data', 'output', 'zeta'][k + 1] AS key, 'ARRAY' AS kind, n FROM e UNION ALL SELECT 'note', 'BIGINT', 1 FROM e UNION ALL SELECT 'alpha', 'ARRAY', 0 FROM e) "
+    "SELECT key, kind, count(*)::BIGINT AS answers, sum(n)::BIGINT AS n_items FROM p GROUP BY ALL"
+)
+def payload_sizes(spark, sf):
+    parts = J.payload_parts(_answer(spark, sf).where(F.col("event_id") % 9 < 6), "answer")
+    return parts.groupBy("key", "kind").agg(F.count("*").alias("answers"), F.sum("n_items").alias("n_items"))
+
+
+_ROW = "concat_ws(chr(1), d.doc_id::VARCHAR, coalesce(d.text, chr(0)), coalesce(d.lang, chr(0)), coalesce(d.source, chr(0)), coalesce(d.n_chars::VARCHAR, chr(0)))"
+
+
+@query(
+    f"WITH r AS (SELECT lang, md5({_ROW}) AS h FROM documents d), l AS (SELECT lang, count(*) AS n FROM r GROUP BY lang) "
+    "SELECT '' AS part, count(*)::BIGINT AS n_rows, 5::BIGINT AS n_columns, 0::BIGINT AS missing, (count(*) - count(DISTINCT h))::BIGINT AS duplicated, "
+    "(SELECT '{' || string_agg('\"' || lang || '\":' || n, ',' ORDER BY lang) || '}' FROM l) AS labels, (sum(('0x' || left(h, 15))::BIGINT::HUGEINT))::VARCHAR AS digest FROM r"
+)
+def dataset_manifest(spark, sf):
+    return table_manifest(table(spark, sf, "documents"), "lang")
