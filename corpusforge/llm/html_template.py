@@ -64,7 +64,6 @@ APART = frozenset("nav footer aside script style noscript template iframe svg bu
 BESIDE = frozenset(
     "comment comments comment-list commentlist comment-section comments-section comments-area disqus_thread replies sidebar advert adverts ads newsletter related-posts cookie-notice".split()
 )
-_SOFT = re.compile("<form|" + "|".join(sorted(BESIDE)), re.I)
 #: Elements whose repetition makes no list of remarks: parts of tables and lists.
 ROWS = frozenset("table tr td th tbody thead tfoot ul ol dl li dt dd figure blockquote p".split())
 #: Share of a host's pages that makes a token frequent; share of the varying text that the article's element holds; different
@@ -84,11 +83,24 @@ _hash = xxhash.xxh64_intdigest
 
 
 class Element:
-    __slots__ = ("apart", "around", "link", "path", "size", "soft", "step", "tag")
+    __slots__ = ("apart", "hard", "link", "path", "soft", "step", "tag")
 
-    def __init__(self, tag: str, path: int, step: str, apart: bool, link: bool, soft: "Element | None" = None):
+    def __init__(self, tag: str, path: int, step: str, apart: bool, link: bool, soft: int = -1, hard: bool = False):
         self.tag, self.path, self.step, self.apart, self.link = tag, path, step, apart, link
-        self.soft, self.around, self.size = soft, None, 0  # the innermost form or comments that it is in (or is), the next one around that
+        self.soft, self.hard = soft, hard  # the innermost form or part beside the text that it is in (or is); apart by its own meaning
+
+
+class Soft:
+    """The forms and parts beside the text of a page: how much of its text each holds."""
+
+    __slots__ = ("around", "outside", "sizes", "total")
+
+    def __init__(self):
+        self.around, self.sizes, self.total, self.outside = [], [], 0, False
+
+    def main(self) -> frozenset[int]:
+        """Those that hold most of the text, if no `article` or `main` element stands outside."""
+        return frozenset() if self.outside else frozenset(k for k, n in enumerate(self.sizes) if 2 * n > self.total)
 
 
 class Tags:
@@ -118,8 +130,8 @@ class Tags:
         return html.find(">", at) + 1 or -1
 
 
-def events(html: str):
-    """(kind, element, text) in page order: open and close of elements, text within them."""
+def events(html: str, soft: Soft, main: frozenset[int] = frozenset()):
+    """(kind, element, text) in page order: open and close of elements, text within them; main: soft elements that are not apart."""
     root = Element("", 0, "", False, False)
     stack, open_at, tags = [root], defaultdict(list), Tags(html)
     inner_block = [0]  # by depth: the place of the nearest element that is no inline one
@@ -137,7 +149,15 @@ def events(html: str):
     while at < n:
         start = html.find("<", at)
         if start != at:
-            yield "text", stack[-1], html[at : start if start >= 0 else n]
+            element, text = stack[-1], html[at : start if start >= 0 else n]
+            if not element.hard:
+                size = len(text.strip())
+                soft.total += size
+                k = element.soft
+                while k >= 0:
+                    soft.sizes[k] += size
+                    k = soft.around[k]
+            yield "text", element, text
             if start < 0:
                 break
         mark = html[start + 1 : start + 2]
@@ -173,9 +193,15 @@ def events(html: str):
         parent = stack[-1]
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTES.findall(html, name.end(), end)} if end - name.end() > 5 else {}
         step = " ".join([tag, *sorted(set(names.get("class", "").split())), *(["#" + names["id"]] if names.get("id") else [])])
-        element = Element(tag, _hash(step.encode(), parent.path), step, parent.apart or tag in APART, parent.link or tag == "a", parent.soft)
-        if tag == "form" or names and not BESIDE.isdisjoint((names.get("id", ""), *names.get("class", "").lower().split())):
-            element.soft, element.around = element, parent.soft
+        hard = parent.hard or tag in APART
+        element = Element(tag, _hash(step.encode(), parent.path), step, parent.apart or hard, parent.link or tag == "a", parent.soft, hard)
+        if tag == "form" or names and (names.get("id") in BESIDE or not BESIDE.isdisjoint(names.get("class", "").lower().split())):
+            element.soft = len(soft.sizes)
+            soft.sizes.append(0)
+            soft.around.append(parent.soft)
+            element.apart = element.apart or element.soft not in main
+        elif element.soft < 0 and (tag == "article" or tag == "main"):
+            soft.outside = True
         yield "open", element, ""
         if tag in VOID or html[end - 2] == "/" and tag in INLINE:
             yield "close", element, ""
@@ -192,27 +218,15 @@ def events(html: str):
         yield pop()
 
 
-def read(html: str):
-    """The page's events; forms and reader comments are apart, but for one that holds most of the page's text (a page may stand in a form)."""
-    if not _SOFT.search(html):
-        return events(html)
-    found, total, outside = list(events(html)), 0, False
-    for kind, element, text in found:
-        if kind == "text" and not element.apart:
-            n = len(text.strip())
-            total += n
-            soft = element.soft
-            while soft is not None:
-                soft.size += n
-                soft = soft.around
-        elif kind == "open" and element.tag in ("article", "main") and element.soft is None:
-            outside = True
-    for kind, element, _ in found:
-        if kind == "open" and element.soft is element:  # from the outside in
-            element.apart = element.apart or outside or 2 * element.size <= total or (element.around is not None and element.around.apart)
-        elif kind == "open" and element.soft is not None:
-            element.apart = element.apart or element.soft.apart
-    return found
+def read(html: str, take):
+    """What take makes of the page's events. Forms and parts beside the text are apart, but for one that holds most of the page's text.
+
+    (A page may stand in a form as a whole.) Such pages are few, and read a second time.
+    """
+    soft = Soft()
+    found = take(events(html, soft))
+    main = soft.main()
+    return take(events(html, Soft(), main)) if main else found
 
 
 def host_of(url: str | None) -> str:
@@ -232,6 +246,10 @@ class Seen:
 
 def page_tokens(html: str) -> tuple[dict[int, Seen], dict[tuple[int, int], int]]:
     """A page's paths with their inner text, and its texts' sizes by (path, hash)."""
+    return read(html, _tokens)
+
+
+def _tokens(page) -> tuple[dict[int, Seen], dict[tuple[int, int], int]]:
     paths: dict[int, Seen] = {0: Seen(0, 0, Element("", 0, "", False, False))}
     paths[0].count = 1
     texts: dict[tuple[int, int], int] = {}
@@ -252,7 +270,7 @@ def page_tokens(html: str) -> tuple[dict[int, Seen], dict[tuple[int, int], int]]
             outer[3] += weight
             outer[4] = _hash(digest.to_bytes(8, "little"), outer[4])
 
-    for place, (kind, element, text) in enumerate(read(html), 1):
+    for place, (kind, element, text) in enumerate(page, 1):
         if kind == "open":
             seen = paths.get(element.path)
             if seen is None:
@@ -488,6 +506,10 @@ def article(html: str, slot: int | None = None, dropped: frozenset[int] = frozen
 
 def _blocks(html: str, starts, dropped: frozenset[int] = frozenset(), constant: frozenset[tuple[int, int]] = frozenset()) -> list[str] | None:
     """The blocks within the elements that start a slot (None: the whole page); None if there is none."""
+    return read(html, lambda page: _blocks_of(page, starts, dropped, constant))
+
+
+def _blocks_of(page, starts, dropped: frozenset[int], constant: frozenset[tuple[int, int]]) -> list[str] | None:
     blocks, current, own, seen = [], [], [], starts is None
     inside = 1 if starts is None else 0
     out = 0  # open elements of the template within the slot
@@ -500,7 +522,7 @@ def _blocks(html: str, starts, dropped: frozenset[int] = frozenset(), constant:
         current.clear()
         own.clear()
 
-    for kind, element, text in read(html):
+    for kind, element, text in page:
         if kind == "text":
             if inside and not out and not element.apart:
                 current.append(text)
