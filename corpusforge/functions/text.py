@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .phrases import converted
+
 #: White space as Unicode has it; Java's own class is ASCII only.
 SPACE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
@@ -120,9 +122,10 @@ def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     raise ValueError(name)
 
 
-def clean(c: Column, profile: Profile = SITE_REVIEW, without: tuple[str, ...] = ()) -> Column:
-    """All steps in order; null is the empty text."""
-    return reduce(lambda x, s: step(s, x, profile), [s for s in profile.steps if s not in without], F.coalesce(c, F.lit("")))
+def clean(c: Column, profile: Profile = SITE_REVIEW, without: tuple[str, ...] = (), phrases: dict[str, str] | None = None) -> Column:
+    """All steps in order; null is the empty text. With a table of phrases, texts with Han characters are converted by it at the end."""
+    out = reduce(lambda x, s: step(s, x, profile), [s for s in profile.steps if s not in without], F.coalesce(c, F.lit("")))
+    return converted(out, phrases) if phrases else out
 
 
 def keep_ratio(c: Column) -> Column:
@@ -207,8 +210,9 @@ def site_b_content(c: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes as B, KB, MB."""
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
+    """Bytes as B, KB, MB (T20); halves go to the even digit."""
+    short = lambda size, unit: F.format_string(f"%.1f {unit}", F.bround(n / size, 1))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, short(1024, "KB")).otherwise(short(1 << 20, "MB"))
 
 
 def markdown_cell(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..session import checkpoint
+from .fitting import first_by_hash, logistic_fit, tree_fit, tree_label
 
 
 def order_key(key: str, seed: int) -> Column:
@@ -31,18 +32,16 @@ def numbered(df: DataFrame, *order: Column, out: str = "n") -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Marks round(share n) rows of each label as train (M4)."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order_key(key, seed), key))
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("split", F.when(rank <= F.floor(share * n + 0.5), "train").otherwise("test"))
+    """Marks round(share n) rows of each label as train (M4): those first by hash, found without a window over a label."""
+    marked = first_by_hash(df, order_key(key, seed), key, label, F.floor(share * F.col("n") + 0.5), "_own")
+    return marked.withColumn("split", F.when(F.col("_own"), "train").otherwise("test")).drop("_own")
 
 
 def stratified_sample(df: DataFrame, key: str, group: str, n: int, seed: int = 1) -> DataFrame:
     """n rows: as many of each group, topped up from the rest (M1, M3)."""
     groups = max(1, df.select(group).distinct().count())
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order_key(key, seed), key))
-    marked = df.withColumn("_own", (rank <= n // groups).cast("int")).withColumn("_h", order_key(key, seed + 1))
-    return marked.orderBy(F.desc("_own"), F.when(F.col("_own") == 1, F.lit("")).otherwise(F.col("_h")), key).limit(n).drop("_own", "_h")
+    marked = first_by_hash(df, order_key(key, seed), key, group, F.least(F.lit(n // groups), F.col("n")), "_own").withColumn("_h", order_key(key, seed + 1))
+    return marked.orderBy(F.desc("_own"), F.when(F.col("_own"), F.lit("")).otherwise(F.col("_h")), key).limit(n).drop("_own", "_h")
 
 
 def systematic_sample(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -355,31 +354,17 @@ def simulated(df: DataFrame, key: str, label: str, labels: int, accuracy: float,
     return df.withColumn("label", F.when(uniform(key, f"u{rater}") < accuracy, F.col(label)).otherwise((F.col(label) + away) % labels))
 
 
-def matrix(df: DataFrame, columns: list[str], target: str, limit: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Features and target of a bounded table on the driver; more than `limit` rows are an error."""
-    rows = df.select(*columns, target).limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rows")
-    return rows[columns].to_numpy(float), rows[target].to_numpy()
-
-
 def logistic_predict(df: DataFrame, columns: list[str], target: str, rate: float = 0.01, rounds: int = 1000) -> DataFrame:
-    """The rows with p and predicted by logistic regression fitted to them (L3); fitting is for bounded tables (`matrix`)."""
-    w, b = logistic(*matrix(df, columns, target), rate, rounds)
-    z = sum((F.lit(float(k)) * F.col(c) for k, c in zip(w, columns, strict=True)), F.lit(b))
+    """The rows with p and predicted by logistic regression fitted to them (L3), in one barrier job (`fitting.logistic_fit`)."""
+    w, b = logistic_fit(df, columns, target, rate, rounds)
+    z = sum((F.lit(float(k)) * F.col(c) for k, c in zip(w, columns, strict=True)), F.lit(float(b)))
     p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(250.0)), F.lit(-250.0))))
     return df.withColumn("p", p).withColumn("predicted", (F.col("p") >= 0.5).cast("long"))
 
 
 def tree_column(df: DataFrame, columns: list[str], target: str, depth: int = 5) -> DataFrame:
-    """The rows with the label of a tree fitted to them (L4), as one nested condition."""
-
-    def condition(node):
-        if not isinstance(node, tuple):
-            return F.lit(int(node))
-        return F.when(F.col(columns[node[0]]) <= float(node[1]), condition(node[2])).otherwise(condition(node[3]))
-
-    return df.withColumn("predicted", condition(tree(*matrix(df, columns, target), depth)).cast("long"))
+    """The rows with the label of a tree fitted to them (L4), level by level (`fitting.tree_fit`), as one nested condition."""
+    return df.withColumn("predicted", tree_label(tree_fit(df, columns, target, depth), columns))
 
 
 def best_k(df: DataFrame, ks, column: str = "vec", seed: int = 42) -> DataFrame:

@@ -115,22 +115,22 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("n_bytes"), lines.alias("n_lines"), F.substring(F.md5("content"), 1, 8).alias("md5"))
 
 
-def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table (K5)."""
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A small result as a Markdown table (K5); one of more than `most` rows is no such table, and an error."""
     from ..functions.text import markdown_cell
 
-    rows = df.select(*[markdown_cell(F.col(c)).alias(c) for c in df.columns]).limit(limit).collect()
+    rows = df.select(*[markdown_cell(F.col(c)).alias(c) for c in df.columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *["| " + " | ".join(r) + " |" for r in rows]])
 
 
-def write_report(df: DataFrame, path: str, limit: int = 1_000_000) -> None:
-    """A report as one CSV file's text with a byte order mark, as spreadsheets want it (K1); for results of a bounded size."""
-    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    quote = lambda c: F.when(cell(c).rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(cell(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell(c))
-    head = df.sparkSession.createDataFrame([("\ufeff" + ",".join(df.columns),)], "value string")
-    rows = df.limit(limit).select(F.concat_ws(",", *[quote(c) for c in df.columns]).alias("value"))
-    head.unionByName(rows).coalesce(1).write.mode("overwrite").text(path)
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one CSV file's text with a byte order mark, as spreadsheets want it (K1): all rows, streamed through the one task that one file needs."""
+    named = df.select(*[F.col(f"`{c}`").cast("string").alias(c if k else "\ufeff" + c) for k, c in enumerate(df.columns)])
+    writer = named.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def without_index(df: DataFrame) -> DataFrame:
