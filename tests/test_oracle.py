@@ -42,7 +42,7 @@ def test_query_equals_sql(name, spark, sf, duck):
 
 #: Queries without SQL; tests/test_further.py and the tests of their modules hold each against plain Python.
 WITHOUT_SQL = {"clean_full", "seg_maxmatch", "seg_viterbi", "seg_hmm", "seg_neural", "seg_calibrate", "kmeans_sizes", "kmeans_best_k", "ward_labels", "logistic_gd", "tree_predict", "method_comparison",
-               "seg_rule", "seg_search", "seg_full", "tag_counts", "pca_2d", "logistic_documents", "tree_documents"}
+               "seg_rule", "seg_search", "seg_full", "tag_counts", "pca_2d", "logistic_documents", "tree_documents", "graph_network"}
 
 
 def test_queries_without_sql_are_known():
