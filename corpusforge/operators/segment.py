@@ -187,7 +187,10 @@ class BmesHmm:
         return move, emit
 
     def fit(self, runs: DataFrame, rounds: int = 6) -> BmesHmm:
-        """runs: text and n, different runs with their counts; each round is one job that sends 4 tables a task."""
+        """runs: text and n, different runs with their counts; each round is one job whose sums are added by cell, so one table comes back.
+
+        A task's sums are rounded to six places and added as decimals, so the order in which they arrive does not matter.
+        """
         for _ in range(rounds):
             model = self
 
@@ -198,11 +201,17 @@ class BmesHmm:
                         m, e = model.expected(text)
                         move += n * m
                         emit += n * e
-                yield pd.DataFrame({"move": [move.ravel().tolist()], "emit": [emit.ravel().tolist()]})
-
-            rows = runs.mapInPandas(sums, "move array<double>, emit array<double>").collect()
-            move = sum(np.array(r["move"]) for r in rows).reshape(4, 4) + 1e-6 * self.ALLOWED
-            emit = sum(np.array(r["emit"]) for r in rows).reshape(self.emit.shape) + 1e-3
+                cells = np.concatenate([move.ravel(), emit.ravel()])
+                used = np.flatnonzero(cells)
+                yield pd.DataFrame({"cell": used, "x": cells[used]})
+
+            exact = F.sum(F.round("x", 6).cast("decimal(38,6)")).cast("double")
+            rows = runs.mapInPandas(sums, "cell bigint, x double").groupBy("cell").agg(exact.alias("x")).collect()
+            cells = np.zeros(16 + self.emit.size)
+            for r in rows:
+                cells[r["cell"]] = r["x"]
+            move = cells[:16].reshape(4, 4) + 1e-6 * self.ALLOWED
+            emit = cells[16:].reshape(self.emit.shape) + 1e-3
             self.move, self.emit = move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True)
         return self
 

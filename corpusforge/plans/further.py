@@ -420,14 +420,15 @@ def functional_triples(spark, sf):
 
 @query()
 def seg_neural(spark, sf):
-    """The network learns from the statistical segmenter's tokens of the calibration sample and tags every text."""
+    """The network learns from the statistical segmenter's tokens of the calibration sample, in pieces of 60 tokens, and tags every text."""
     from ..operators import tagger as N
     from .catalogue import _vocabulary
 
     docs = table(spark, sf, "documents").select("doc_id", "text")
     vocabulary = _vocabulary(spark, sf)
     dev = M.calibration_sample(docs, "doc_id", "text")
-    runs = {p for r in Z.segmented(dev, "viterbi", vocabulary).select(F.slice("tokens", F.lit(1), F.lit(60)).alias("tokens")).collect() for p in [tuple(t for t in r["tokens"] if t.isalpha())] if p}
+    lists = [[t for t in r["tokens"] if t.isalpha()] for r in Z.segmented(dev, "viterbi", vocabulary).select("tokens").collect()]
+    runs = {tuple(x[at : at + 60]) for x in lists for at in range(0, len(x), 60)}
     samples = sorted(map(list, runs))
     model = N.Tagger(sorted({c for s in samples for t in s for c in t}))
     model.fit(samples, rounds=3)
