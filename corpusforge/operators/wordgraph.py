@@ -36,9 +36,9 @@ REMEMBERED = 200_000
 
 @dataclass
 class Dictionary:
-    """Words with their counts and tags, as a trie: a node is (following letters, count, tag); a count of 0 is no word."""
+    """Words with their counts and tags, as a trie: a node is (following letters, count, tag, log of the count); a count of 0 is no word."""
 
-    root: list = field(default_factory=lambda: [{}, 0, ""])
+    root: list = field(default_factory=lambda: [{}, 0, "", 0.0])
     total: int = 0
     user: set[str] = field(default_factory=set)
 
@@ -59,9 +59,9 @@ class Dictionary:
             return
         node = self.root
         for c in word:
-            node = node[0].setdefault(c, [{}, 0, ""])
+            node = node[0].setdefault(c, [{}, 0, "", 0.0])
         self.total += count - node[1]
-        node[1], node[2] = count, tag
+        node[1:] = count, tag, math.log(count)
 
     def words_at(self, text: str, at: int) -> Iterator[tuple[int, int]]:
         """(end, count) of every word that starts at a place, the shortest first."""
@@ -92,12 +92,21 @@ def best_path(text: str, words: Dictionary) -> list[str]:
 
     Neighbouring single Latin letters and digits that no word holds stay one token.
     """
-    arcs, log_total = graph(text, words), math.log(words.total or 1)
-    best, to = [0.0] * (len(text) + 1), [0] * len(text)
-    for k in range(len(text) - 1, -1, -1):
-        # A character may always stand alone, so every place can be left.
-        choices = arcs[k] if arcs[k][0][0] == k + 1 else [(k + 1, 0), *arcs[k]]
-        best[k], to[k] = max((math.log(count or 1) - log_total + best[end], end) for end, count in choices)
+    root, log_total, n = words.root, math.log(words.total or 1), len(text)
+    best, to = [0.0] * (n + 1), [0] * n
+    for k in range(n - 1, -1, -1):
+        # The arcs of a place are met while they are followed. A character may always stand alone, so every place can be left.
+        top, at, node, end = best[k + 1] - log_total, k + 1, root, k
+        while end < n:
+            node = node[0].get(text[end])
+            if node is None:
+                break
+            end += 1
+            if node[1]:
+                weight = node[3] - log_total + best[end]
+                if weight >= top or end == k + 1:
+                    top, at = weight, end
+        best[k], to[k] = top, at
     out, loose, at = [], "", 0
     while at < len(text):
         word = text[at : to[at]]
