@@ -45,6 +45,29 @@ def boundaries(tokens: Column) -> Column:
     return F.arrow_udf(ends, "array<int>")(F.transform(tokens, F.length))
 
 
+def ends_in(text: str, tokens: list[str]) -> list[int]:
+    """Where the tokens end in the text itself, each looked for behind the one before; the text's own end is no boundary."""
+    out, at = [], 0
+    for t in tokens:
+        found = text.find(t, at) if t else -1
+        if found < 0:
+            continue  # not in the text: it has no place there
+        at = found + len(t)
+        if at < len(text):
+            out.append(at)
+    return out
+
+
+def aligned_boundaries(text: Column, tokens: Column) -> Column:
+    """Ends of tokens as offsets in the text, marks and spaces counted (W10), so that the text can be cut at them."""
+
+    def ends(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
+        return pa.array([None if t is None or x is None else ends_in(t, x) for t, x in rows], pa.list_(pa.int32()))
+
+    return F.arrow_udf(ends, "array<int>")(text, tokens)
+
+
 def cut(text: Column, ends: Column) -> Column:
     """A text cut at sorted offsets."""
     starts = F.concat(F.array(F.lit(0)), ends)
@@ -89,9 +112,13 @@ def boundary_scores(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return sums.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def consensus(df: DataFrame, methods: list[str], votes: int) -> Column:
-    """Boundaries that at least `votes` methods share (A27): a sorted place that stands `votes` times in a row."""
-    every = F.array_sort(F.flatten(F.array(*[boundaries(normal(F.col(m))) for m in methods])))
+def consensus(df: DataFrame, methods: list[str], votes: int, text: str | None = None) -> Column:
+    """Boundaries that at least `votes` methods share (A27): a sorted place that stands `votes` times in a row.
+
+    Places are those of the tokens' own characters; with a text they are offsets in it (`aligned_boundaries`), where `cut` can cut.
+    """
+    place_of = lambda m: boundaries(normal(F.col(m))) if text is None else aligned_boundaries(F.col(text), normal(F.col(m)))
+    every = F.array_sort(F.flatten(F.array(*[place_of(m) for m in methods])))
     # The one-element array binds the sorted places, so that they are worked out once.
     return F.flatten(F.transform(F.array(every), lambda e: F.array_distinct(F.filter(e, lambda x, i: F.get(e, i + votes - 1) == x))))
 

@@ -15,7 +15,7 @@ from ..operators import segment as Z
 from ..operators import semi as J
 from ..operators import wordgraph as W
 from ..sources.datasources import table_manifest
-from .catalogue import _KEY, _REASON, LATIN, _clean_sql, _vectors, query, table
+from .catalogue import _KEY, _M1, _M2, _M3, _REASON, LATIN, _clean_sql, _methods, _vectors, query, table
 
 
 def _digest(df):
@@ -247,3 +247,22 @@ def graph_network(spark, sf):
     graph = N.Graph(nodes, N.nearest_edges(vectors), names, classes)
     found = graph.predict(graph.fit())
     return vectors.select("id", "label", held.alias("held_out")).join(found, "id")
+
+
+# Where several segmenters agree, as offsets in the text itself
+
+_ALIGNED = "".join(
+    f"a{k} AS (SELECT doc_id, length(text) AS n, unnest(regexp_extract_all(text, '{p}')) AS t, unnest(regexp_split_to_array(text, '{p}')[1:len(regexp_extract_all(text, '{p}'))]) AS gap, "
+    f"generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM documents), e{k} AS (SELECT doc_id, n, (sum(length(gap) + length(t)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS p FROM a{k}), "
+    for k, p in ((1, _M1), (2, _M2), (3, _M3))
+)
+
+
+@query(
+    f"WITH {_ALIGNED} v AS (SELECT doc_id, p FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3) WHERE p < n GROUP BY ALL HAVING count(*) >= 3) "
+    "SELECT d.doc_id, count(v.p)::BIGINT AS n, coalesce(sum(v.p), 0)::BIGINT AS place_sum FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id"
+)
+def seg_consensus_aligned(spark, sf):
+    c = Z.consensus(_methods(spark, sf), ["m1", "m2", "m3"], 3, "x")
+    placed = _methods(spark, sf).select("doc_id", c.alias("c"))
+    return placed.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x).alias("place_sum"))

@@ -7,7 +7,9 @@ from collections import Counter
 
 import __spark_entry__ as entry
 import regex
+from corpusforge.operators import segment as Z
 from corpusforge.operators import wordgraph as W
+from pyspark.sql import functions as F
 
 
 def paths(text, known):
@@ -97,3 +99,14 @@ def test_queries_over_all_documents(spark, sf):
     tags = entry.queries()["tag_counts"](spark, sf).collect()
     whole = sum(r.n_tokens for r in entry.queries()["seg_rule"](spark, sf).collect())
     assert sum(r.n for r in tags) == whole and {r.tag for r in tags} <= {"n", "m", "eng", "x"}
+
+
+def test_aligned_consensus_cuts_the_text_itself(spark):
+    text = "酒庄，风景 很好！"
+    lists = [["酒庄", "，", "风景", "很好", "！"], ["酒庄", "风景", "很", "好"], ["酒", "庄", "风景", "很好"]]
+    assert Z.ends_in(text, lists[1]) == [2, 5, 7, 8] and Z.ends_in(text, ["风景", "酒庄", "", "好"]) == [5, 8] and Z.ends_in("", ["x"]) == []
+    df = spark.createDataFrame([(text, *lists), ("", [], [], []), (None, None, None, None)], "x string, a array<string>, b array<string>, c array<string>")
+    places = Z.consensus(df, ["a", "b", "c"], 3, "x")
+    got = df.select(places.alias("p"), Z.cut(F.col("x"), places).alias("t")).collect()
+    assert got[0].p == [2, 5, 8] and got[0].t == ["酒庄", "，风景", " 很好", "！"]
+    assert got[1].p == [] and got[2].p is None
