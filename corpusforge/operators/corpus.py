@@ -87,10 +87,15 @@ def tf_idf(counts: DataFrame, features: int = 4000) -> DataFrame:
     return rows.join(norm, "label").select("label", "token", (F.col("w") / F.col("norm")).alias("tfidf"))
 
 
+def grams_of(run: Column, n: int) -> Column:
+    """All n-grams of characters of a string, in one pass: a substring by place would walk from the beginning each time."""
+    return F.regexp_extract_all(run, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
 def char_ngrams(df: DataFrame, n: int, text: str = "text") -> DataFrame:
     """Counts of the n-grams of characters within runs of letters."""
     runs = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("r")).groupBy("r").agg(F.count("*").alias("m")).where(F.length("r") >= n)
-    grams = runs.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("r") - n + 1), lambda i: F.substring(F.col("r"), i, F.lit(n)))).alias("gram"))
+    grams = runs.select("m", F.explode(grams_of(F.col("r"), n)).alias("gram"))
     return grams.groupBy("gram").agg(F.sum("m").alias("n"))
 
 

@@ -6,12 +6,14 @@ Metrics are relational; decoding runs over Arrow batches with the vocabulary in
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -123,6 +125,74 @@ def consensus(df: DataFrame, methods: list[str], votes: int, text: str | None =
     return F.flatten(F.transform(F.array(every), lambda e: F.array_distinct(F.filter(e, lambda x, i: F.get(e, i + votes - 1) == x))))
 
 
+#: Bytes of texts whose tokens are made at once, and bytes (as estimated) of runs and tokens that a task remembers.
+AT_ONCE, REMEMBERED = 1 << 17, 50_000_000
+
+
+class Memo(dict):
+    """What was made of earlier strings, forgotten as a whole once it takes more than `room` bytes; a very long string is not kept."""
+
+    def __init__(self, room: int = REMEMBERED):
+        super().__init__()
+        self.room, self.held = room, 0
+
+    def keep(self, key: str, value: list[str]) -> list[str]:
+        size = 300 + 4 * len(key) + 60 * len(value) + 4 * sum(map(len, value))  # an upper estimate, objects included
+        if size * 20 <= self.room:
+            if self.held + size > self.room:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = value
+        return value
+
+
+def slices(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """(start, length) of neighbouring rows with about `most` bytes of text together, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, stop - at
+        at = stop
+
+
+def tokens_added(df: DataFrame, text: str, out: str, make: Callable[[], Callable], most: int = AT_ONCE) -> DataFrame:
+    """The rows with the tokens of a text. make() gives a task's function from texts to lists of tokens.
+
+    Only the tokens of `most` bytes of text stand in Python's memory at a time, however many rows a batch has.
+    """
+    schema = T_.StructType([*df.schema, T_.StructField(out, T_.ArrayType(T_.StringType()))])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = make()
+        for batch in batches:
+            for start, n in slices(batch.column(at), most):
+                rows = batch.slice(start, n)
+                lists = pa.array(cut(rows.column(at).to_pylist()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+#: Runs of letters, runs of digits and single marks.
+PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+
+
+def by_runs(decode: Callable[[str], list[str]]) -> Callable[[list[str | None]], list[list[str]]]:
+    """From texts to tokens: each run of letters as decode gives it, digits and marks as they stand; runs are remembered."""
+    memo = Memo()
+
+    def one(p: str) -> list[str]:
+        if not p[0].isalpha():
+            return [p]
+        found = memo.get(p)
+        return memo.keep(p, decode(p)) if found is None else found
+
+    return lambda texts: [[t for p in PARTS.findall((x or "").lower()) for t in one(p)] for x in texts]
+
+
 def max_match(text: str, vocabulary: set[str], longest: int = 4) -> list[str]:
     """Longest dictionary hit of 2 or more characters from the left, else a character."""
     out, i = [], 0
@@ -152,30 +222,15 @@ def viterbi(text: str, logp: dict[str, float], unknown: float, longest: int = 4,
 def segmented(df: DataFrame, method: str, vocabulary: dict[str, int], text: str = "text", out: str = "tokens", longest: int = 4, smooth: float = 0.1, penalty: float = 0.0) -> DataFrame:
     """Tokens by max_match or viterbi; runs of letters are decoded, digits and marks stand alone."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {out} array<string>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
 
+    def make():
         words = shared.value
         total = sum(words.values())
         logp = {w: math.log((n + smooth) / (total + smooth)) for w, n in words.items()}
-        unknown = math.log(smooth / (total + smooth))
-        known, parts = set(words), re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-        memo: dict[str, list[str]] = {}
+        unknown, known = math.log(smooth / (total + smooth)), set(words)
+        return by_runs(lambda run: max_match(run, known, longest) if method == "max_match" else viterbi(run, logp, unknown, longest, penalty))
 
-        def decode(run: str) -> list[str]:
-            if run not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[run] = max_match(run, known, longest) if method == "max_match" else viterbi(run, logp, unknown, longest, penalty)
-            return memo[run]
-
-        for frame in frames:
-            frame[out] = [[t for p in parts.findall((x or "").lower()) for t in (decode(p) if p[0].isalpha() else [p])] for x in frame[text]]
-            yield frame
-
-    return df.mapInPandas(run, schema)
+    return tokens_added(df, text, out, make)
 
 
 class BmesHmm:
@@ -249,14 +304,14 @@ class BmesHmm:
             move, emit, score = np.log(self.move), np.log(self.emit), np.log(self.start)
         x = self.encode(text)
         score = score + emit[:, x[0]]
-        back = []
+        back = np.zeros((len(x), 4), np.uint8)
         for t in range(1, len(x)):
             all_ = score[:, None] + move
-            back.append(all_.argmax(axis=0))
+            back[t] = all_.argmax(axis=0)
             score = all_.max(axis=0) + emit[:, x[t]]
         state = 2 if score[2] > score[3] else 3
         states = [state]
-        for b in reversed(back):
+        for b in back[:0:-1]:
             states.append(int(b[states[-1]]))
         out, word = [], ""
         for c, s in zip(text, reversed(states), strict=True):
@@ -274,8 +329,6 @@ def without_stops(tokens: Column, stops) -> Column:
 
 def merged(tokens: list[str], vocabulary: set[str], part: str = r"[一-鿿]+") -> list[str]:
     """Adjacent tokens joined where the joined text is in the dictionary, the longest first."""
-    import re
-
     fits, longest = re.compile(part).fullmatch, max(map(len, vocabulary), default=0)
     out, i = [], 0
     while i < len(tokens):
@@ -332,25 +385,7 @@ def hmm_segmented(df: DataFrame, text: str = "text", out: str = "tokens", symbol
     counts = letters.select("n", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
     model = BmesHmm([r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(symbols).collect()]).fit(letters, rounds)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T_.StructType([*df.schema, T_.StructField(out, T_.ArrayType(T_.StringType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        parts, memo = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_"), {}
-
-        def decode(word: str) -> list[str]:
-            if word not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[word] = shared.value.cut(word)
-            return memo[word]
-
-        for frame in frames:
-            frame[out] = [[t for p in parts.findall((x or "").lower()) for t in (decode(p) if p[0].isalpha() else [p])] for x in frame[text]]
-            yield frame
-
-    return df.mapInPandas(run, schema)
+    return tokens_added(df, text, out, lambda: by_runs(shared.value.cut))
 
 
 def calibrated(dev: DataFrame, vocabulary: dict[str, int], reference: Column, smooths=(0.01, 0.1, 0.5, 1.0, 2.0), penalties=tuple(0.5 * k for k in range(12)), mean: float = 2.1, away: float = 0.45) -> DataFrame:
@@ -363,9 +398,7 @@ def calibrated(dev: DataFrame, vocabulary: dict[str, int], reference: Column, sm
     rows = dev.select("text", reference.alias("ref")).join(F.broadcast(grid))  # 60 rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        words, parts = shared.value, re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+        words, parts = shared.value, PARTS
         total, known = sum(words.values()), {}
 
         def ends(tokens) -> set[int]:

@@ -110,3 +110,61 @@ def test_aligned_consensus_cuts_the_text_itself(spark):
     got = df.select(places.alias("p"), Z.cut(F.col("x"), places).alias("t")).collect()
     assert got[0].p == [2, 5, 8] and got[0].t == ["酒庄", "，风景", " 很好", "！"]
     assert got[1].p == [] and got[2].p is None
+
+
+def test_tokens_are_made_in_bounded_slices():
+    import pyarrow as pa
+
+    from corpusforge.operators import segment as Z
+
+    texts = pa.array(["x" * 60, None, "", "y" * 50, "z" * 500, "a"])
+    assert list(Z.slices(texts, 100)) == [(0, 3), (3, 1), (4, 1), (5, 1)]
+    assert list(Z.slices(texts.slice(3), 1000)) == [(0, 3)] and list(Z.slices(texts.slice(6), 9)) == []
+    memo = Z.Memo(room=20_000)
+    for k in range(1000):
+        memo.keep(f"run{k}", ["run", str(k)])
+    assert 0 < len(memo) < 50 and memo.held <= memo.room
+    assert memo.keep("l" * 10_000, ["l"] * 10_000) and "l" * 10_000 not in memo
+
+
+def test_batches_leave_in_slices(spark, monkeypatch):
+    """A batch of many texts leaves in several pieces, with the rows and tokens of whole batches."""
+    from corpusforge.operators import segment as Z
+
+    monkeypatch.setattr(Z, "AT_ONCE", 50)
+    words = W.Dictionary.of([("ab", 5, "n"), ("abc", 3, "n"), ("bc", 2, "n")])
+    texts = ["abcab 12 a-b", None, "", "ABC" * 40, "bc, bc"] * 20
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
+    for mode in ("path", "full", "search"):
+        got = {r["id"]: r["tokens"] for r in W.segmented(df, words, mode).collect()}
+        assert got == {k: W.rule_tokens(t and t.lower(), words, mode) for k, t in enumerate(texts)}
+    pairs = {r["id"]: [(x["word"], x["tag"]) for x in r["tokens"]] for r in W.segmented(df, words, tagged=True).collect()}
+    assert pairs == {k: [(w, W.tag_of(w, words)) for w in W.rule_tokens(t and t.lower(), words)] for k, t in enumerate(texts)}
+    assert W.learnt(df, most=1) == [("bc", 860, "n"), ("abc", 820, "n"), ("abca", 800, "n")]
+
+
+def test_runs_tagged_together_equal_runs_tagged_alone():
+    import numpy as np
+
+    from corpusforge.operators import tagger as N
+
+    model = N.Tagger(list("abcdefgh"))
+    model.fit([["ab", "c", "def"], ["gh", "abc"]], rounds=3)
+    r = np.random.default_rng(1)
+    texts = ["".join(r.choice(list("abcdefghz"), r.integers(0, 12))) for _ in range(400)] + ["abc" * 300]
+    assert model.cut_all(texts, cells=40) == model.cut_all(texts) == [model.cut(t) for t in texts]
+
+
+def test_grams_of_long_runs_take_one_pass(spark):
+    """A run of 400,000 letters, which a substring by place would walk 400,000 times; letters beyond the first plane count as one."""
+    import time
+
+    from corpusforge.operators import corpus as C
+
+    run = "é𠀀b" * 133_334
+    start = time.time()
+    rows = spark.createDataFrame([(run,), ("ab",), ("x",)], "text string")
+    got = {r["gram"]: r["n"] for r in C.char_ngrams(rows, 2).collect()}
+    assert got == {"é𠀀": 133_334, "𠀀b": 133_334, "bé": 133_333, "ab": 1}
+    assert {w: n for w, n, _ in W.learnt(rows) if len(w) == 4} == {"é𠀀bé": 133_333, "𠀀bé𠀀": 133_333, "bé𠀀b": 133_333}
+    assert time.time() - start < 60
