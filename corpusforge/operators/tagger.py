@@ -6,16 +6,13 @@ for a bounded sample, tagging runs over Arrow batches with the parameters in a b
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from .segment import TAGS, untagged
+from .segment import PARTS, TAGS, Memo, tokens_added, untagged
 
+#: Bytes of texts whose new runs are tagged together.
+AT_ONCE = 1 << 20
 #: Which tag may follow which, and which may begin and end a run.
 FOLLOWS = np.array([[0, 1, 1, 0], [0, 1, 1, 0], [1, 0, 0, 1], [1, 0, 0, 1]], bool)
 BEGINS, ENDS = np.array([1, 0, 0, 1], bool), np.array([0, 0, 1, 1], bool)
@@ -109,6 +106,44 @@ class Tagger:
             means.append(float(np.mean(losses)) if losses else 0.0)
         return means
 
+    def states(self, d: str, x: np.ndarray) -> np.ndarray:
+        """States of one direction over many inputs of one length at once: x (steps, inputs, size)."""
+        n = self.hidden
+        z = x @ self.p[f"w{d}"] + self.p[f"b{d}"]
+        h, c, out = np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n)), np.zeros((len(x), x.shape[1], n))
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            own = z[t] + h @ self.p[f"u{d}"]
+            i, f, o = _sigmoid(own[:, :n]), _sigmoid(own[:, n : 2 * n] + 1), _sigmoid(own[:, 2 * n : 3 * n])
+            c = f * c + i * np.tanh(own[:, 3 * n :])
+            h = out[t] = o * np.tanh(c)
+        return out
+
+    def cut_all(self, texts: list[str], cells: int = 1 << 14) -> list[list[str]]:
+        """The tokens of many runs, as `cut` gives them one by one: runs of one length are stepped through together."""
+        by_length: dict[int, list[int]] = {}
+        for k, t in enumerate(texts):
+            by_length.setdefault(len(t), []).append(k)
+        out: list[list[str]] = [[] for _ in texts]
+        for length, places in by_length.items():
+            size = max(1, cells // max(1, length))
+            for at in range(0, len(places) if length else 0, size):
+                some = places[at : at + size]
+                x = self.p["e"][np.stack([self.encode(texts[k]) for k in some], axis=1)]
+                s = np.concatenate([self.states("f", x), self.states("b", x)], axis=2) @ self.p["v"] + self.p["c"]
+                best, back = np.where(BEGINS, s[0], -np.inf), np.zeros(s.shape, np.int8)
+                for t in range(1, length):
+                    ways = np.where(FOLLOWS, best[:, :, None], -np.inf)
+                    back[t] = ways.argmax(axis=1)
+                    best = ways.max(axis=1) + s[t]
+                tags = np.zeros((length, len(some)), np.int8)
+                tags[-1] = np.argmax(np.where(ENDS, best, -np.inf), axis=1)
+                every = np.arange(len(some))
+                for t in range(length - 1, 0, -1):
+                    tags[t - 1] = back[t, every, tags[t]]
+                for j, k in enumerate(some):
+                    out[k] = untagged(texts[k], tags[:, j].tolist())
+        return out
+
     def cut(self, text: str) -> list[str]:
         """The tokens of the best allowed tags."""
         if not text:
@@ -128,22 +163,33 @@ class Tagger:
 
 
 def tagged(df: DataFrame, model: Tagger, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Tokens by the network: runs of letters are tagged, digits and marks stand alone; null and empty texts have none."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.StringType()))])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, memo = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_"), {}
+    """Tokens by the network: runs of letters are tagged, digits and marks stand alone; null and empty texts have none.
 
-        def decode(word: str) -> list[str]:
-            if word not in memo:
-                if len(memo) > 200_000:
-                    memo.clear()
-                memo[word] = shared.value.cut(word)
-            return memo[word]
-
-        for frame in frames:
-            frame[out] = [[t for p in parts.findall((x or "").lower()) for t in (decode(p) if p[0].isalpha() else [p])] for x in frame[text]]
-            yield frame
+    The runs that a slice of the texts brings anew go through the network together.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    return df.mapInPandas(run, schema)
+    def make():
+        memo = Memo()
+
+        def cut(texts: list[str | None]) -> list[list[str]]:
+            parts = [PARTS.findall((x or "").lower()) for x in texts]
+            new = list({p: None for x in parts for p in x if p[0].isalpha() and p not in memo})
+            # Of this slice all runs stay at hand, of earlier ones those that the memo has kept.
+            known = dict(zip(new, shared.value.cut_all(new), strict=True)) if new else {}
+            found = []
+            for x in parts:
+                tokens: list[str] = []
+                for p in x:
+                    if p[0].isalpha():
+                        tokens += known[p] if p in known else memo[p]
+                    else:
+                        tokens.append(p)
+                found.append(tokens)
+            for p, tokens in known.items():
+                memo.keep(p, tokens)
+            return found
+
+        return cut
+
+    return tokens_added(df, text, out, make, AT_ONCE)
