@@ -23,18 +23,16 @@ from ..session import checkpoint, ship
 
 def nearest_edges(df: DataFrame, k: int = 5) -> DataFrame:
     """src, dst: each row's k nearest others of (id, vec), ties by id. Blocks meet blocks: the work grows with the square of the rows."""
-    from .ml import _distances, in_blocks
+    from .ml import _matrix, in_blocks, nearest_rows
 
     rows = df.select("id", "vec")
 
     def best(a, b):
         found = []
         if len(a) and len(b):
-            ids = b["id"].to_numpy()
-            for some, d in _distances(a, b):
-                for i, own in zip(some["id"], np.round(d, 9), strict=True):
-                    top = [j for j in np.lexsort((ids, own))[: k + 1] if ids[j] != i][:k]
-                    found += [(int(i), int(ids[j]), float(own[j])) for j in top]
+            mine, ids = a["id"].to_numpy(), b["id"].to_numpy()
+            for r, places, d in nearest_rows(_matrix(a), _matrix(b), ids, k + 1):
+                found += [(int(mine[r]), int(ids[j]), float(x)) for j, x in zip(places, d, strict=True) if ids[j] != mine[r]][:k]
         return pd.DataFrame(found, columns=["src", "dst", "d"])
 
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))

@@ -236,3 +236,24 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     one = {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in spark.table("win").collect()}
     assert one == {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in E.windowed_counts(rows).collect()} and not math.isnan(sum(v[1] for v in one.values()))
+
+
+def test_near_rows_by_product_are_those_by_differences():
+    """Copies, ties and distances at the edge: the matrix product decides nothing that it cannot tell."""
+    import numpy as np
+
+    from corpusforge.operators import ml as M
+
+    r = np.random.default_rng(3)
+    vec = np.round(r.normal(0, 1, (150, 8)), 1)
+    vec[100:] = vec[:50] + (r.random((50, 1)) < 0.5) * 0.1 * np.eye(8)[0]
+    for shift in (0, 1000.0):
+        x, ids = vec + shift, r.permutation(150)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        for k in (1, 6, 150, 200):
+            for row, places, own in M.nearest_rows(x, x, ids, k, step=7):
+                want = np.lexsort((ids, np.round(d[row], 9)))[:k]
+                assert places.tolist() == want.tolist() and own.tolist() == np.round(d[row], 9)[want].tolist()
+        for eps in (0.0, 0.1, float(d[0, 5]), 2.0):
+            hits = np.concatenate([h for _, h in M.within(x, x, eps, step=7)])
+            assert (hits == (d <= eps)).all()
