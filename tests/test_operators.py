@@ -257,3 +257,20 @@ def test_near_rows_by_product_are_those_by_differences():
         for eps in (0.0, 0.1, float(d[0, 5]), 2.0):
             hits = np.concatenate([h for _, h in M.within(x, x, eps, step=7)])
             assert (hits == (d <= eps)).all()
+
+
+def test_boundaries_and_matches_of_odd_rows(spark):
+    """Null and empty lists, texts of several slices, keys that repeat and keys that are null."""
+    from pyspark.sql import functions as F
+
+    from corpusforge.operators import segment as Z
+
+    rows = [(1, "ab c", ["ab", "c"], ["ab", "c"]), (2, None, None, ["x"]), (3, "", [], []), (4, "aab", ["a", "a", "b"], ["a", "b", "b"]), (4, "ab", ["b"], ["b", "a"]), (None, "q", ["q"], ["q"]), (5, "z" * 9, ["z"] * 9, ["zz"])]
+    df = spark.createDataFrame(rows, "k long, x string, r array<string>, h array<string>").coalesce(1)
+    got = [r[0] for r in df.select(Z.boundaries(F.col("r"))).collect()]
+    assert got == [[2], None, [], [1, 2], [], [], list(range(1, 9))]
+    assert [r[0] for r in df.select(Z.aligned_boundaries(F.col("x"), F.col("r"))).collect()] == [[2], None, [], [1, 2], [], [], list(range(1, 9))]
+    found = sorted((tuple(r) for r in Z.multiset_match(df, "k", "r", "h").select("k", "tp", "n_ref", "n_hyp").collect()), key=str)
+    assert found == sorted([(1, 2, 2, 2), (2, 0, 0, 1), (4, 4, 4, 5), (None, 0, 1, 1), (5, 0, 9, 1)], key=str)
+    plan = Z.multiset_match(df, "k", "r", "h")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
