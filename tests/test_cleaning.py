@@ -61,7 +61,7 @@ def test_advertisements_are_found_beside_other_letters(spark):
     assert spark.createDataFrame([("please BUY NOW today",)], "t string").select(T.invalid_reason(F.col("t"), own)).first()[0] == "advertisement"
 
 
-@pytest.mark.parametrize("name", ["source_quality_report"])
+@pytest.mark.parametrize("name", ["source_quality_report", "drop_reasons"])
 def test_no_search_stops_at_every_dropped_character(spark, sf, name):
     plan = plans(entry.queries()[name](spark, sf))
     assert T.NOT_KEPT not in plan and r"^[^\p{L}]+$" not in plan and T.KEPT in plan
