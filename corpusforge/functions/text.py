@@ -79,9 +79,9 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
-def guarded(c: Column, marks: str, f: Callable[[Column], Column]) -> Column:
-    """f where the text has one of the marks (parted by spaces) that its pattern needs; most texts have none."""
-    hit = lambda x: reduce(lambda p, q: p | q, [F.contains(x, F.lit(m)) for m in marks.split()])
+def guarded(c: Column, marks: str | list[str], f: Callable[[Column], Column]) -> Column:
+    """f where the text has one of the marks (a list, or parted by white space) that its pattern needs; most texts have none."""
+    hit = lambda x: reduce(lambda p, q: p | q, [F.contains(x, F.lit(m)) for m in (marks.split() if isinstance(marks, str) else marks)])
     return once(c, lambda x: F.when(hit(x), f(x)).otherwise(x))
 
 
@@ -90,11 +90,16 @@ def ascii_apart(c: Column, f: Callable[[Column], Column]) -> Column:
     return once(c, lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(f(x)))
 
 
+def within(least: str, most: str, pattern: str) -> str:
+    """A class that lies between two code points, asked for them first: most characters fail at one comparison, not at every range of the class."""
+    return rf"[\x{{{least}}}-\x{{{most}}}&&{pattern}]"
+
+
 def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     """One cleaning step."""
     r = F.regexp_replace
     if name == "newline":
-        return r(c, r"\r\n?", "\n")
+        return guarded(c, ["\r"], lambda x: r(x, r"\r\n?", "\n"))
     if name == "markup":
         return guarded(guarded(c, "<", lambda x: r(x, HTML_TAG, " ")), "&", lambda x: r(x, ENTITY, " "))
     if name == "links":
@@ -105,18 +110,21 @@ def step(name: str, c: Column, profile: Profile = SITE_REVIEW) -> Column:
     if name == "bracket":
         return guarded(c, "[", lambda x: r(x, BRACKET, " "))
     if name == "emoji":
-        return ascii_apart(c, lambda x: r(x, EMOJI, " "))
+        return ascii_apart(c, lambda x: r(x, within("2190", "1FAFF", EMOJI), " "))
     if name == "metadata":
         return guarded(c, "人均 推荐菜 图片 通过", lambda x: r(x, META, " ")) if profile.metadata else c
     if name == "control":
-        return r(c, CONTROL, "")
+        odd = lambda x: x.rlike(r"\p{Cntrl}(?<![\t\n\r])") | ((F.octet_length(x) != F.length(x)) & x.rlike(within("200b", "feff", CONTROL)))
+        return once(c, lambda x: F.when(odd(x), r(x, CONTROL, "")).otherwise(x))
     if name == "nfc":
         return nfc(c)
     if name == "half":
-        return ascii_apart(c, lambda x: F.when(x.rlike(WIDE), F.translate(x, FULL, HALF)).otherwise(x))
+        return ascii_apart(c, lambda x: F.when(x.rlike(within("3000", "ff5a", WIDE)), F.translate(x, FULL, HALF)).otherwise(x))
     if name == "space":
-        # Only what changes is matched: runs, and single characters other than the plain space. Then all white space is plain.
-        return F.trim(r(c, rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
+        # All white space is made plain, by plain replacements where it is ASCII; then only runs are left to match.
+        narrow = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit(" ")), "\t\n\x0b\f\r", c)
+        plain = ascii_apart(narrow, lambda x: r(x, within("85", "3000", f"[{SPACE}]"), " "))
+        return F.trim(guarded(plain, ["  "], lambda x: r(x, " {2,}", " ")))
     if name == "squash":
         return r(c, REPEAT, "$1$1$1")
     if name == "strip":
