@@ -225,7 +225,8 @@ def split_class_counts(spark, sf):
 def dropped_examples(spark, sf):
     """The first three texts that each rule drops."""
     rows = C.cleaned(table(spark, sf, "documents"), without=LATIN)
-    rows = rows.select("doc_id", T.invalid_reason(F.col("text_clean")).alias("reason"), F.left("text", F.lit(60)).alias("example")).where("reason IS NOT NULL")
+    # Exploded from an array of one, as the filter would work the reason out once more.
+    rows = rows.select("doc_id", F.explode(F.array(T.invalid_reason(F.col("text_clean")))).alias("reason"), F.left("text", F.lit(60)).alias("example")).where("reason IS NOT NULL")
     return C.head_of_groups(rows, ["reason"], [F.col("doc_id")], 3).select("reason", "doc_id", "example")
 
 
