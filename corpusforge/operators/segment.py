@@ -9,7 +9,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from ..session import checkpoint
+
 #: Blocks of the rule tokenizer, first match first.
 BLOCKS = (
     r"https?://\S+|www\.\S+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+|@[\p{L}\p{N}_\-.]{1,30}"
@@ -194,7 +196,7 @@ def slices(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
 
 
 def tokens_added(df: DataFrame, text: str, out: str, make: Callable[[], Callable], most: int = AT_ONCE) -> DataFrame:
-    """The rows with the tokens of a text. make() gives a task's function from texts to lists of tokens.
+    """The rows with the tokens of a text. make() gives a task's function from texts to lists of tokens, or to their Arrow array.
 
     Only the tokens of `most` bytes of text stand in Python's memory at a time, however many rows a batch has.
     """
@@ -206,7 +208,9 @@ def tokens_added(df: DataFrame, text: str, out: str, make: Callable[[], Callable
         for batch in batches:
             for start, n in slices(batch.column(at), most):
                 rows = batch.slice(start, n)
-                lists = pa.array(cut(rows.column(at).to_pylist()), pa.list_(pa.string()))
+                lists = cut(rows.column(at).to_pylist())
+                if not isinstance(lists, pa.Array):
+                    lists = pa.array(lists, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, out])
 
     return df.mapInArrow(run, schema)
@@ -229,6 +233,93 @@ def by_runs(decode: Callable[[str], list[str]]) -> Callable[[list[str | None]],
     return lambda texts: [[t for p in PARTS.findall((x or "").lower()) for t in one(p)] for x in texts]
 
 
+class FlatTokens:
+    """From texts to an Arrow array of their tokens, as by_runs has them, without a Python object a token.
+
+    `ends` gives for runs of letters, which stand behind each other in a string, where their tokens end. The tokens of a text
+    are its bytes without white space, so only their lengths are worked out; a piece's different runs are decoded once.
+    """
+
+    SPACE, LETTER, DIGIT, MARK, OTHER, NEW = range(6)  # other: a word's character that begins no run of letters, such as a fraction
+
+    def __init__(self, ends: Callable[[str, np.ndarray], np.ndarray], piece: int = 1 << 18):
+        self.ends, self.piece = ends, piece
+        self.kinds = np.full(0x110000, self.NEW, np.uint8)
+
+    def kind(self, points: np.ndarray) -> np.ndarray:
+        found = self.kinds[points]
+        new = np.unique(points[found == self.NEW])
+        for c in map(chr, new.tolist()):
+            part = PARTS.fullmatch(c)
+            self.kinds[ord(c)] = self.SPACE if not part else self.LETTER if c.isalpha() else self.DIGIT if re.match(r"\d", c) else self.OTHER if re.match(r"[^\W_]", c) else self.MARK
+        return self.kinds[points] if len(new) else found
+
+    def pieces(self, text: str) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
+        """Place, text, code points, kinds and starts of parts of neighbouring pieces; a piece ends where a part does."""
+        at, size = 0, self.piece
+        while at < len(text):
+            piece = text[at : at + size]
+            points = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+            kind = self.kind(points)
+            group = np.where(kind == self.OTHER, np.uint8(self.LETTER), kind)
+            starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (group[1:] == self.MARK)]))
+            if at + size < len(text):  # the last part may go on
+                if len(starts) == 1:
+                    size *= 2
+                    continue
+                stop = int(starts[-1])
+                piece, points, kind, starts = piece[:stop], points[:stop], kind[:stop], starts[:-1]
+            yield at, piece, points, kind, starts
+            at, size = at + len(piece), self.piece
+
+    @staticmethod
+    def widths(points: np.ndarray) -> np.ndarray:
+        """Bytes of each character in UTF-8."""
+        return np.uint8(1) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+
+    def lengths(self, data: bytes, points: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a piece: how many tokens each part has (white space none), the tokens' bytes, and the text without white space."""
+        width = self.widths(points)
+        stops = np.concatenate([[0], np.cumsum(width, dtype=np.int32)]).astype(np.int32)
+        edges = stops[np.append(starts, len(points))]
+        first, n = kind[starts], np.ones(len(starts), np.int64)
+        n[first == self.SPACE] = 0
+        runs = first == self.LETTER
+        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data))
+        coded = parts.filter(pa.array(runs)).dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary
+        joined = str(words.buffers()[2].slice(0, pc.sum(pc.binary_length(words)).as_py()), "utf-8") if len(words) else ""
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        own = np.concatenate([[0], np.cumsum(self.widths(np.frombuffer(joined.encode("utf-32-le"), np.uint32)), dtype=np.int64)])
+        places = np.flatnonzero(self.ends(joined, sizes)) + 1
+        token_bytes, until = np.diff(own[places], prepend=0), np.searchsorted(places, np.cumsum(sizes), "right")
+        count = np.diff(until, prepend=0)
+        k = count[code]
+        n[runs] = k
+        source = np.repeat((until - count)[code] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        decoded = np.repeat(runs, n)
+        out = np.empty(len(decoded), np.int32)
+        out[decoded] = token_bytes[source]
+        out[~decoded] = np.diff(edges)[~runs & (n > 0)]
+        return n, out, np.frombuffer(data, np.uint8)[np.repeat(kind != self.SPACE, width)]
+
+    def __call__(self, texts: list[str | None]) -> pa.ListArray:
+        low = [(x or "").lower() for x in texts]
+        begins = np.cumsum([0, *(len(x) + 1 for x in low)])
+        offsets, before, bytes_, data = np.zeros(len(begins), np.int32), 0, [np.zeros(1, np.int32)], []
+        for at, piece, points, kind, starts in self.pieces("\n".join(low)):
+            n, out, rest = self.lengths(piece.encode(), points, kind, starts)
+            here = slice(*np.searchsorted(begins, [at, at + len(piece)]))  # texts that begin in this piece
+            offsets[here] = before + np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, begins[here] - at)]
+            before += len(out)
+            offsets[here.stop :] = before
+            bytes_.append(out)
+            data.append(rest)
+        ends = np.cumsum(np.concatenate(bytes_), dtype=np.int32)
+        values = pa.StringArray.from_buffers(before, pa.py_buffer(ends), pa.py_buffer(np.concatenate(data) if data else b""))
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
 def max_match(text: str, vocabulary: set[str], longest: int = 4) -> list[str]:
     """Longest dictionary hit of 2 or more characters from the left, else a character."""
     out, i = [], 0
@@ -269,41 +360,124 @@ def segmented(df: DataFrame, method: str, vocabulary: dict[str, int], text: str
     return tokens_added(df, text, out, make)
 
 
+#: Letters of a run from which on it is taken in segments of that length, and letters of segments that are worked on at once.
+LONG, SEGMENTS = 512, 1 << 17
+
+
 class BmesHmm:
-    """BMES hidden Markov model: Baum-Welch with expected counts summed in parallel, Viterbi ending in E or S."""
+    """BMES hidden Markov model: Baum-Welch with expected counts summed in parallel, Viterbi ending in E or S.
+
+    Runs are stepped through side by side, the longest first, so that those with a t-th letter stand in front.
+    """
 
     ALLOWED = np.array([[0, 1, 1, 0], [0, 1, 1, 0], [1, 0, 0, 1], [1, 0, 0, 1]], float)
+    #: The two states that each state may follow, and the two that may follow it.
+    BEFORE, BEHIND = np.array([[2, 3], [0, 1], [0, 1], [2, 3]]), np.array([[1, 2], [1, 2], [0, 3], [0, 3]])
 
     def __init__(self, symbols: list[str]):
-        self.ids = {c: k for k, c in enumerate(symbols)}
         n = len(symbols) + 1
+        self.ids = np.full(max(map(ord, symbols), default=0) + 2, n - 1, np.int32)  # by code point; the last one stands for all beyond
+        self.ids[[ord(c) for c in symbols]] = np.arange(n - 1)
         self.start = np.array([0.5, 0, 0, 0.5])
         self.move = self.ALLOWED / self.ALLOWED.sum(axis=1, keepdims=True)
         r = np.random.default_rng(0)
         self.emit = r.dirichlet(np.ones(n) * 50, 4)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array([self.ids.get(c, len(self.ids)) for c in text], np.int64)
-
-    def expected(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Expected transitions and emissions of one run of characters (scaled forward-backward)."""
-        x = self.encode(text)
-        n = len(x)
-        a, scale = np.zeros((n, 4)), np.zeros(n)
-        for t in range(n):
-            a[t] = (self.start if t == 0 else a[t - 1] @ self.move) * self.emit[:, x[t]]
-            scale[t] = max(a[t].sum(), 1e-300)
-            a[t] /= scale[t]
-        b = np.ones((n, 4))
-        for t in range(n - 2, -1, -1):
-            b[t] = self.move @ (self.emit[:, x[t + 1]] * b[t + 1]) / scale[t + 1]
-        move, emit = np.zeros((4, 4)), np.zeros_like(self.emit)
-        for t in range(n - 1):
-            move += np.outer(a[t], self.emit[:, x[t + 1]] * b[t + 1]) * self.move / scale[t + 1]
-        gamma = a * b
-        np.add.at(emit.T, x, gamma / np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.ids[np.minimum(points, len(self.ids) - 1)]
+
+    @staticmethod
+    def steps(lengths: np.ndarray) -> np.ndarray:
+        """For each t, how many of the runs, the longest first, have a t-th letter."""
+        return np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)))
+
+    def step(self, a: np.ndarray) -> np.ndarray:
+        """State probabilities (4, runs) one move on."""
+        (i, j), m = self.BEFORE.T, self.move
+        return a[i] * m[i, range(4)][:, None] + a[j] * m[j, range(4)][:, None]
+
+    def step_back(self, e: np.ndarray) -> np.ndarray:
+        """Weights of the next letter's states (4, runs), one move back."""
+        (i, j), m = self.BEHIND.T, self.move
+        return e[i] * m[range(4), i][:, None] + e[j] * m[range(4), j][:, None]
+
+    def expected(self, x: np.ndarray, lengths: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected transitions and emissions of runs of letters, which stand behind each other in x, each counted n times."""
+        starts, long = np.cumsum(lengths) - lengths, lengths > LONG
+        short = np.flatnonzero(~long & (lengths > 0))
+        k = len(short)
+        first = np.repeat(self.start[:, None], k, axis=1)
+        move, emit = self._expected(x, starts[short], lengths[short], n[short], first, np.ones((4, k)), np.ones(k, bool))
+        for r in np.flatnonzero(long):
+            for part in self._segments(x[starts[r] : starts[r] + lengths[r]]):
+                m, e = self._expected(x[starts[r] :], part[0], part[1], np.full(len(part[0]), n[r]), *part[2:])
+                move += m
+                emit += e
         return move, emit
 
+    def _segments(self, x: np.ndarray) -> Iterator[tuple]:
+        """A long run in segments that share their end letters, as arguments of _expected, some at a time.
+
+        A segment's product of matrices takes the probabilities before it to those behind it, and the weights behind it
+        to those before it; products are made side by side, and only they are gone through in order.
+        """
+        k = (len(x) - 1) // LONG  # the last segment has the rest, too
+        rows = x[: (k - 1) * LONG].reshape(k - 1, LONG)
+        product = np.repeat(np.eye(4)[None], k - 1, axis=0)
+        for t in range(LONG):
+            product = (product * self.emit[:, rows[:, t]].T[:, None, :]) @ self.move
+            product /= product.sum(axis=(1, 2), keepdims=True)
+        first, leave = np.empty((4, k)), np.ones((4, k))
+        first[:, 0] = self.start
+        for j in range(k - 1):
+            p = first[:, j] @ product[j]
+            first[:, j + 1] = p / p.sum()
+        b = np.ones(4)
+        for c in x[: (k - 1) * LONG : -1]:
+            b = self.move @ (self.emit[:, c] * b)
+            b /= b.sum()
+        for j in range(k - 2, -1, -1):  # b: the weights at the first letter of segment j + 1, without that letter
+            leave[:, j] = b
+            b = product[j] @ (self.emit[:, x[(j + 1) * LONG]] * b)
+            b /= self.emit[:, x[j * LONG]]
+            b /= b.sum()
+        starts = np.arange(k) * LONG
+        lengths = np.where(starts == (k - 1) * LONG, len(x) - starts, LONG + 1)
+        for at in range(0, k, max(1, SEGMENTS // LONG)):
+            some = slice(at, at + max(1, SEGMENTS // LONG))
+            yield starts[some], lengths[some], first[:, some], leave[:, some], starts[some] == (k - 1) * LONG
+
+    def _expected(self, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: np.ndarray, first: np.ndarray, leave: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected counts by a scaled forward-backward: from the probabilities before the first letter to the weights behind the last.
+
+        Where not `last`, the next segment has a row's last letter as its own first, and counts it.
+        """
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths, n, first, leave, last = starts[order], lengths[order], n[order].astype(float), first[:, order], leave[:, order], last[order]
+        alive, width = self.steps(lengths), self.emit.shape[1]
+        letters, a, scale = [], [], []
+        for t, k in enumerate(alive):
+            letters.append(x[starts[:k] + t])
+            p = (self.step(a[-1][:, :k]) if t else first) * self.emit[:, letters[-1]]
+            scale.append(np.maximum(p.sum(axis=0), 1e-300))
+            a.append(p / scale[-1])
+        move, emit, b = np.zeros((4, 4)), np.zeros(self.emit.shape), np.empty((4, 0))
+        for t in range(len(alive) - 1, -1, -1):
+            k, more = alive[t], b.shape[1]
+            ends = leave[:, more:k] / np.maximum((a[t][:, more:] * leave[:, more:k]).sum(axis=0), 1e-300)
+            if more:
+                e = self.emit[:, letters[t + 1]] * b / scale[t + 1]
+                move += (a[t][:, :more] * n[:more]) @ e.T
+                b = np.concatenate([self.step_back(e), ends], axis=1)
+            else:
+                b = ends
+            gamma = a[t] * b
+            gamma *= np.concatenate([n[:more], n[more:k] * last[more:k]]) / np.maximum(gamma.sum(axis=0), 1e-300)
+            for s in range(4):
+                emit[s] += np.bincount(letters[t], gamma[s], width)
+        return move * self.move, emit
+
     def fit(self, runs: DataFrame, rounds: int = 6) -> BmesHmm:
         """runs: text and n, different runs with their counts; each round is one job whose sums are added by cell, so one table comes back.
 
@@ -312,19 +486,21 @@ class BmesHmm:
         for _ in range(rounds):
             model = self
 
-            def sums(frames, model=model):
+            def sums(batches, model=model):
                 move, emit = np.zeros((4, 4)), np.zeros_like(model.emit)
-                for frame in frames:
-                    for text, n in zip(frame["text"], frame["n"], strict=True):
-                        m, e = model.expected(text)
-                        move += n * m
-                        emit += n * e
+                for batch in batches:
+                    for at, k in slices(batch.column(0)):
+                        rows = batch.slice(at, k)
+                        texts = rows.column(0).to_pylist()
+                        m, e = model.expected(model.encode("".join(texts)), np.array(list(map(len, texts))), rows.column(1).to_numpy())
+                        move += m
+                        emit += e
                 cells = np.concatenate([move.ravel(), emit.ravel()])
                 used = np.flatnonzero(cells)
-                yield pd.DataFrame({"cell": used, "x": cells[used]})
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(cells[used])], names=["cell", "x"])
 
             exact = F.sum(F.round("x", 6).cast("decimal(38,6)")).cast("double")
-            rows = runs.mapInPandas(sums, "cell bigint, x double").groupBy("cell").agg(exact.alias("x")).collect()
+            rows = runs.select("text", "n").mapInArrow(sums, "cell bigint, x double").groupBy("cell").agg(exact.alias("x")).collect()
             cells = np.zeros(16 + self.emit.size)
             for r in rows:
                 cells[r["cell"]] = r["x"]
@@ -334,28 +510,69 @@ class BmesHmm:
         return self
 
     def cut(self, text: str) -> list[str]:
-        if not text:
-            return []
+        return self.cut_all([text])[0]
+
+    def cut_all(self, texts: list[str]) -> list[list[str]]:
+        joined, lengths = "".join(texts), np.array(list(map(len, texts)), np.int64)
+        places = np.flatnonzero(self.ends(joined, lengths)) + 1  # a run's last letter ends a token
+        tokens = [joined[i:j] for i, j in zip(chain([0], places.tolist()), places.tolist())]
+        at = [0, *np.searchsorted(places, np.cumsum(lengths), "right").tolist()]
+        return [tokens[i:j] for i, j in zip(at, at[1:])]
+
+    def ends(self, joined: str, lengths: np.ndarray) -> np.ndarray:
+        """For runs of letters that stand behind each other: whether a letter ends a token, by the best path that ends in E or S."""
         with np.errstate(divide="ignore"):
-            move, emit, score = np.log(self.move), np.log(self.emit), np.log(self.start)
-        x = self.encode(text)
-        score = score + emit[:, x[0]]
-        back = np.zeros((len(x), 4), np.uint8)
-        for t in range(1, len(x)):
-            all_ = score[:, None] + move
-            back[t] = all_.argmax(axis=0)
-            score = all_.max(axis=0) + emit[:, x[t]]
-        state = 2 if score[2] > score[3] else 3
-        states = [state]
-        for b in back[:0:-1]:
-            states.append(int(b[states[-1]]))
-        out, word = [], ""
-        for c, s in zip(text, reversed(states), strict=True):
-            word += c
-            if s >= 2:
-                out.append(word)
-                word = ""
-        return [*out, word] if word else out
+            logs = np.log(self.move), np.log(self.emit), np.log(self.start)
+        x, stops = self.encode(joined), np.cumsum(lengths)
+        starts, ends = stops - lengths, np.zeros(len(x), bool)
+        short = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+        self._best(x, starts[short], lengths[short], ends, *logs)
+        for r in np.flatnonzero(lengths > LONG):
+            ends[starts[r] : stops[r]] = self._best_of_long(x[starts[r] : stops[r]], *logs)
+        return ends
+
+    def _best(self, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ends: np.ndarray, move: np.ndarray, emit: np.ndarray, start: np.ndarray) -> None:
+        """Marks in `ends` where the tokens of runs end, which are stepped through side by side; of equal paths the earlier state."""
+        order = np.argsort(-lengths, kind="stable")
+        starts = starts[order]
+        alive, state = self.steps(lengths[order]), np.empty(len(order), np.int64)
+        back, score = [], start[:, None]
+        for t, k in enumerate(alive):
+            if t:
+                one, two = np.empty((4, k)), np.empty((4, k))
+                for way, (be, bm) in ((one, (2, 0)), (two, (3, 1))):  # B and S follow E or S, M and E follow B or M
+                    np.add(score[be, :k], move[be, ::3, None], out=way[::3])
+                    np.add(score[bm, :k], move[bm, 1:3, None], out=way[1:3])
+                back.append(two > one)
+                score = np.maximum(one, two, out=one)
+            score = score + emit[:, x[starts[:k] + t]]
+            over = alive[t + 1] if t + 1 < len(alive) else 0
+            state[over:k] = np.where(score[2, over:] > score[3, over:], 2, 3)
+        for t in range(len(alive) - 1, -1, -1):
+            k = alive[t]
+            ends[starts[:k] + t] = state[:k] >= 2
+            if t:
+                state[:k] = self.BEFORE[state[:k], back[t - 1][state[:k], np.arange(k)].astype(np.int8)]
+
+    def _best_of_long(self, x: np.ndarray, move: np.ndarray, emit: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Where the tokens of one run end: the sums and choices of _best in plain numbers, a byte a letter for the choices."""
+        (i, j), every = self.BEFORE.T, range(4)
+        (b1, m1, e1, s1), (b2, m2, e2, s2) = move[i, every].tolist(), move[j, every].tolist()
+        b, m, e, s = (start + emit[:, x[0]]).tolist()
+        back = bytearray(len(x))
+        for at in range(0, len(x), SEGMENTS):
+            for t, (eb, em, ee, es) in enumerate(emit[:, x[at : at + SEGMENTS]].T.tolist(), at):
+                if not t:
+                    continue
+                b_, b__, m_, m__, e_, e__, s_, s__ = e + b1, s + b2, b + m1, m + m2, b + e1, m + e2, e + s1, s + s2
+                back[t] = (b__ > b_) | (m__ > m_) << 1 | (e__ > e_) << 2 | (s__ > s_) << 3
+                b, m, e, s = max(b_, b__) + eb, max(m_, m__) + em, max(e_, e__) + ee, max(s_, s__) + es
+        state, ends, before = 2 if e > s else 3, np.zeros(len(x), bool), self.BEFORE.tolist()
+        for t in range(len(x) - 1, -1, -1):
+            if state >= 2:
+                ends[t] = True
+            state = before[state][back[t] >> state & 1]
+        return ends
 
 
 def without_stops(tokens: Column, stops) -> Column:
@@ -418,10 +635,11 @@ def match_rates(df: DataFrame, key: str, ref: str, hyp: str, f1: float = 0.9) ->
 def hmm_segmented(df: DataFrame, text: str = "text", out: str = "tokens", symbols: int = 3000, rounds: int = 3) -> DataFrame:
     """Tokens by the hidden Markov model, fitted to the different runs of letters with their counts."""
     letters = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    letters = checkpoint(letters)  # every round reads them again
     counts = letters.select("n", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
     model = BmesHmm([r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(symbols).collect()]).fit(letters, rounds)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return tokens_added(df, text, out, lambda: by_runs(shared.value.cut))
+    return tokens_added(df, text, out, lambda: FlatTokens(shared.value.ends), 1 << 19)
 
 
 def calibrated(dev: DataFrame, vocabulary: dict[str, int], reference: Column, smooths=(0.01, 0.1, 0.5, 1.0, 2.0), penalties=tuple(0.5 * k for k in range(12)), mean: float = 2.1, away: float = 0.45) -> DataFrame:
